@@ -57,6 +57,8 @@ def compare(spark, con, sf, name, fn, sql):
     spent = time.time() - t
     if sql is None:
         return True, f"rows={len(got[1])} (no SQL)", spent
+    kinds = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    odd = {c: (t, df.schema[c].dataType.simpleString()) for c, t in kinds.items() if c in df.columns and not same_type(t, df.schema[c].dataType.simpleString())}
     cur = con.execute(sql)
     want = table_rows([c[0] for c in cur.description], cur.fetchall())
     if got[0] != want[0]:
@@ -67,7 +69,13 @@ def compare(spark, con, sf, name, fn, sql):
     bad = [(g, w) for g, w in zip(got[1], want[1]) if any(differs(x, y) for x, y in zip(g, w))]
     if bad:
         return False, f"{len(bad)}/{len(got[1])} rows differ: cols {got[0]}\n    spark {bad[0][0]}\n    duck  {bad[0][1]}", spent
-    return True, f"rows={len(got[1])}", spent
+    return not odd, f"rows={len(got[1])}" + (f" types {odd}" if odd else ""), spent
+
+
+def same_type(duck, spark):
+    exact = {"BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean", "INTEGER": "int"}
+    ints = {"BIGINT", "INTEGER", "SMALLINT", "TINYINT"}
+    return exact.get(duck) == spark or (duck in ints and spark in ("bigint", "int", "smallint", "tinyint"))
 
 
 def connect(sf):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EVIDENCE_LEVELS = ("simulation", "exact_in_memory", "milvus_lite_flat", "milvus_standalone")
@@ -21,3 +21,9 @@ def emit_records(wide: DataFrame, keys: list[str], metrics: list[str], evidence_
         value.alias("value"),
         F.when(value.isNull(), "undefined").otherwise("observed").alias("status"),
     )
+
+
+def broken_rules(df: DataFrame, keys: list[str], rules: dict[str, Column]) -> DataFrame:
+    """Long violations table: one row per record and rule whose condition is true."""
+    found = F.array(*[F.when(cond, F.lit(name)) for name, cond in rules.items()])
+    return df.select(*keys, F.explode(F.filter(found, lambda r: r.isNotNull())).alias("rule"))
