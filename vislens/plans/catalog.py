@@ -6,7 +6,7 @@ import importlib
 
 from vislens.plans.registry import ORACLE, QUERIES
 
-MODULES = ("retrieval", "lifecycle")
+MODULES = ("retrieval", "lifecycle", "cohort")
 
 for _name in MODULES:
     importlib.import_module(f"vislens.plans.{_name}")

@@ -419,10 +419,10 @@ GRID_TP = (60, 150, 600, 3600)
 
 @query(
     "freshness_exposure_sweep",
-    """SELECT backlog, tp_s, count(*) AS items, round(avg(eu), 3) AS mean_eu_us, list_sort(list(eu))[least(count(*), CAST(floor(0.95 * count(*)) AS BIGINT) + 1)] AS p95_eu_us, round(avg(vis / 61.0), 6) AS availability, round(avg(CASE WHEN expired THEN 1.0 ELSE 0 END), 6) AS expiry_rate FROM (
+    """SELECT backlog, tp_s, count(*) AS items, round(avg(eu), 3) AS mean_eu_us, list_sort(list(eu))[least(count(*), CAST(floor(0.95 * count(*)) AS BIGINT) + 1)]::BIGINT AS p95_eu_us, round(avg(vis / 61.0), 6) AS availability, round(avg(CASE WHEN expired THEN 1.0 ELSE 0 END), 6) AS expiry_rate FROM (
   SELECT backlog, tp_s, item_id, least(commit_us, arrival_us + tp_s * 1000000) - arrival_us AS eu, commit_us > arrival_us + tp_s * 1000000 AS expired,
     count(*) FILTER (WHERE NOT (arrival_us + g.i * 60000000 >= arrival_us + tp_s * 1000000 AND commit_us > arrival_us + tp_s * 1000000 AND (poison OR arrival_us + g.i * 60000000 < commit_us)) AND NOT (poison AND arrival_us + g.i * 60000000 >= commit_us)) AS vis
-  FROM w_fifo CROSS JOIN (VALUES (60), (150), (600), (3600)) t(tp_s) CROSS JOIN range(0, 61) g(i) GROUP BY backlog, tp_s, item_id, commit_us, arrival_us) GROUP BY ALL""",
+  FROM w_fifo CROSS JOIN (VALUES (60::BIGINT), (150), (600), (3600)) t(tp_s) CROSS JOIN range(0, 61) g(i) GROUP BY backlog, tp_s, item_id, commit_us, arrival_us) GROUP BY ALL""",
 )
 def freshness_exposure_sweep(spark, d):
     """Availability and unvetted exposure over the deadline grid; probe grids are counted, not enumerated."""
