@@ -54,8 +54,13 @@ def running(
     *,
     sums: dict[str, Column] | None = None,
     maxes: dict[str, Column] | None = None,
+    totals: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Inclusive running sums and maxima per group, exact across chunks."""
+    """Inclusive running sums and maxima per group, exact across chunks.
+
+    `totals` names columns for the whole group's value of a running sum.
+    """
+    totals = totals or {}
     sums, maxes = sums or {}, maxes or {}
     base = df.withColumn("__chunk", chunk)
     for name, c in {**sums, **maxes}.items():
@@ -66,10 +71,12 @@ def running(
         *[F.max(f"__v_{n}").alias(f"__s_{n}") for n in maxes],
     )
     before = W.partitionBy(*keys).orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
+    whole = W.partitionBy(*keys)
     offsets = summary.select(
         *cols,
         *[F.sum(f"__s_{n}").over(before).alias(f"__b_{n}") for n in sums],
         *[F.max(f"__s_{n}").over(before).alias(f"__b_{n}") for n in maxes],
+        *[F.sum(f"__s_{n}").over(whole).alias(t) for n, t in totals.items()],
     )
     local = W.partitionBy(*cols).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     out = _join_offsets(base, offsets, cols)
@@ -135,7 +142,7 @@ def _ranked_values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("__n"))
     )
     ranked = running(
-        counted, keys, log_chunk("__value"), [F.col("__value")], sums={"__last_rank": F.col("__n")}
+        counted, keys, log_chunk("__value"), [F.col("__value")], sums={"__last_rank": F.col("__n")}, totals={"__last_rank": "n"}
     )
     return ranked.withColumn("__first_rank", F.col("__last_rank") - F.col("__n") + 1)
 
@@ -154,11 +161,7 @@ def quantiles(
     Linear interpolation at p*(n-1), or with `nearest` the element at index
     min(n-1, floor(p*n)).  `stats` adds n, min and max columns.
     """
-    ranked = _ranked_values(df, keys, value)
-    totals = ranked.groupBy(*keys).agg(
-        F.sum("__n").alias("n"), F.min("__value").alias("min"), F.max("__value").alias("max")
-    )
-    picked = _join_offsets(ranked, totals, keys) if keys else ranked.join(F.broadcast(totals))
+    picked = _ranked_values(df, keys, value)
     low, high = {}, {}
     for name, p in probs.items():
         if nearest:
@@ -173,7 +176,7 @@ def quantiles(
     aggs = []
     for name in probs:
         aggs += [at(low[name]).alias(f"__lo_{name}"), at(high[name]).alias(f"__hi_{name}")]
-    got = picked.groupBy(*keys).agg(F.first("n").alias("n"), F.first("min").alias("min"), F.first("max").alias("max"), *aggs)
+    got = picked.groupBy(*keys).agg(F.first("n").alias("n"), F.min("__value").alias("min"), F.max("__value").alias("max"), *aggs)
     out = []
     for name, p in probs.items():
         lo, hi = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")

@@ -15,6 +15,7 @@ from vislens.plans import workload as wl
 from vislens.plans.lifecycle import DAY
 from vislens.plans.registry import cte, query
 from vislens.plans.retrieval import wilson_sql
+from vislens.session import cut_lineage
 from vislens.sources import tables as src
 
 K = 5
@@ -157,7 +158,8 @@ def poison_cells(spark, d):
     f"SELECT {C}, role, phase, count(*) AS queries, round(quantile_cont(recall, 0.5), 6) AS recall_p50, round(quantile_cont(displacement, 0.5), 6) AS displacement_p50, round(max(displacement), 6) AS displacement_max FROM w_phased GROUP BY ALL",
 )
 def phase_split(spark, d):
-    l = log(spark, d).join(poison_cells(spark, d), CELL)
+    # Aggregated twice below, so the log is materialised once.
+    l = cut_lineage(log(spark, d)).join(poison_cells(spark, d), CELL)
     phase = F.when(~F.col("exposed"), "after").when(F.col("c_med").isNull() | (F.col("t_us") <= F.col("c_med")), "during").otherwise("after")
     keys = CELL + ["role", "phase"]
     l = l.withColumn("phase", phase).select(*keys, "recall", "displacement")
