@@ -27,3 +27,41 @@ def broken_rules(df: DataFrame, keys: list[str], rules: dict[str, Column]) -> Da
     """Long violations table: one row per record and rule whose condition is true."""
     found = F.array(*[F.when(cond, F.lit(name)) for name, cond in rules.items()])
     return df.select(*keys, F.explode(F.filter(found, lambda r: r.isNotNull())).alias("rule"))
+
+
+def gates(summary: DataFrame, checks: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """One row per gate of a one-row summary: gate, ok, detail."""
+    rows = F.array(
+        *[
+            F.struct(F.lit(n).alias("gate"), F.coalesce(ok, F.lit(False)).alias("ok"), detail.cast("bigint").alias("detail"))
+            for n, (ok, detail) in checks.items()
+        ]
+    )
+    return summary.select(F.explode(rows).alias("g")).select("g.*")
+
+
+def field_diff(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """Long form of both records side by side: keys, field, left, right, moved."""
+    def long(df, name):
+        d = df.select(*keys, *[F.col(f).cast("double").alias(f) for f in fields])
+        return d.unpivot(keys, fields, "field", name)
+
+    j = long(left, "left_value").join(long(right, "right_value"), [*keys, "field"], "full_outer")
+    return j.withColumn("moved", ~F.col("left_value").eqNullSafe(F.col("right_value")))
+
+
+def within_tolerance(a: Column, b: Column, tol: float = 1e-6) -> Column:
+    """Equal within an absolute tolerance; null matches only null."""
+    return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise(F.abs(a - b) <= tol)
+
+
+def identity_counts(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """Per rule, how many records were checked and how many break it."""
+    agg = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.when(~F.coalesce(ok, F.lit(True)), 1)).alias(r) for r, ok in rules.items()])
+    rows = F.array(*[F.struct(F.lit(r).alias("rule"), F.col("n").alias("records"), F.col(r).alias("violations")) for r in rules])
+    return agg.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def multiset_difference(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of one side missing on the other, with multiplicity."""
+    return left.exceptAll(right).withColumn("side", F.lit("left")).unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))

@@ -94,10 +94,10 @@ def runs(spark, d):
     return g.select("run_number", "metric", F.when(~undefined, F.col("v")).alias("value"), "n")
 
 
-@query("run_summary", "SELECT metric, count(*) AS runs, count(value) AS defined, round(quantile_cont(value, 0.5), 4) AS p50, round(min(value), 4) AS min, round(max(value), 4) AS max FROM w_runs GROUP BY 1")
+@query("run_summary", "SELECT metric, count(*) AS runs, count(value) AS defined, round(quantile_cont(value, 0.5), 2) AS p50, round(min(value), 2) AS min, round(max(value), 2) AS max FROM w_runs GROUP BY 1")
 def run_summary(spark, d):
-    r = cm.run_summary(runs(spark, d).withColumn("value", F.round("value", 6)), ["metric"], "run_number", "value")
-    return r.select("metric", "runs", "defined", *[F.round(c, 4).alias(c) for c in ("p50", "min", "max")])
+    r = cm.run_summary(runs(spark, d), ["metric"], "run_number", "value")
+    return r.select("metric", "runs", "defined", *[F.round(c, 2).alias(c) for c in ("p50", "min", "max")])
 
 
 @query(
