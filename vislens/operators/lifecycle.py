@@ -8,9 +8,10 @@ no shuffle is needed after the verifier queue has been resolved.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vislens.operators.ordered import neighbours, running, time_chunk
+from vislens.operators.ordered import join_null_safe, neighbours, running, time_chunk
 
 PROVISIONAL, TRUSTED, QUARANTINED, HIDDEN, REVOKED = "PROVISIONAL", "TRUSTED", "QUARANTINED", "HIDDEN", "REVOKED"
 VISIBLE = (PROVISIONAL, TRUSTED)
@@ -47,15 +48,25 @@ def fifo_queue(
     """Single-server FIFO per lane: start = max(arrival, previous finish).
 
     Closed form: finish_i = S_i + max_{j<=i}(a_j - S_{j-1}) with S the running
-    service.  Lanes are cut into time chunks, so a busy lane is many tasks.
+    service.  Lanes are cut into time chunks, so a busy lane is many tasks: each
+    chunk is solved as if it started idle and hands on (its total service, its
+    idle-start finish); the finish before a chunk is the same closed form over
+    those pairs.
     """
-    order = [F.col(arrival), F.col(key)]
-    chunk = time_chunk(arrival, chunk_us)
-    s = running(df, lanes, chunk, order, sums={"__s": F.col(service)})
-    s = s.withColumn("__slack", F.col(arrival) - (F.col("__s") - F.col(service)))
-    m = running(s, lanes, chunk, order, maxes={"__m": F.col("__slack")})
-    out = m.withColumn("commit_us", (F.col("__s") + F.col("__m")).cast("bigint"))
-    return out.withColumn("start_us", F.col("commit_us") - F.col(service)).drop("__s", "__m", "__slack")
+    c = df.withColumn("__chunk", time_chunk(arrival, chunk_us))
+    ck = [*lanes, "__chunk"]
+    w = W.partitionBy(*ck).orderBy(arrival, key).rowsBetween(W.unboundedPreceding, W.currentRow)
+    c = c.withColumn("__s", F.sum(service).over(w))
+    c = c.withColumn("__local", F.col("__s") + F.max(F.col(arrival) - F.col("__s") + F.col(service)).over(w))
+    chunks = c.groupBy(*ck).agg(F.sum(service).alias("__t"), F.max("__local").alias("__out"))
+    across = W.partitionBy(*lanes).orderBy("__chunk").rowsBetween(W.unboundedPreceding, W.currentRow)
+    chunks = chunks.withColumn("__bt", F.sum("__t").over(across))
+    chunks = chunks.withColumn("__busy", F.col("__bt") + F.max(F.col("__out") - F.col("__bt")).over(across))
+    before = F.lag("__busy").over(W.partitionBy(*lanes).orderBy("__chunk"))
+    c = join_null_safe(c, chunks.select(*ck, before.alias("__before")), ck)
+    commit = F.greatest(F.col("__local"), F.col("__before") + F.col("__s")).cast("bigint")
+    out = c.withColumn("commit_us", commit).drop("__s", "__local", "__before", "__chunk")
+    return out.withColumn("start_us", F.col("commit_us") - F.col(service))
 
 
 def last_before(points: DataFrame, facts: DataFrame, lanes: list[str], value: str, t: str = "t_us", chunk_us: int = DAY_US) -> DataFrame:

@@ -33,17 +33,17 @@ def hash_chunk(value, hex_digits: int = 2) -> Column:
     return F.substring(v, 1, hex_digits)
 
 
-def _join_offsets(df: DataFrame, offsets: DataFrame, cols: Sequence[str]) -> DataFrame:
-    tmp = [f"__o_{c}" for c in cols]
-    right = offsets.select(
-        *[F.col(c).alias(t) for c, t in zip(cols, tmp)],
-        *[c for c in offsets.columns if c not in cols],
-    )
-    cond = None
-    for c, t in zip(cols, tmp):
-        one = F.col(c).eqNullSafe(F.col(t))
-        cond = one if cond is None else cond & one
-    return df.join(right, cond, "left").drop(*tmp)
+def join_null_safe(df: DataFrame, other: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Left join in which null keys match null keys.
+
+    The keys travel as one struct: structs compare their null fields as equal,
+    and unlike `<=>` the join can still be satisfied by an ordinary hash
+    partitioning of that one column.
+    """
+    if not cols:
+        return df.join(F.broadcast(other), how="left")
+    right = other.select(F.struct(*cols).alias("__rk"), *[c for c in other.columns if c not in cols])
+    return df.join(right, F.struct(*cols) == F.col("__rk"), "left").drop("__rk")
 
 
 def running(
@@ -79,7 +79,7 @@ def running(
         *[F.sum(f"__s_{n}").over(whole).alias(t) for n, t in totals.items()],
     )
     local = W.partitionBy(*cols).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    out = _join_offsets(base, offsets, cols)
+    out = join_null_safe(base, offsets, cols)
     for n in sums:
         inner = F.sum(f"__v_{n}").over(local)
         out = out.withColumn(n, F.coalesce(F.col(f"__b_{n}"), F.lit(0)) + F.coalesce(inner, F.lit(0)))
@@ -125,7 +125,7 @@ def neighbours(
     local = W.partitionBy(*cols).orderBy("__ord")
     first = F.row_number().over(local) == 1
     last = F.lead(F.lit(1)).over(local).isNull()
-    out = _join_offsets(base, offsets, cols)
+    out = join_null_safe(base, offsets, cols)
     out = out.withColumn("__first", first).withColumn("__last", last)
     for n, c in prev.items():
         out = out.withColumn(n, F.when(F.col("__first"), F.col(f"__b_{n}")).otherwise(F.lag(c).over(local)))
@@ -201,7 +201,7 @@ def take_top(df: DataFrame, keys: Sequence[str], score: str, key: str, n: Column
     cut = scanned.filter((F.col("__upto") >= n) & (F.col("__upto") - F.col("__n") < n)).select(
         *keys, F.col("__value").alias("__cut"), (n - F.col("__upto") + F.col("__n")).alias("__room")
     )
-    marked = _join_offsets(df, cut, keys) if keys else df.join(F.broadcast(cut), how="left")
+    marked = join_null_safe(df, cut, keys)
     above = marked.filter(F.col("__cut").isNull() | (F.col(score) > F.col("__cut")))
     ties = marked.filter(F.col(score) == F.col("__cut"))
     ties = rank_by(ties, keys, time_chunk(key, 1 << 16), [F.col(key)], name="__tie")

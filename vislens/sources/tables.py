@@ -73,8 +73,9 @@ def read_corpus_files(spark: SparkSession, path: str) -> DataFrame:
 def micros(df: DataFrame, name: str) -> Column:
     """Microseconds since the epoch, whatever the session time zone."""
     if isinstance(df.schema[name].dataType, T.TimestampNTZType):
-        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-        return F.timestamp_diff("MICROSECOND", epoch, F.col(name)).cast("bigint")
+        c = F.col(name)
+        seconds = F.unix_date(F.to_date(c)).cast("bigint") * 86_400 + F.hour(c) * 3_600 + F.minute(c) * 60
+        return seconds * MICROS + (F.extract(F.lit("SECOND"), c) * MICROS).cast("bigint")
     return F.unix_micros(name)
 
 
