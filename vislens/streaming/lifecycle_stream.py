@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from vislens.operators.lifecycle import HIDDEN, PROVISIONAL, QUARANTINED, REVOKED, TRUSTED
 
 OUTPUT = "item_id long, t_us long, old_state string, new_state string"
-_STATE = "state string, deadline_us long, verdict_us long, passes boolean, revoke_us long"
+_STATE = "state string, deadline_us long, verdict_us long, passes boolean, revoke_us long, timer_ms long"
 _ORDER = {"admit": 0, "verdict": 1, "revoke": 2}
 
 
@@ -31,11 +30,12 @@ class LifecycleProcessor(StatefulProcessor):
         self.item = handle.getValueState("item", _STATE)
 
     def _load(self):
-        return list(self.item.get()) if self.item.exists() else [None, None, None, None, None]
+        got = self.item.get()
+        return [None] * 6 if got is None else list(got)
 
     def _settle(self, s: list, out: list) -> None:
         """Apply a known verdict and alert as far as the current state allows."""
-        state, deadline, verdict, passes, revoke = s
+        state, deadline, verdict, passes, revoke = s[:5]
         if verdict is not None and state in (PROVISIONAL, HIDDEN):
             if state == PROVISIONAL and deadline is not None and verdict > deadline:
                 out.append((deadline, PROVISIONAL, HIDDEN))
@@ -48,12 +48,10 @@ class LifecycleProcessor(StatefulProcessor):
             state = REVOKED
         s[0] = state
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         s, out = self._load(), []
-        steps = sorted(zip(pdf["t_us"], pdf["kind"].map(_ORDER), pdf["source_ok"], pdf["passes"]), key=lambda r: (r[0], r[1]))
+        steps = sorted(((r["t_us"], _ORDER[r["kind"]], r["source_ok"], r["passes"]) for r in rows), key=lambda r: r[:2])
         for t, kind, source_ok, passes in steps:
-            t = int(t)
             if kind == 0 and s[0] is None:
                 if not source_ok:
                     out.append((t, None, QUARANTINED))
@@ -62,36 +60,28 @@ class LifecycleProcessor(StatefulProcessor):
                     out.append((t, None, PROVISIONAL))
                     s[0], s[1] = PROVISIONAL, t + self.tp_us
             elif kind == 1 and s[2] is None:
-                s[2], s[3] = t, bool(passes)
+                s[2], s[3] = t, passes
             elif kind == 2 and s[4] is None:
                 s[4] = t
             self._settle(s, out)
-        due = -(-s[1] // 1000) if s[1] is not None else None
-        if s[0] == PROVISIONAL:
-            self.handle.registerTimer(due)
-        elif due is not None and due in [int(x) for x in self.handle.listTimers()]:
-            self.handle.deleteTimer(due)
+        if s[0] == PROVISIONAL and s[5] is None:
+            s[5] = -(-s[1] // 1000)
+            self.handle.registerTimer(s[5])
+        elif s[0] != PROVISIONAL and s[5] is not None:
+            self.handle.deleteTimer(s[5])
+            s[5] = None
         self.item.update(tuple(s))
-        yield self._frame(key, out)
+        return iter([Row(item_id=key[0], t_us=t, old_state=a, new_state=b) for t, a, b in out])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        s, out = self._load(), []
-        if s[0] == PROVISIONAL:
-            out.append((s[1], PROVISIONAL, HIDDEN))
-            s[0] = HIDDEN
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        s = self._load()
+        s[5] = None
+        if s[0] != PROVISIONAL:
             self.item.update(tuple(s))
-        yield self._frame(key, out)
-
-    @staticmethod
-    def _frame(key, out) -> pd.DataFrame:
-        return pd.DataFrame(
-            {
-                "item_id": pd.Series([key[0]] * len(out), dtype="int64"),
-                "t_us": pd.Series([o[0] for o in out], dtype="int64"),
-                "old_state": pd.Series([o[1] for o in out], dtype="object"),
-                "new_state": pd.Series([o[2] for o in out], dtype="object"),
-            }
-        )
+            return iter([])
+        s[0] = HIDDEN
+        self.item.update(tuple(s))
+        return iter([Row(item_id=key[0], t_us=s[1], old_state=PROVISIONAL, new_state=HIDDEN)])
 
     def close(self) -> None:
         pass
@@ -102,5 +92,5 @@ def lifecycle_stream(events: DataFrame, tp_us: int, lateness: str = "1 hour") ->
     return (
         events.withWatermark("ts", lateness)
         .groupBy("item_id")
-        .transformWithStateInPandas(LifecycleProcessor(tp_us), OUTPUT, "Append", "EventTime")
+        .transformWithState(LifecycleProcessor(tp_us), OUTPUT, "Append", "EventTime")
     )
