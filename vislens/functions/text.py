@@ -13,6 +13,8 @@ from pyspark.sql.types import StringType
 SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 # Fixed value: the line boundaries of Python's str.splitlines().
 LINE_BREAK = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+# The same without the newline, once all line boundaries are newlines.
+SPACE_IN_LINE = r"[\t\x1f\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}\x20]+"
 WORD = r"[\p{L}\p{N}_]+"
 
 # Restatement templates and the natural-cover suffix.
@@ -90,9 +92,14 @@ def eligibility_reasons(normalized) -> Column:
     return F.filter(found, lambda r: r.isNotNull())
 
 
-def _has_repeated_line(raw) -> Column:
-    lines = F.transform(F.split(_col(raw), LINE_BREAK), lambda x: F.lower(collapse_space(x)))
-    lines = F.sort_array(F.filter(lines, lambda x: x != ""))
+def _unix_lines(c: Column) -> Column:
+    """Text with every line boundary as a newline; untouched where it already is."""
+    return F.when(c.rlike(r"[\x0b\x0c\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"), F.regexp_replace(c, LINE_BREAK, "\n")).otherwise(c)
+
+
+def _has_repeated_line(unix: Column) -> Column:
+    flat = F.lower(F.regexp_replace(unix, SPACE_IN_LINE, " "))
+    lines = F.sort_array(F.filter(F.transform(F.split(flat, "\n"), lambda x: F.trim(x)), lambda x: x != ""))
     # Sorted, so three equal lines are neighbours.
     return let(
         lines, lambda ls: F.exists(F.transform(ls, lambda x, i: x.eqNullSafe(F.get(ls, i + 2))), lambda same: same)
@@ -100,16 +107,23 @@ def _has_repeated_line(raw) -> Column:
 
 
 def hard_negative_rules(raw) -> Column:
-    """Structural rules satisfied by a post, as an array of names."""
+    """Structural rules satisfied by a post, as an array of names.
+
+    A plain substring test guards every pattern, so most text meets no regex.
+    """
     c = _col(raw)
-    unix = F.regexp_replace(c, LINE_BREAK, "\n")
-    faq = r"(?i)(?:^|[^\p{L}\p{N}_])faq(?:$|[^\p{L}\p{N}_])|frequently asked|(?:^|[^\p{L}\p{N}_])contents(?:$|[^\p{L}\p{N}_])"
+    low, unix = F.lower(c), _unix_lines(c)
+    has = lambda s: F.contains(low, F.lit(s))
+    word = lambda w: rf"(?:^|[^\p{{L}}\p{{N}}_]){w}(?:$|[^\p{{L}}\p{{N}}_])"
     found = F.array(
-        F.when(F.regexp_count(unix, F.lit(r"(?md)^>")) >= 2, "quoted_reply_lines"),
-        F.when(c.rlike(r"(?i)writes:") | c.rlike(r"(?imd)^Subject:\s*Re:"), "reply_attribution_or_re_subject"),
-        F.when(c.rlike(r"(?md)^--[ ]?$"), "signature_footer_separator"),
-        F.when(c.rlike(faq) | _has_repeated_line(c), "faq_boilerplate_or_repeated_lines"),
-        F.when(c.rlike(r"(?imd)^Newsgroups:\s*[^,\n]*[^,\s][^,\n]*,[,\s]*[^,\s]"), "cross_post_header"),
+        F.when(has(">") & (F.regexp_count(unix, F.lit(r"(?md)^>")) >= 2), "quoted_reply_lines"),
+        F.when(has("writes:") | (has("subject:") & c.rlike(r"(?imd)^Subject:\s*Re:")), "reply_attribution_or_re_subject"),
+        F.when(has("--") & c.rlike(r"(?md)^--[ ]?$"), "signature_footer_separator"),
+        F.when(
+            has("frequently asked") | (has("faq") & low.rlike(word("faq"))) | (has("contents") & low.rlike(word("contents"))) | _has_repeated_line(unix),
+            "faq_boilerplate_or_repeated_lines",
+        ),
+        F.when(has("newsgroups:") & c.rlike(r"(?imd)^Newsgroups:\s*[^,\n]*[^,\s][^,\n]*,[,\s]*[^,\s]"), "cross_post_header"),
     )
     return F.filter(found, lambda r: r.isNotNull())
 

@@ -214,6 +214,13 @@ def with_facts(led: DataFrame) -> DataFrame:
     )
 
 
+def visible_at(t: Column) -> Column:
+    """Visible at time t, from facts: a legal trajectory has at most two visible stretches."""
+    first = (F.col("first_visible_us") <= t) & (F.col("contain_us").isNull() | (t < F.col("contain_us")))
+    again = (F.col("readmit_us") <= t) & ((F.col("last_withdraw_us") <= F.col("readmit_us")) | (t < F.col("last_withdraw_us")))
+    return F.coalesce(first, F.lit(False)) | F.coalesce(again, F.lit(False))
+
+
 def queue_depth(df: DataFrame, lanes: list[str], *, enter: str = "arrival_us", start: str = "start_us", key: str = "item_id", chunk_us: int = DAY_US) -> DataFrame:
     """Number of other items waiting when an item enters the queue and when it starts."""
     moves = F.array(

@@ -7,34 +7,30 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vislens.functions.stats import count_if, ratio
+from vislens.operators.lifecycle import visible_at
 
 
-def probe_results(probes: DataFrame, candidates: DataFrame, ledger: DataFrame, cell: list[str], k: int, over_fetch: int) -> DataFrame:
+def probe_results(probes: DataFrame, candidates: DataFrame, facts: DataFrame, cell: list[str], k: int, over_fetch: int) -> DataFrame:
     """Per (cell, probe): post-filtered, eligible and poison-free top-k lists.
 
     probes: probe, t_us, query_id, role.  candidates: query_id, id, score, static
-    (every item that can reach a top k*over_fetch).  ledger: cell, item_id, poison,
-    landed, spans.  The three lists come from one sort per (cell, probe); the
+    (every item that can reach a top k*over_fetch).  facts: cell, item_id, poison,
+    landed and the visibility instants.  The three lists come from one sort per (cell, probe); the
     raw pool holds everything already inserted, whatever its current state.
     """
-    cells = ledger.select(*cell).distinct()
+    instants = ["first_visible_us", "contain_us", "readmit_us", "last_withdraw_us"]
     moving = candidates.filter(~F.col("static")).join(
-        ledger.select(*cell, F.col("item_id").alias("id"), "poison", "landed", "spans"), "id"
-    )
-    no_spans = F.lit(None).cast(ledger.schema["spans"].dataType)
-    fixed = candidates.filter("static").select(
-        "*", F.lit(False).alias("poison"), F.lit(False).alias("landed"), no_spans.alias("spans")
+        facts.select(*cell, F.col("item_id").alias("id"), "poison", "landed", *instants), "id"
     )
     # The cells are a handful of policy settings, one row each.
-    all_cells = cells.agg(F.collect_set(F.struct(*cell))).scalar()
-    fixed = fixed.withColumn("__c", F.explode(all_cells)).select("*", "__c.*").drop("__c")
-    cols = ["query_id", "id", "score", *cell, "poison", "landed", "spans"]
+    all_cells = facts.select(*cell).distinct().agg(F.collect_set(F.struct(*cell))).scalar()
+    fixed = candidates.filter("static").withColumn("__c", F.explode(all_cells)).select("*", "__c.*")
+    never = {c: F.lit(None).cast("bigint") for c in instants[1:]}
+    fixed = fixed.withColumns({"poison": F.lit(False), "landed": F.lit(False), "first_visible_us": F.lit(0).cast("bigint"), **never})
+    cols = ["query_id", "id", "score", *cell, "poison", "landed", *instants]
     pool = fixed.select(*cols).unionByName(moving.select(*cols))
     at = F.col("t_us")
-    first_visible = F.filter("spans", lambda s: s["visible"])
-    inserted = F.col("spans").isNull() | (F.get(first_visible, 0)["start_us"] <= at)
-    visible = F.col("spans").isNull() | F.exists("spans", lambda s: s["visible"] & (s["start_us"] <= at) & (s["end_us"] > at))
-    rows = probes.join(pool, "query_id").filter(inserted).withColumn("visible", visible).drop("spans")
+    rows = probes.join(pool, "query_id").filter(F.col("first_visible_us") <= at).withColumn("visible", visible_at(at)).drop(*instants)
     w = W.partitionBy(*cell, "probe").orderBy(F.col("score").desc(), "id").rowsBetween(W.unboundedPreceding, 0)
     n = lambda c: F.sum(F.when(c, 1).otherwise(0)).over(w)
     clean = F.col("visible") & ~F.col("poison")

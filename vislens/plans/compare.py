@@ -14,6 +14,7 @@ from vislens.plans import lifecycle as pl
 from vislens.plans import workload as wl
 from vislens.plans.registry import cte, query
 from vislens.plans.retrieval_log import log
+from vislens.session import cut_lineage
 from vislens.sources import tables as src
 
 C = "backlog, baseline, arm"
@@ -106,6 +107,7 @@ def run_summary(spark, d):
 )
 def admission_rates(spark, d):
     q = wl.queued(spark, d).withColumn("from_us", wl.start(spark, d)).withColumn("lag", F.col("start_us") - F.col("arrival_us"))
+    q = cut_lineage(q.select("backlog", "source_ok", "arrival_us", "from_us", "lag"))
     inside = F.col("source_ok") & (F.col("arrival_us") < F.col("from_us") + 20 * DAY_US)
     agg = q.groupBy("backlog").agg(
         F.count(F.lit(1)).alias("offered"), count_if(F.col("source_ok")).alias("accepted"), count_if(~F.col("source_ok")).alias("failed"), count_if(inside).alias("accepted_in_window"), F.round(count_if(inside) / 1728000.0, 6).alias("achieved_rate")

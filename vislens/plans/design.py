@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vislens.functions.text import domain_hash
-from vislens.functions.vectors import cosine  # noqa: F401
 from vislens.operators import design as de
 from vislens.operators.cohort import hash_ordered_take
 from vislens.operators.eligibility import seeded_hash

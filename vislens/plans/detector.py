@@ -171,8 +171,8 @@ def select_threshold(spark, d):
 
 @query(
     "key_mismatch",
-    """SELECT coalesce(s.doc_id, l.doc_id)::VARCHAR AS key, CASE WHEN s.doc_id IS NULL THEN 'missing_score' ELSE 'missing_label' END AS problem FROM (SELECT doc_id FROM w_docs WHERE n_ok) s FULL OUTER JOIN labels l ON l.doc_id = s.doc_id WHERE s.doc_id IS NULL OR l.doc_id IS NULL
-UNION ALL SELECT gid, 'repeated_group' FROM w_docs WHERE n_ok GROUP BY gid HAVING count(*) > 1""".replace("n_ok", "source <> 'src7'").replace("FROM w_docs WHERE source", "FROM (SELECT w.*, d.source FROM w_docs w JOIN documents d ON d.doc_id = w.doc_id) WHERE source"),
+    """SELECT coalesce(s.doc_id, l.doc_id)::VARCHAR AS key, CASE WHEN s.doc_id IS NULL THEN 'missing_score' ELSE 'missing_label' END AS problem FROM (SELECT doc_id FROM documents WHERE source <> 'src7') s FULL OUTER JOIN labels l ON l.doc_id = s.doc_id WHERE s.doc_id IS NULL OR l.doc_id IS NULL
+UNION ALL SELECT w.gid, 'repeated_group' FROM w_docs w JOIN documents d ON d.doc_id = w.doc_id WHERE d.source <> 'src7' GROUP BY w.gid HAVING count(*) > 1""",
 )
 def key_mismatch(spark, d):
     """Documents of one source were not scored; not every document has a label."""
@@ -281,7 +281,7 @@ def sign_test(spark, d):
     return cal.sign_test(user_counts(spark, d).select("user_id", "k", "n")).withColumn("p_value", F.round("p_value", 6))
 
 
-@query("reporting_strength", f"SELECT strength, count(*) AS users FROM (SELECT CASE WHEN total * 12 >= 1000 THEN 'p99' WHEN total * 4 >= 200 THEN 'p95' WHEN total >= 30 THEN 'median' ELSE 'none' END AS strength FROM ({_UC})) GROUP BY 1".replace("total * 12", "total").replace("total * 4", "total"))
+@query("reporting_strength", f"SELECT strength, count(*) AS users FROM (SELECT CASE WHEN total >= 1000 THEN 'p99' WHEN total >= 200 THEN 'p95' WHEN total >= 30 THEN 'median' ELSE 'none' END AS strength FROM ({_UC})) GROUP BY 1")
 def reporting_strength(spark, d):
     return user_counts(spark, d).groupBy(cal.reporting_strength(F.col("total")).alias("strength")).agg(F.count(F.lit(1)).alias("users"))
 

@@ -11,6 +11,7 @@ from vislens.operators.ordered import quantiles
 from vislens.plans import workload as wl
 from vislens.plans.registry import cte, query
 from vislens.plans.retrieval import wilson_sql
+from vislens.session import cut_lineage
 
 DAY = lc.DAY_US
 C = "backlog, baseline, arm"
@@ -280,7 +281,7 @@ def visible_during_query(spark, d):
   round(quantile_cont(unvetted_us, 0.5) FILTER (WHERE unvetted_status = 'COMPLETED'), 3) AS eu_p50, max(unvetted_us) FILTER (WHERE unvetted_status = 'COMPLETED') AS eu_max FROM w_life WHERE poison GROUP BY ALL""",
 )
 def exposure_unvetted(spark, d):
-    f = wl.facts(spark, d).filter("poison").select(*CELL, lc.unvetted_status().alias("status"), lc.unvetted_us().alias("us"))
+    f = cut_lineage(wl.facts(spark, d).filter("poison").select(*CELL, lc.unvetted_status().alias("status"), lc.unvetted_us().alias("us")))
     done = F.col("status") == "COMPLETED"
     agg = f.groupBy(*CELL).agg(
         count_if(F.col("status") == "NOT_STARTED").alias("not_started"), count_if(done).alias("completed"), count_if(F.col("status") == "RIGHT_CENSORED").alias("right_censored"),
@@ -299,7 +300,7 @@ def exposure_unvetted(spark, d):
   max(contain_us - first_visible_us) FILTER (WHERE contain_us IS NOT NULL AND state_end IN ('QUARANTINED', 'REVOKED')) AS ep_max FROM w_life WHERE poison GROUP BY ALL""",
 )
 def exposure_poison(spark, d):
-    f = wl.facts(spark, d).filter("poison")
+    f = cut_lineage(wl.facts(spark, d).filter("poison").select(*CELL, "state_end", "first_visible_us", "contain_us"))
     vis_end, seen = is_visible(F.col("state_end")), F.col("first_visible_us").isNotNull()
     settled = F.col("contain_us").isNotNull() & F.coalesce(F.col("state_end").isin(*lc.TERMINAL), F.lit(False))
     agg = f.groupBy(*CELL).agg(
@@ -330,7 +331,7 @@ def freshness(spark, d):
     first = F.col("first_visible_us") - F.col("arrival_us")
     durable = F.when(F.col("last_withdraw_us").isNull(), first).when((F.col("readmit_us") >= F.col("last_withdraw_us")) & vis_end, F.col("readmit_us") - F.col("arrival_us"))
     gap = F.when(F.col("hide_at_us").isNotNull() & F.col("trusted_us").isNotNull() & vis_end, F.col("trusted_us") - F.col("hide_at_us"))
-    f = f.select(*CELL, first.alias("first"), durable.alias("durable"), gap.alias("gap"), F.col("hide_at_us").isNotNull().alias("expired"))
+    f = cut_lineage(f.select(*CELL, first.alias("first"), durable.alias("durable"), gap.alias("gap"), F.col("hide_at_us").isNotNull().alias("expired")))
     agg = f.groupBy(*CELL).agg(
         count_if(F.col("first").isNull()).alias("first_censored"), count_if(F.col("durable").isNull()).alias("durable_censored"),
         count_if(F.col("expired")).alias("expired"), count_if(F.col("expired") & F.col("gap").isNull()).alias("gap_censored"),
@@ -357,7 +358,7 @@ cte(
 )
 def episodes(spark, d):
     keys = CELL + ["kind"]
-    e = lc.episodes(wl.facts(spark, d).filter(~F.col("poison")), CELL)
+    e = cut_lineage(lc.episodes(wl.facts(spark, d).filter(~F.col("poison")), CELL))
     agg = e.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("started"), F.count("end_us").alias("completed"), count_if(F.col("end_us").isNull()).alias("censored"), F.max("open_us").alias("open_max")
     )
@@ -434,6 +435,7 @@ def freshness_exposure_sweep(spark, d):
     rejected = F.when(~F.col("passes") & ~late, 61 - F.least(F.ceil((F.col("commit_us") - F.col("arrival_us")) / 60_000_000), F.lit(61))).otherwise(0)
     q = q.withColumn("eu", F.least("commit_us", "deadline_us") - F.col("arrival_us")).withColumn("vis", 61 - hidden - rejected).withColumn("late", late)
     keys = ["backlog", "tp_s"]
+    q = cut_lineage(q.select(*keys, "eu", "vis", "late"))
     agg = q.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("items"), F.round(F.avg("eu"), 3).alias("mean_eu_us"), F.round(F.avg(F.col("vis") / 61.0), 6).alias("availability"),
         F.round(ratio(count_if(F.col("late")), F.count(F.lit(1))), 6).alias("expiry_rate"),
@@ -532,6 +534,7 @@ def commit_transition_latency(spark, d):
     f = wl.ledger(spark, d).filter(F.col("source_ok") & F.col("verify") & (F.col("commit_us") <= F.col("horizon_us"))).withColumn("trans", lc.upto())
     finals = F.filter("trans", lambda x: x["new_state"].isin("TRUSTED", "QUARANTINED"))
     f = f.withColumn("finals", finals).withColumn("lat", F.get("finals", 0)["t_us"] - F.col("commit_us"))
+    f = cut_lineage(f.select(*CELL, "finals", "lat", "passes"))
     agg = f.groupBy(*CELL).agg(
         F.count(F.lit(1)).alias("committed"), count_if(F.size("finals") != 1).alias("not_exactly_one"),
         count_if((F.get("finals", 0)["new_state"] == "TRUSTED") != F.col("passes")).alias("disagreements"),
@@ -549,7 +552,7 @@ def _q3(col):
   {_q3('wait_us')}, {_q3('service_us')}, {_q3('integrated_us')} FROM w_ver GROUP BY 1""",
 )
 def queue_summary(spark, d):
-    v = verifier_records(spark, d)
+    v = cut_lineage(verifier_records(spark, d))
     agg = v.groupBy("backlog").agg(
         F.count(F.lit(1)).alias("requested"), F.count("start_us").alias("started"), F.count("commit_us").alias("committed"), count_if(F.col("status") != "COMMITTED").alias("open_at_end"),
         F.round(ratio(F.count("commit_us"), F.count(F.lit(1))), 6).alias("committed_rate"),
@@ -571,5 +574,6 @@ def live_outcomes(spark, d):
     tags = F.array(F.when(p, "poison").otherwise("clean"), F.when(p & dp, "false_promotion").when(~p & ~dp, "false_refusal"))
     f = f.withColumn("tag", F.explode(F.filter(tags, lambda t: t.isNotNull())))
     keys = CELL + ["tag"]
+    f = cut_lineage(f.select(*keys, "first_visible_us", "state_end", "visible_us"))
     agg = f.groupBy(*keys).agg(F.count(F.lit(1)).alias("denominator"), F.count("first_visible_us").alias("ever_visible"), count_if(is_visible(F.col("state_end"))).alias("at_end"))
     return agg.join(quantile_table(f, keys, "visible_us", "vis", ((50, 0.5), (95, 0.95))).drop("vis_n"), keys)

@@ -11,6 +11,7 @@ from vislens.operators import retrieval as ret
 from vislens.operators.ordered import quantiles
 from vislens.operators.similarity import max_similarity, topk
 from vislens.plans.registry import cte, query
+from vislens.session import cut_lineage
 from vislens.sources import tables as src
 
 K = 10
@@ -119,7 +120,7 @@ def hidden_sets(items, corpus):
 def metrics(spark, d):
     items = _items(spark, d)
     corpus = src.corpus(items)
-    per_query = elig.evaluate(src.queries(items), corpus, hidden_sets(items, corpus), TAGS, K, FETCH)
+    per_query = elig.evaluate(src.queries(items), corpus, cut_lineage(hidden_sets(items, corpus)), TAGS, K, FETCH)
     m = elig.eligibility_metrics(per_query, K)
     parts = F.split("tag", r"\|")
     return m.withColumn("mode", parts[0]).withColumn("seed", parts[1].cast("int"))

@@ -70,11 +70,10 @@ def probes(spark, d):
 
 def log(spark, d, baselines=None):
     """The query log of every policy cell."""
-    led = wl.ledger(spark, d, baselines).withColumn("trans", lc.upto()).withColumn("spans", lc.spans())
     # Only items that are also vectors can be returned.
     vec = src.corpus(src.items(spark, d)).filter("id % 3 <> 0").select(F.col("id").alias("item_id"))
-    led = led.select(*CELL, "item_id", "poison", "landed", "spans").join(vec, "item_id", "left_semi")
-    return rl.probe_results(probes(spark, d), candidates(spark, d), led, CELL, K, 2)
+    facts = wl.facts(spark, d, baselines).join(vec, "item_id", "left_semi")
+    return rl.probe_results(probes(spark, d), candidates(spark, d), facts, CELL, K, 2)
 
 
 @query("poisoned_rate", f"SELECT {C}, role, count(*) AS queries, count(*) FILTER (WHERE hit) AS np, round(avg(hit::INT), 6) AS prr, min(t_us) FILTER (WHERE hit) AS obs_first_us, max(t_us) FILTER (WHERE hit) AS obs_last_us FROM w_ret GROUP BY ALL")
@@ -146,6 +145,7 @@ def poison_cells(spark, d):
     settled = F.col("contain_us").isNotNull() & F.coalesce(F.col("state_end").isin(*lc.TERMINAL), F.lit(False))
     back = F.col("contain_us").isNotNull() & F.col("trusted_us").isNotNull() & vis_end
     f = f.withColumn("settled_us", F.when(settled, F.col("contain_us")))
+    f = cut_lineage(f.select(*CELL, "first_visible_us", "contain_us", "trusted_us", "state_end", "settled_us"))
     agg = f.groupBy(*CELL).agg(
         (F.count("first_visible_us") > 0).alias("exposed"), F.max("settled_us").alias("c_last"), count_if(F.col("contain_us").isNotNull() & vis_end).alias("readmitted"),
         count_if(F.col("first_visible_us").isNotNull() & (F.col("state_end") == lc.HIDDEN)).alias("pending"), F.min(F.when(back, F.col("trusted_us"))).alias("t_readmit"),
@@ -194,7 +194,7 @@ def conditional_effect(spark, d):
     f"SELECT {C}, count(*) AS seeds, round(quantile_cont(prr, 0.5), 6) AS prr_p50, round(min(prr), 6) AS prr_min, round(max(prr), 6) AS prr_max, round(quantile_cont(np, 0.5), 6) AS np_p50, min(np) AS np_min, max(np) AS np_max FROM (SELECT {C}, probe % 5 AS seed, avg(hit::INT) AS prr, count(*) FILTER (WHERE hit) AS np FROM w_ret GROUP BY ALL) GROUP BY ALL",
 )
 def seed_rollup(spark, d):
-    per = rl.poisoned_rate(log(spark, d).withColumn("seed", F.col("probe") % 5), CELL + ["seed"])
+    per = cut_lineage(rl.poisoned_rate(log(spark, d).withColumn("seed", F.col("probe") % 5), CELL + ["seed"]))
     agg = per.groupBy(*CELL).agg(
         F.count(F.lit(1)).alias("seeds"), F.round(F.min("prr"), 6).alias("prr_min"), F.round(F.max("prr"), 6).alias("prr_max"), F.min("np").alias("np_min"), F.max("np").alias("np_max")
     )

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vislens.plans.registry import query
 from vislens.plans.workload import TP_US
+from vislens.session import shared_dir
 from vislens.sources import tables as src
 from vislens.streaming import log_streams as ls
 from vislens.streaming.lifecycle_stream import lifecycle_stream as run_lifecycle
@@ -70,6 +71,6 @@ def stale_read_stream(spark, d):
 def current_state_table(spark, d):
     e = ls.read_table_stream(spark, d, "events")
     updates = e.select(F.col("user_id").alias("id"), (F.col("event_type") != "error").alias("visible"), F.col("event_id").alias("seq"))
-    base = ls.work_dir(spark)
+    base = shared_dir(spark)
     last = ls.upsert_state(updates, "id", "seq", base)
     return spark.read.parquet(f"{base}/v{last}").select("id", "visible", "seq")

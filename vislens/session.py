@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,13 +25,23 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
     )
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir; a local one only where that is unset."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        return tempfile.mkdtemp(prefix="vislens-")
+    return f"{shared.rstrip('/')}/vislens-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder named by spark.checkpoint.dir."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="vislens-ckpt-"))
-    return df.checkpoint(eager=True)
+    """Write the frame once as a table in the shared folder and read it back.
+
+    For frames that are read several times: computed once, pruned by column when
+    read, and independent of the executors that made it.
+    """
+    path = f"{shared_dir(df.sparkSession)}/table"
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def collect_bounded(df: DataFrame, max_rows: int):

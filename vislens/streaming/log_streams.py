@@ -3,22 +3,13 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
+from vislens.session import shared_dir
 
-def work_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a local one only where that is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        return tempfile.mkdtemp(prefix="vislens-stream-")
-    import uuid
-
-    return f"{shared.rstrip('/')}/vislens-stream-{uuid.uuid4().hex}"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 @contextlib.contextmanager
@@ -35,7 +26,7 @@ def rocksdb(spark: SparkSession):
 def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Drain what is available into a parquet table and return it."""
     spark = stream.sparkSession
-    base = work_dir(spark)
+    base = shared_dir(spark)
     with rocksdb(spark):
         w = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True)
         if mode == "append":
