@@ -1,3 +1,11 @@
 """Visibility-lifecycle and retrieval-safety analytics on Spark DataFrames."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions that run in Python workers travel with the job, so executors need
+# neither this package on their path nor the driver's working directory.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
