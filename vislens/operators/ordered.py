@@ -40,8 +40,6 @@ def join_null_safe(df: DataFrame, other: DataFrame, cols: Sequence[str]) -> Data
     and unlike `<=>` the join can still be satisfied by an ordinary hash
     partitioning of that one column.
     """
-    if not cols:
-        return df.join(F.broadcast(other), how="left")
     right = other.select(F.struct(*cols).alias("__rk"), *[c for c in other.columns if c not in cols])
     return df.join(right, F.struct(*cols) == F.col("__rk"), "left").drop("__rk")
 

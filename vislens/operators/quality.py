@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The evidence tiers a result record may carry.
 EVIDENCE_LEVELS = ("simulation", "exact_in_memory", "milvus_lite_flat", "milvus_standalone")
 
 
