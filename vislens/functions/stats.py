@@ -24,7 +24,8 @@ def wilson(num: Column, den: Column, upper: bool, z: float = Z95) -> Column:
     base = F.lit(1.0) + F.lit(z * z) / n
     center = (p + F.lit(z * z) / (n * 2.0)) / base
     half = F.lit(z) * F.sqrt(p * (F.lit(1.0) - p) / n + F.lit(z * z) / (n * n * 4.0)) / base
-    return F.least(F.lit(1.0), center + half) if upper else F.greatest(F.lit(0.0), center - half)
+    bound = F.least(F.lit(1.0), center + half) if upper else F.greatest(F.lit(0.0), center - half)
+    return F.when(n.isNotNull(), bound)  # least and greatest skip nulls
 
 
 def rate_columns(num: Column, den: Column, prefix: str = "", digits: int = 6) -> list[Column]:
