@@ -26,10 +26,16 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a local one only where that is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        return tempfile.mkdtemp(prefix="vislens-")
+    """A new folder under spark.checkpoint.dir, or under the folder given to setCheckpointDir.
+
+    Without either, a local master gets a temporary folder; on a cluster each
+    executor would write to its own disk, so that is an error.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="vislens-")
     return f"{shared.rstrip('/')}/vislens-{uuid.uuid4().hex}"
 
 
