@@ -162,7 +162,7 @@ def _adam(size: int):
     return step
 
 
-def fit(texts: list[list[str]], tags: list[np.ndarray], rounds: int = 40, ridge: float = 1e-3, rate: float = 0.3) -> Tagger:
+def fit(texts: list[list[str]], tags: list[np.ndarray], rounds: int = 80, ridge: float = 1e-3, rate: float = 0.3) -> Tagger:
     """Maximum conditional likelihood of the tags, with a ridge, by full-batch Adam."""
     lengths = np.array([len(x) for x in texts])
     vocabulary: dict[str, int] = {}
@@ -193,7 +193,7 @@ def fit(texts: list[list[str]], tags: list[np.ndarray], rounds: int = 40, ridge:
     return model
 
 
-def fit_link(model: Tagger, found: np.ndarray, labels: np.ndarray, rounds: int = 400) -> None:
+def fit_link(model: Tagger, found: np.ndarray, labels: np.ndarray, rounds: int = 800) -> None:
     """Logistic weights that turn a document's evidence into its score."""
     x = np.column_stack([np.ones(len(found)), found])
     w, step = np.zeros(x.shape[1]), _adam(x.shape[1])

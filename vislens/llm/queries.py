@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vislens.llm import contamination, packing, simhash, toxicity, unit_dedup
+from vislens.llm import chat_format, contamination, license_scan, packing, simhash, token_counts, toxicity, unit_dedup, vector_dedup, warc
+from vislens.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -45,6 +46,35 @@ def packing_rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", F.octet_length("text").alias("n_bytes"), F.xxhash64(plain).alias("cluster"))
 
 
+@query("op1_license_scan")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every licence text of the built-in templates in every document, at a coverage of 0.8."""
+    return license_scan.scan_licenses(read(spark, sf_dir, "documents"))
+
+
+@query(
+    "op2_warc",
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+    d AS (SELECT page_id, octet_length(encode(body)) AS payload_bytes, sha1(body) AS payload_digest FROM p),
+    m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN first END AS refers_to
+    FROM m
+    """,
+)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives and read back."""
+    pages = read(spark, sf_dir, "pages")
+    folder = warc.new_folder(spark)
+    n = warc.write_warc(pages, folder).agg(F.sum("n_records")).first()[0]
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    if not n:  # an empty table leaves no file to read
+        return warc.archive_rows(pages).select("page_id", F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.lit("response").alias("record_type"), "refers_to")
+    return warc.read_warc(spark, folder, pages.schema["page_id"].dataType.simpleString()).select(columns)
+
+
 WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
 
 
@@ -100,6 +130,49 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing_rows(read(spark, sf_dir, "documents")), "n_bytes", CAPACITY)
 
 
+def vocabulary() -> str:
+    """The tokenizer file of this installation."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@query("op7_token_counts")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document, from encodings of whole documents."""
+    return token_counts.section_tokens(read(spark, sf_dir, "documents"), vocabulary())
+
+
+CONTROL = r"(\\|<<SYS>>|<</SYS>>|\[INST\]|\[/INST\]|\[ROLE\]|\[/ROLE\]|\[/TURN\]|<s>|</s>)"
+
+
+@query(
+    "op8_chat_format",
+    rf"""
+    WITH c AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+    e AS (SELECT *, length(regexp_replace(text, '{CONTROL}', '\\\1', 'g')) + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7
+                 ELSE length(regexp_replace(role, '{CONTROL}', '\\\1', 'g')) + 20 END AS n,
+                 lag(role, 1, '') OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before,
+                 row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) = 1 AS last FROM c)
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+           coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+           sum(n)::BIGINT AS formatted_chars,
+           bool_and((before || '>' || role) IN ('>system', '>user', 'system>user', 'user>assistant', 'assistant>user') AND (NOT last OR role IN ('user', 'assistant'))) AS valid
+    FROM e GROUP BY conv_id
+    """,
+)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that says control strings, formatted, written, and read back."""
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    segments = cut_lineage(chat_format.format_conversations(rows.unionByName(more)))
+    return chat_format.read_conversations(chat_format.sorted_segments(segments))
+
+
 @query("op9_simhash")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and group of near copies of every document."""
@@ -107,6 +180,25 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_size")
 
 
+@query(
+    "op10_vector_dedup",
+    """
+    WITH RECURSIVE v AS (
+        SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+        WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+    r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+    m AS (SELECT a, least(a, min(b)) AS low FROM r GROUP BY a),
+    n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+    SELECT vec_id, coalesce(n.n, 0) AS n_links, coalesce(low, vec_id) AS component_id, vec_id = coalesce(low, vec_id) AS kept
+    FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN m ON m.a = vec_id
+    """,
+)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of all vectors at a cosine of 0.95."""
+    return vector_dedup.vector_groups(read(spark, sf_dir, "embeddings"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline.py."""

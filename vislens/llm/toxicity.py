@@ -38,19 +38,26 @@ def _cues(word: str):
             yield core[:k] + "*"
 
 
-def toxic_cues(texts: list[list[str]], labels: list[int], least: int = 5, times: float = 12.0) -> set[str]:
-    """Words and beginnings (with *) that stand in `least` or more different surroundings of toxic texts, `times` as often as in clean ones."""
+def toxic_cues(texts: list[list[str]], labels: list[int], least: int = 5, times: float = 12.0, words: int = 3) -> set[str]:
+    """Words and beginnings (with *) that stand in `least` or more different surroundings of toxic texts, `times` as often as in clean ones.
+
+    A beginning must be that of `words` different words there; else the word alone is what counts.
+    """
     seen: tuple[defaultdict, defaultdict] = (defaultdict(set), defaultdict(set))
     total: tuple[set, set] = (set(), set())
-    for words, label in zip(texts, labels):
-        padded = ["", *words, ""]
-        for i, w in enumerate(words):
+    forms = defaultdict(set)
+    for tokens, label in zip(texts, labels):
+        padded = ["", *tokens, ""]
+        for i, w in enumerate(tokens):
             around = hash((padded[i], w, padded[i + 2]))
             total[label].add(around)
             for cue in _cues(w):
                 seen[label][cue].add(around)
+                if label and cue.endswith("*"):
+                    forms[cue].add(w.strip(EDGES))
     share = max(1, len(total[0])) / max(1, len(total[1]))
-    return {c for c, v in seen[1].items() if c and len(v) >= least and len(v) * share >= times * (len(seen[0].get(c, ())) + 1)}
+    often = (c for c, v in seen[1].items() if c and len(v) >= least and len(v) * share >= times * (len(seen[0].get(c, ())) + 1))
+    return {c for c in often if not c.endswith("*") or len(forms[c]) >= words}
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS) -> Tagger:
