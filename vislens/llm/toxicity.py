@@ -11,7 +11,7 @@ is fitted on a bounded sample; every row is scored on its whole text.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from dataclasses import astuple
 
 import numpy as np
@@ -43,20 +43,22 @@ def toxic_cues(texts: list[list[str]], labels: list[int], least: int = 5, times:
 
     A beginning must be that of `words` different words there; else the word alone is what counts.
     """
-    seen: tuple[defaultdict, defaultdict] = (defaultdict(set), defaultdict(set))
+    # a surrounding holds its word, so each is counted once for every cue of that word
+    seen = (Counter(), Counter())
     total: tuple[set, set] = (set(), set())
     forms = defaultdict(set)
     for tokens, label in zip(texts, labels):
         padded = ["", *tokens, ""]
         for i, w in enumerate(tokens):
             around = hash((padded[i], w, padded[i + 2]))
-            total[label].add(around)
-            for cue in _cues(w):
-                seen[label][cue].add(around)
-                if label and cue.endswith("*"):
-                    forms[cue].add(w.strip(EDGES))
+            if around not in total[label]:
+                total[label].add(around)
+                for cue in _cues(w):
+                    seen[label][cue] += 1
+                    if label and cue.endswith("*"):
+                        forms[cue].add(w.strip(EDGES))
     share = max(1, len(total[0])) / max(1, len(total[1]))
-    often = (c for c, v in seen[1].items() if c and len(v) >= least and len(v) * share >= times * (len(seen[0].get(c, ())) + 1))
+    often = (c for c, n in seen[1].items() if c and n >= least and n * share >= times * (seen[0][c] + 1))
     return {c for c in often if not c.endswith("*") or len(forms[c]) >= words}
 
 
@@ -77,8 +79,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         sample.append(ids.withColumn("__y", F.lit(y)))
     ids = sample[0].unionByName(sample[1])
     picked = texts.join(F.broadcast(ids), id_col).orderBy(id_col, "__text").toArrow()  # 2 * max_docs ids, and texts of bounded length
-    order = [([w.lower() for w in t.split()], y) for t, y in zip(picked.column("__text").to_pylist(), picked.column("__y").to_pylist())]
-    words, truth = [w for w, _ in order], [y for _, y in order]
+    known: dict[str, str] = {}  # one object per word
+    words = [[known.setdefault(w, w) for w in map(str.lower, t.as_py().split())] for t in picked.column("__text")]
+    truth = picked.column("__y").to_pylist()
+    del picked
     cues = toxic_cues(words, truth)
     tags = [np.array([y == 1 and any(c in cues for c in _cues(w)) for w in x], float) for x, y in zip(words, truth)]
     model = fit(words, tags)
