@@ -96,13 +96,13 @@ def test_empty_null_long_and_repeated_texts(make_docs, fitted):
 def test_without_labels_nothing_is_toxic(spark, make_docs):
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
     model = toxicity.fit_toxicity(make_docs([(1, "a b c")]), none)
-    assert toxicity.drop_toxic(make_docs([(1, "a b c"), (2, None)]), model, at=0.500001).count() == 2
+    assert toxicity.drop_toxic(make_docs([(1, "a b c"), (2, None)]), model).count() == 2
     clean = spark.createDataFrame([(1, 0), (1, 0), (None, 1), (2, None)], "doc_id bigint, toxic int")
     model = toxicity.fit_toxicity(make_docs([(1, "a b c"), (2, "d")]), clean)
-    assert all(r.score <= 0.5 for r in toxicity.score_toxicity(make_docs([(1, "a b c"), (2, "d")]), model).collect())
+    assert all(r.score < 0.5 for r in toxicity.score_toxicity(make_docs([(1, "a b c"), (2, "d")]), model).collect())
 
 
 def test_copies_of_one_toxic_text_do_not_mark_its_words():
-    copies = [f"word{i}" for i in range(30)] + ["idiot"]
+    copies = [chr(97 + i % 26) * (1 + i // 26) + "mnopq" for i in range(30)] + ["idiot"]
     texts = [copies] * 40 + [["idiot", f"a{i}", f"b{i}", "idiot"] for i in range(20)] + [[f"c{i}", "word"] for i in range(200)]
     assert toxicity.toxic_cues(texts, [1] * 60 + [0] * 200) == {"idiot"}

@@ -33,8 +33,8 @@ class Tagger:
     bias: float = 0.0
     #: log potentials of tag i followed by tag j
     moves: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
-    #: document score: logistic weights of its evidence, see `evidence`
-    link: np.ndarray = field(default_factory=lambda: np.zeros(4))
+    #: document score: logistic weights of its evidence, see `evidence`; unfitted, nothing is toxic
+    link: np.ndarray = field(default_factory=lambda: np.array([-1.0, 0, 0, 0]))
 
     def emission(self, word: str) -> float:
         return float(self.weights[features(word)].sum()) + self.bias
@@ -164,7 +164,7 @@ def _adam(size: int):
 
 def fit(texts: list[list[str]], tags: list[np.ndarray], rounds: int = 80, ridge: float = 1e-3, rate: float = 0.3) -> Tagger:
     """Maximum conditional likelihood of the tags, with a ridge, by full-batch Adam."""
-    lengths = np.array([len(x) for x in texts])
+    lengths = np.array([len(x) for x in texts], dtype=np.int64)
     vocabulary: dict[str, int] = {}
     word = np.array([vocabulary.setdefault(w, len(vocabulary)) for x in texts for w in x], dtype=np.int64)
     y = np.concatenate([np.asarray(t, float) for t in tags]) if len(tags) else np.zeros(0)

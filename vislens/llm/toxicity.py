@@ -68,7 +68,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     The sample is the lowest hashes of the ids of `labels`, so it does not depend
     on partitioning; texts over `max_chars` characters are not taken for fitting.
     Rows with a null id, label or text are not used. Without toxic documents the
-    scores of all texts are 0.5 or less.
+    scores of all texts are below 0.5.
     """
     rows = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(id_col, F.col(label_col).cast("int").alias("__y"))
     texts = docs.filter(F.length(text_col) <= max_chars).select(id_col, F.col(text_col).alias("__text"))
