@@ -1,8 +1,11 @@
 import os
+import random
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
+from vislens.operators import lifecycle as lc
 from vislens.streaming import log_streams as ls
 from vislens.streaming.lifecycle_stream import lifecycle_stream
 
@@ -49,8 +52,87 @@ def test_batches_timers_and_late_verdicts(spark, tmp_path):
 
 def test_state_table_keeps_the_last_write_over_batches(spark, tmp_path):
     base = str(tmp_path)
-    drop(spark, base, [[(1, "a", 1, True, True), (2, "a", 2, True, True)], [(1, "b", 5, False, True)], [(1, "old", 3, True, True), (3, "c", 9, True, True)]])
+    drop(spark, base, [[(1, "a", 1, True, True), (2, "a", 2, True, True)], [(1, "b", 5, False, True)], [(1, "old", 3, True, True), (3, "c", 9, True, True)], [(4, "d", 1, True, True)]])
     ev = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).json(f"{base}/in").select("item_id", "kind", "t_us")
-    last = ls.upsert_state(ev, "item_id", "t_us", f"{base}/state")
-    got = {r["item_id"]: r["kind"] for r in spark.read.parquet(f"{base}/state/v{last}").collect()}
-    assert got == {1: "b", 2: "a", 3: "c"}
+    for compact in (2, 3, 20):
+        table = ls.StateTable(spark, f"{base}/state{compact}", ["item_id"], "t_us", compact=compact)
+        table.follow(ev)
+        got = {r["item_id"]: r["kind"] for r in table.read(ev.schema).collect()}
+        assert got == {1: "b", 2: "a", 3: "c", 4: "d"}
+        assert len(table.parts()) < max(3, compact) and table.parts()[-1][1] == 3
+        # a batch that runs again replaces its own rows
+        table.put(spark.createDataFrame([(4, "again", 1 + START)], "item_id long, kind string, t_us long"), 9)
+        table.put(spark.createDataFrame([(4, "again", 1 + START)], "item_id long, kind string, t_us long"), 9)
+        assert {r["item_id"]: r["kind"] for r in table.read(ev.schema).collect()} == got | {4: "again"}
+    assert ls.StateTable(spark, f"{base}/none", ["item_id"]).read(ev.schema).count() == 0
+
+
+def test_rates_are_updated_over_batches_and_late_rows_are_counted(spark, tmp_path):
+    base = str(tmp_path)
+    H = 3600 * S
+    drop(spark, base, [[(1, "hit", 0, True, True), (2, "no", H, True, True)], [(3, "hit", 2 * H, True, True), (4, "no", H // 2, True, True)], [(5, "hit", 90 * H, True, True)], [(8, "hit", 90 * H, True, True)], [(6, "hit", 91 * H, True, True), (7, "hit", H, True, True)]])
+    ev = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).json(f"{base}/in")
+    log = ev.select(F.timestamp_micros("t_us").alias("ts"), (F.col("kind") == "hit").alias("hit"))
+    out, late = ls.drain(ls.prr_stream(log, "1 day", "2 hours"), keys=["start"])
+    got = sorted((r["n"], r["hits"]) for r in out.collect())
+    assert got == [(3, 3), (4, 2)] and late == 1
+    with pytest.warns(UserWarning, match="1 rows"):
+        ls.run_to_table(ls.prr_stream(log, "1 day", "2 hours"), keys=["start"])
+
+
+def test_stale_returns_however_long_after_and_not_after_a_return_to_visibility(spark, tmp_path):
+    base = str(tmp_path)
+    D = 86_400 * S
+    rows = lambda *x: [(i, f"{k}:{p}", t, True, True) for i, k, p, t in x]
+    drop(
+        spark, base,
+        [
+            rows((1, "withdraw", 0, 0), (2, "withdraw", 0, 5 * S), (3, "return", 30, 10 * S)),
+            rows((1, "return", 10, 3 * S), (2, "readmit", 0, 9 * S), (3, "withdraw", 0, 8 * S), (1, "return", 11, 0)),
+            rows((2, "return", 20, 7 * S), (2, "return", 21, 10 * S), (9, "return", 90, 400 * D)),
+            rows((1, "return", 12, 401 * D), (2, "withdraw", 0, 401 * D), (2, "return", 22, 401 * D), (9, "return", 91, 401 * D)),
+            rows((2, "return", 23, 800 * D)),
+        ],
+    )
+    ev = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).json(f"{base}/in")
+    parts = F.split("kind", ":")
+    ev = ev.select("item_id", F.timestamp_micros("t_us").alias("ts"), "t_us", parts[0].alias("kind"), parts[1].cast("long").alias("probe"))
+    got = {(r["probe"], (r["t_us"] - START) // S, (r["withdrawn_us"] - START) // S) for r in ls.run_to_table(ls.stale_read_stream(ev, "1 minute")).collect()}
+    d = 86_400
+    assert got == {(10, 3, 0), (11, 0, 0), (20, 7, 5), (30, 10, 8), (12, 401 * d, 0), (22, 401 * d, 401 * d), (23, 800 * d, 401 * d)}
+
+
+def replay(spark, base, events, files, policy):
+    """The events in `files` batches by time, shuffled within a batch."""
+    rng = random.Random(files)
+    order = sorted(events, key=lambda r: r[2])
+    batches = [order[k * len(order) // files : (k + 1) * len(order) // files] for k in range(files)]
+    for b in batches:
+        rng.shuffle(b)
+    drop(spark, base, batches)
+    ev = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).json(f"{base}/in").withColumn("ts", F.timestamp_micros("t_us"))
+    out = ls.run_to_table(lifecycle_stream(ev, 30 * S, "10 seconds", policy))
+    return {(r["item_id"], (r["t_us"] - START), r["old_state"], r["new_state"]) for r in out.collect()}
+
+
+@pytest.mark.parametrize("policy", ["B1", "B2", "B3", "B4"])
+def test_streams_of_any_batching_equal_the_batch_ledger(spark, tmp_path, policy):
+    rng = random.Random(3)
+    items = [(i, rng.randint(0, 400) * S, rng.random() > 0.15, rng.random() > 0.3, rng.choice([1, 10, 29, 30, 31, 60, 200]) * S + i, rng.choice([None, None, 5, 400])) for i in range(120)]
+    schema = "item_id long, arrival_us long, source_ok boolean, passes boolean, wait long, revoke long"
+    df = spark.createDataFrame(items, schema).withColumns({"commit_us": F.col("arrival_us") + F.col("wait"), "revoke_us": F.col("arrival_us") + F.col("revoke") * S})
+    verify, sync, deadline = lc.POLICIES[policy]
+    led = lc.ledger(df.withColumns({"verify": F.lit(verify), "sync": F.lit(sync), "use_deadline": F.lit(deadline)}), 30 * S)
+    want = {(r["item_id"], r["t_us"], r["old_state"], r["new_state"]) for r in lc.to_log(led, ["item_id"]).collect()}
+    events = []
+    for i, t, ok, passes, wait, revoke in items:
+        events.append((i, "admit", t, ok, passes))
+        if ok:
+            events.append((i, "verdict", t + wait, ok, passes))
+        if revoke is not None:
+            events.append((i, "revoke", t + revoke * S, ok, passes))
+    # closes every deadline that is still open
+    events.append((-1, "admit", 100_000 * S, False, True))
+    for files in (1, 3):
+        got = {r for r in replay(spark, str(tmp_path / f"{policy}{files}"), list(events), files, policy) if r[0] >= 0}
+        assert got == want

@@ -128,10 +128,30 @@ def hard_negative_rules(raw) -> Column:
     return F.filter(found, lambda r: r.isNotNull())
 
 
+@F.pandas_udf(StringType())
+def _casefold(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t).casefold())
+
+
+def casefold(c) -> Column:
+    """NFC, then full case folding.  For Latin letters below U+0180 that is lower case, "ss" for the sharp s and a Greek mu for the micro sign.
+
+    Only text with other characters leaves the JVM (the dotted capital I, the old n and the long s are among them).
+    """
+    c = _col(c)
+    touched = F.when(c.rlike(r"[\x{130}\x{149}\x{17f}-\x{10ffff}]"), c)
+    plain = F.translate(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), "\u00b5", "\u03bc")
+    return F.coalesce(_casefold(touched), plain)
+
+
+def decode_latin1(c) -> Column:
+    """Bytes to text, one character per byte."""
+    return F.decode(_col(c), "ISO-8859-1")
+
+
 def tokens(c) -> Column:
     """Case-folded word tokens."""
-    folded = F.replace(F.lower(_col(c)), F.lit("ß"), F.lit("ss"))
-    return F.regexp_extract_all(folded, F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(casefold(c), F.lit(WORD), F.lit(0))
 
 
 def shingles(token_array, n: int) -> Column:

@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vislens.operators.ordered import hash_chunk, rank_by, time_chunk
-from vislens.operators.similarity import _id_type, _values, block_join
+from vislens.operators.ordered import hash_chunk, rank_by, running, time_chunk
 
 
 def round_robin(df: DataFrame, topic_index: str, n_topics: Column | int, variant: str, n_variants: int, order: str, key: str) -> DataFrame:
@@ -34,31 +29,26 @@ def interleave(df: DataFrame, keys: list[str], second: str, order: str, key: str
     return r.withColumn("position", pos).drop("__r", "__a", "__b")
 
 
+def _ring_place(domain: str, key: Column) -> Column:
+    """Place on a ring of 2^60, from the first 15 digits of a digest."""
+    return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(domain), key.cast("string")), 256), 1, 15), 16, 10).cast("bigint")
+
+
 def hashed_donor(owners: DataFrame, donors: DataFrame, domain: str, *, owner: str = "owner", owner_group: str = "group", donor: str = "donor", donor_group: str = "group") -> DataFrame:
-    """Per owner the donor of its group with the smallest owner-salted hash.
+    """Per owner the next donor of its group on a hash ring, going round at its end; owners of a group without donors are left out.
 
-    Hashes are compared inside tasks; a task emits one row per owner it saw.
+    One sort of both sides instead of a comparison of all pairs.
     """
-    big = donors.select(F.col(donor).alias("d"), F.col(donor_group).cast("string").alias("g"))
-    other = owners.select(F.col(owner).alias("o"), F.col(owner_group).cast("string").alias("g"))
-    schema = f"o {_id_type(owners, owner)}, h string, d {_id_type(donors, donor)}"
-
-    def kernel(lt: pa.Table, rt: pa.Table) -> pa.Table:
-        dg, d = _values(lt["g"]), _values(lt["d"])
-        rows = {"o": [], "h": [], "d": []}
-        by_group = {g: d[dg == g] for g in np.unique(dg)}
-        for o, g in zip(_values(rt["o"]), _values(rt["g"])):
-            best = min(((hashlib.sha256(f"{domain}|{o}|{x}".encode()).hexdigest(), x) for x in by_group.get(g, ())), default=None)
-            if best:
-                rows["o"].append(o)
-                rows["h"].append(best[0])
-                rows["d"].append(best[1])
-        return pa.table(
-            {"o": pa.array(rows["o"], rt.schema.field("o").type), "h": pa.array(rows["h"], pa.string()), "d": pa.array(rows["d"], lt.schema.field("d").type)}
-        )
-
-    part = block_join(big, other, kernel, schema)
-    return part.groupBy(F.col("o").alias(owner)).agg(F.min_by("d", F.struct("h", "d")).alias(donor))
+    width = 1 << 50
+    d = donors.select(F.col(donor_group).alias("g"), F.col(donor).alias("__d"), _ring_place(domain, F.col(donor)).alias("h"))
+    o = owners.select(F.col(owner_group).alias("g"), F.col(owner).alias("__o"), _ring_place(domain, F.col(owner)).alias("h"))
+    # running maxima go upwards, so the ring is walked from its end: the nearest place at or after is the largest of the negatives before
+    both = d.select("g", (-F.col("h")).alias("t"), F.lit(0).alias("side"), F.struct(-F.col("h"), -F.col("__d")).alias("v"), F.lit(None).cast(owners.schema[owner].dataType).alias("__o"))
+    both = both.unionByName(o.select("g", (-F.col("h")).alias("t"), F.lit(1).alias("side"), F.lit(None).cast(both.schema["v"].dataType).alias("v"), "__o"))
+    ran = running(both, ["g"], time_chunk("t", width), [F.col("t"), F.col("side")], maxes={"__near": F.col("v")}).filter("side = 1")
+    first = d.groupBy("g").agg(F.min(F.struct("h", "__d")).alias("__first"))
+    out = ran.join(first, "g").select(F.col("__o").alias(owner), F.coalesce(-F.col("__near")[both.schema["v"].dataType.names[1]], F.col("__first.__d")).alias(donor))
+    return out.filter(F.col(donor).isNotNull())
 
 
 def ordered_injection(df: DataFrame, keys: list[str], role_order: Column, t: str, key: str, width: int) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vislens.functions import text as tx
 from vislens.functions.vectors import cosine
 from vislens.operators.similarity import topk
+from vislens.session import cut_lineage
 
 MIN_STD = 1e-12
 
@@ -62,6 +63,20 @@ def knn_novelty(items: DataFrame, reference: DataFrame, k: int = 10) -> DataFram
     return out.filter(enough.isNull()).select(F.col("query_id").alias("id"), "knn")
 
 
+def text_features(posts: DataFrame, embedder: Callable = hashed_embedder, k: int = 10) -> DataFrame:
+    """rep and knn of every post with two non-empty word halves; posts: id, norm, source_group, is_ref, and what else is to be kept.
+
+    The vectors are made once per text: for the whole and for both halves.
+    """
+    a, b = tx.word_halves("norm")
+    d = posts.withColumns({"__a": a, "__b": b}).filter((F.col("__a") != "") & (F.col("__b") != ""))
+    for text, vector in (("norm", "vector"), ("__a", "__va"), ("__b", "__vb")):
+        d = embedder(d, text, vector)
+    d = cut_lineage(d.withColumn("rep", cosine("__va", "__vb")).drop("norm", "__a", "__b", "__va", "__vb"))
+    near = knn_novelty(d, d.filter("is_ref"), k)
+    return d.drop("vector").join(near, "id")
+
+
 def z_statistics(features: DataFrame) -> DataFrame:
     """One row: population mean and standard deviation of rep and knn over the reference."""
     z = features.agg(

@@ -51,6 +51,11 @@ def cluster_anchors(items: DataFrame, seeds: tuple[int, ...], n: int = 5, prefix
     return out
 
 
+def hidden_tags(hidden: DataFrame, tag: str) -> DataFrame:
+    """(id, gone): the tags that hide an item, as one array bounded by their number."""
+    return hidden.groupBy("id").agg(F.collect_set(tag).alias("gone"))
+
+
 def evaluate(
     queries: DataFrame, items: DataFrame, hidden: DataFrame, tags: list[str], k: int, over_fetch: tuple[int, ...]
 ) -> DataFrame:
@@ -61,9 +66,8 @@ def evaluate(
     """
     raw = topk(queries, items, k * max(over_fetch)).select("query_id", "id", "score", "rank")
     tag_list = F.array(*[F.lit(t) for t in tags])
-    tagged = items.select("id", "vector", F.explode(tag_list).alias("tag"))
-    eligible = tagged.join(hidden, ["tag", "id"], "left_anti")
-    truth = topk(queries, eligible, k, tag="tag").select("tag", "query_id", "id").withColumn("in_truth", F.lit(1))
+    marked = items.select("id", "vector").join(hidden_tags(hidden, "tag"), "id", "left")
+    truth = topk(queries, marked, k, hidden="gone", hidden_tags=tags).select("tag", "query_id", "id").withColumn("in_truth", F.lit(1))
     raw_tagged = raw.withColumn("tag", F.explode(tag_list))
     flagged = raw_tagged.join(hidden.withColumn("hid", F.lit(1)), ["tag", "id"], "left").join(
         truth, ["tag", "query_id", "id"], "left"
@@ -136,21 +140,24 @@ def containment_cost(items: DataFrame, revoked: DataFrame) -> DataFrame:
     )
 
 
-def residual_exposure(items: DataFrame, revoked: DataFrame, k: int, over_fetch: int = 2) -> DataFrame:
-    """Revoked items still returned to their own vector as query, per granularity."""
+def residual_exposure(items: DataFrame, revoked: DataFrame, k: int, over_fetch: int = 2, applied: DataFrame | None = None) -> DataFrame:
+    """Revoked items still returned to their own vector as query, per granularity.
+
+    `applied` holds the revocations that the index has carried out, by default all.
+    """
+    applied = revoked if applied is None else applied
     probes = items.join(revoked.select("id").distinct(), "id", "left_semi").select(
         F.col("id").alias("query_id"), F.col("vector").alias("qvec")
     )
     raw = topk(probes, items, k * over_fetch).select("query_id", "id", "rank")
     own_raw = raw.filter((F.col("id") == F.col("query_id")) & (F.col("rank") <= k)).select(F.col("id"), F.lit(1).alias("raw_hit"))
-    grains = F.array(*[F.lit(g) for g in ("source", "batch", "lineage")])
-    visible = items.select("id", "vector", F.explode(grains).alias("granularity")).join(
-        revoked, ["granularity", "id"], "left_anti"
-    )
-    inf = topk(probes, visible, k, tag="granularity").filter(F.col("id") == F.col("query_id")).select(
-        "granularity", "id", F.lit(1).alias("if_hit")
+    names = ("source", "batch", "lineage")
+    grains = F.array(*[F.lit(g) for g in names])
+    visible = items.select("id", "vector").join(hidden_tags(applied, "granularity"), "id", "left")
+    inf = topk(probes, visible, k, hidden="gone", hidden_tags=names).filter(F.col("id") == F.col("query_id")).select(
+        F.col("tag").alias("granularity"), "id", F.lit(1).alias("if_hit")
     )
-    survivors = raw.withColumn("granularity", F.explode(grains)).join(revoked, ["granularity", "id"], "left_anti")
+    survivors = raw.withColumn("granularity", F.explode(grains)).join(applied, ["granularity", "id"], "left_anti")
     pf = survivors.filter(F.col("id") == F.col("query_id")).select("granularity", "id", F.lit(1).alias("pf_hit"))
     return (
         revoked.join(own_raw, "id", "left")

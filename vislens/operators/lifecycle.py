@@ -89,19 +89,22 @@ def first_after(points: DataFrame, probes: DataFrame, lanes: list[str], name: st
     return got.filter("__side = 1").select(*lanes, "__row.*", (-F.col("__n")).alias(name))
 
 
+def policy_arms(arms) -> list[tuple[str, str]]:
+    """(baseline, arm) of every cell; the unverified baseline needs a single arm."""
+    return [(b, arm) for b, (verify, _, _) in POLICIES.items() for arm in (arms if verify else list(arms)[:1])]
+
+
 def policy_cells(df: DataFrame, arms: dict[str, Column]) -> DataFrame:
-    """One row per (baseline, arm); the unverified baseline needs a single arm."""
+    """One row per (baseline, arm)."""
     cells = []
-    for b, (verify, sync, deadline) in POLICIES.items():
-        for arm, passes in arms.items():
-            if not verify and arm != next(iter(arms)):
-                continue
-            cells.append(
-                F.struct(
-                    F.lit(b).alias("baseline"), F.lit(arm).alias("arm"), F.lit(verify).alias("verify"),
-                    F.lit(sync).alias("sync"), F.lit(deadline).alias("use_deadline"), passes.alias("passes"),
-                )
-            )
+    for b, arm in policy_arms(arms):
+        verify, sync, deadline = POLICIES[b]
+        cells.append(
+            F.struct(
+                F.lit(b).alias("baseline"), F.lit(arm).alias("arm"), F.lit(verify).alias("verify"),
+                F.lit(sync).alias("sync"), F.lit(deadline).alias("use_deadline"), arms[arm].alias("passes"),
+            )
+        )
     return df.withColumn("__c", F.explode(F.array(*cells))).select("*", "__c.*").drop("__c")
 
 
@@ -186,38 +189,62 @@ def spans(trans: str = "trans", horizon: str = "horizon_us") -> Column:
     )
 
 
-def with_facts(led: DataFrame) -> DataFrame:
-    """Per-item instants and totals used by every lifecycle metric (horizon applied)."""
+def with_facts(led: DataFrame, width: int = 5) -> DataFrame:
+    """Per-item instants and totals used by every lifecycle metric (horizon applied).
+
+    `width` is the number of transitions a row can have; `ledger` gives five at
+    most. The places of the array are written out, so that all of this is compiled
+    instead of interpreted lambda by lambda.
+    """
     d = led.withColumn("trans", upto()).withColumn("spans", spans())
-    first = lambda p: F.array_min(F.transform(F.filter("trans", p), lambda x: x["t_us"]))
-    last = lambda p: F.array_max(F.transform(F.filter("trans", p), lambda x: x["t_us"]))
-    leaves = lambda x: is_visible(x["old_state"]) & ~is_visible(x["new_state"])
-    enters = lambda x: ~is_visible(x["old_state"]) & is_visible(x["new_state"])
+    at = [F.get("trans", F.lit(i)) for i in range(width)]
+    t = [x["t_us"] for x in at]
+    old, new = [x["old_state"] for x in at], [x["new_state"] for x in at]
+    there = [x.isNotNull() for x in at]
+    was, now = [is_visible(x) for x in old], [is_visible(x) for x in new]
+    bigint = F.lit(None).cast("bigint")  # least and greatest skip nulls, but want two arguments
+    pick = lambda conds: [F.when(y & c, v) for y, c, v in zip(there, conds, t)]
+    first = lambda conds: F.least(bigint, *pick(conds))
+    last = lambda conds: F.greatest(bigint, *pick(conds))
+
+    def number(conds):
+        out = F.lit(0)
+        for y, c in zip(there, conds):
+            out = out + F.when(y & c, 1).otherwise(0)
+        return out
+
+    leaves = [a & ~b for a, b in zip(was, now)]
+    enters = [~a & b for a, b in zip(was, now)]
+    is_new = lambda state: [F.coalesce(x == state, F.lit(False)) for x in new]
+    is_old = lambda state: [F.coalesce(x == state, F.lit(False)) for x in old]
+    visible_us = F.lit(0).cast("bigint")
+    for i in range(width):
+        end = F.coalesce(*([t[i + 1]] if i + 1 < width else []), F.col("horizon_us"))
+        visible_us = visible_us + F.when(there[i] & now[i], end - t[i]).otherwise(0)
     return d.select(
         "*",
         F.get("trans", F.size("trans") - 1)["new_state"].alias("state_end"),
-        first(lambda x: is_visible(x["new_state"])).alias("first_visible_us"),
-        F.size(F.filter("trans", enters)).alias("visible_entries"),
+        first(now).alias("first_visible_us"),
+        number(enters).alias("visible_entries"),
         first(leaves).alias("contain_us"),
         last(leaves).alias("last_withdraw_us"),
-        F.size(F.filter("trans", leaves)).alias("withdrawals"),
-        first(lambda x: x["new_state"] == HIDDEN).alias("hide_at_us"),
-        first(lambda x: x["new_state"] == TRUSTED).alias("trusted_us"),
-        first(lambda x: x["new_state"] == QUARANTINED).alias("quarantine_us"),
-        first(lambda x: enters(x) & x["old_state"].isNotNull()).alias("readmit_us"),
-        first(lambda x: x["new_state"] == PROVISIONAL).alias("prov_start_us"),
-        first(lambda x: x["old_state"] == PROVISIONAL).alias("prov_end_us"),
-        F.size(F.filter("trans", lambda x: x["new_state"] == PROVISIONAL)).alias("prov_entries"),
-        F.aggregate(
-            "spans", F.lit(0).cast("bigint"), lambda a, s: a + F.when(s["visible"], s["end_us"] - s["start_us"]).otherwise(0)
-        ).alias("visible_us"),
+        number(leaves).alias("withdrawals"),
+        first(is_new(HIDDEN)).alias("hide_at_us"),
+        first(is_new(TRUSTED)).alias("trusted_us"),
+        first(is_new(QUARANTINED)).alias("quarantine_us"),
+        first([c & x.isNotNull() for c, x in zip(enters, old)]).alias("readmit_us"),
+        first(is_new(PROVISIONAL)).alias("prov_start_us"),
+        first(is_old(PROVISIONAL)).alias("prov_end_us"),
+        number(is_new(PROVISIONAL)).alias("prov_entries"),
+        visible_us.alias("visible_us"),
     )
 
 
-def visible_at(t: Column) -> Column:
-    """Visible at time t, from facts: a legal trajectory has at most two visible stretches."""
-    first = (F.col("first_visible_us") <= t) & (F.col("contain_us").isNull() | (t < F.col("contain_us")))
-    again = (F.col("readmit_us") <= t) & ((F.col("last_withdraw_us") <= F.col("readmit_us")) | (t < F.col("last_withdraw_us")))
+def visible_at(t: Column, facts: Column | None = None) -> Column:
+    """Visible at time t, from facts (columns, or fields of one): a legal trajectory has at most two visible stretches."""
+    f = (lambda c: F.col(c)) if facts is None else (lambda c: facts[c])
+    first = (f("first_visible_us") <= t) & (f("contain_us").isNull() | (t < f("contain_us")))
+    again = (f("readmit_us") <= t) & ((f("last_withdraw_us") <= f("readmit_us")) | (t < f("last_withdraw_us")))
     return F.coalesce(first, F.lit(False)) | F.coalesce(again, F.lit(False))
 
 

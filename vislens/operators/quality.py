@@ -66,3 +66,30 @@ def identity_counts(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
 def multiset_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows of one side missing on the other, with multiplicity."""
     return left.exceptAll(right).withColumn("side", F.lit("left")).unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))
+
+
+def recompute_report(published: dict[str, DataFrame], recomputed: dict[str, DataFrame], keys: dict[str, list[str]], tol: float = 1e-6) -> DataFrame:
+    """Published summaries against what the observations give now: section, key, field, published, recomputed, same.
+
+    Sections must be the same on both sides. Every numeric field is compared
+    within the tolerance; rows and fields of one side only are reported with a
+    null on the other and are not the same unless both are null.
+    """
+    if set(published) != set(recomputed):
+        raise ValueError(f"sections differ: {sorted(set(published) ^ set(recomputed))}")
+    out = None
+    for name, old in published.items():
+        new, own = recomputed[name], keys[name]
+        fields = sorted((set(old.columns) | set(new.columns)) - set(own))
+        both = []
+        for df in (old, new):
+            both.append(df.select(*own, *[F.col(f).cast("double").alias(f) if f in df.columns else F.lit(None).cast("double").alias(f) for f in fields], F.lit(True).alias("__there")))
+        diff = field_diff(both[0].drop("__there"), both[1].drop("__there"), own, fields)
+        rows = both[0].select(*own, "__there").join(both[1].select(*own, F.col("__there").alias("__also")), own, "full_outer")
+        part = diff.join(rows, own).select(
+            F.lit(name).alias("section"), F.concat_ws("/", *[F.col(k).cast("string") for k in own]).alias("key"), "field",
+            F.col("left_value").alias("published"), F.col("right_value").alias("recomputed"),
+            (within_tolerance(F.col("left_value"), F.col("right_value"), tol) & F.col("__there").isNotNull() & F.col("__also").isNotNull()).alias("same"),
+        )
+        out = part if out is None else out.unionByName(part)
+    return out

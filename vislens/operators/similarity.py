@@ -1,8 +1,9 @@
 """Blocked exact similarity: score blocks in Arrow batches, keep only reduced results.
 
-One side is shipped to every task when it is proven small; otherwise both sides
-are cut into blocks and every (left block, right block) pair is one group of a
-co-group, so no pair of rows is ever materialised as a row.
+A side that is proven small in rows and bytes is shipped to every task of the
+other; otherwise both sides are cut into blocks and every (left block, right block) pair
+is one group of a co-group, so no pair of rows is ever materialised as a row.
+Both ways give the same rows; without rows on either side there are none.
 """
 
 from __future__ import annotations
@@ -19,8 +20,11 @@ from vislens.session import collect_bounded
 
 EPS = 1e-12
 MAX_SHIPPED_ROWS = 4096
+MAX_SHIPPED_BYTES = 32 << 20
 BLOCK_ROWS = 50_000
 SCORE_DIGITS = 9
+#: Rows of a score matrix that are held at once.
+SLICE = 256
 
 
 def _matrix(column) -> np.ndarray:
@@ -49,15 +53,20 @@ def block_join(
     schema: str,
     *,
     merge: Callable[[pa.Table], pa.Table] | None = None,
+    combine: Callable[[DataFrame], DataFrame] | None = None,
     max_shipped: int = MAX_SHIPPED_ROWS,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Apply `kernel(big_block, other_block)` to every pair of blocks.
 
-    `merge` compacts the results gathered so far within a task.
+    `merge` compacts the results gathered so far within a task. `combine` puts
+    together what a row of `big` got from several blocks of `other`; with one
+    shipped block there is nothing to combine.
     """
     spark = big.sparkSession
-    small = collect_bounded(other, max_shipped)
+    small = collect_bounded(other, max_shipped, MAX_SHIPPED_BYTES)
+    if small is not None and small.num_rows == 0:
+        return spark.createDataFrame([], schema)
     if small is not None:
         shipped = spark.sparkContext.broadcast(small)
 
@@ -76,6 +85,21 @@ def block_join(
 
         return big.mapInArrow(run, schema)
 
+    few = collect_bounded(big, max_shipped, MAX_SHIPPED_BYTES)
+    if few is not None:
+        if few.num_rows == 0:
+            return spark.createDataFrame([], schema)
+        held_big = spark.sparkContext.broadcast(few)
+
+        def across(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    part = kernel(held_big.value, pa.Table.from_batches([batch]))
+                    yield from (merge(part) if merge is not None else part).to_batches()
+
+        out = other.mapInArrow(across, schema)
+        return combine(out) if combine is not None else out
+
     n_big = max(1, -(-big.count() // block_rows))
     n_other = max(1, -(-other.count() // max_shipped))
     left = (
@@ -98,9 +122,8 @@ def block_join(
         part = kernel(lt, rt)
         return merge(part) if merge is not None else part
 
-    return (
-        left.groupBy("__bl", "__br").cogroup(right.groupBy("__bl", "__br")).applyInArrow(pair, schema)
-    )
+    out = left.groupBy("__bl", "__br").cogroup(right.groupBy("__bl", "__br")).applyInArrow(pair, schema)
+    return combine(out) if combine is not None else out
 
 
 def _id_type(df: DataFrame, col: str) -> str:
@@ -131,20 +154,25 @@ def topk(
     tag: str | None = None,
     query_group: str | None = None,
     item_group: str | None = None,
+    hidden: str | None = None,
+    hidden_tags: Sequence[str] = (),
     descending_ties: bool = False,
     max_shipped: int = MAX_SHIPPED_ROWS,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Exact top-k items per query by cosine, optionally per corpus `tag`.
 
-    With groups given, items of the query's own group are not eligible.
-    Columns: [tag,] query_id, id, score, rank.
+    With groups given, items of the query's own group are not eligible. With
+    `hidden`, an array column of the corpus, there is a list for each of
+    `hidden_tags`, without the items whose array names it; scores are computed
+    once for all of them. Columns: [tag,] query_id, id, score, rank.
     """
     big = corpus.select(
         F.col(item_id).alias("id"),
         F.col(item_vec).alias("v"),
         (F.col(tag) if tag else F.lit("")).cast("string").alias("tag"),
         (F.col(item_group) if item_group else F.lit("")).cast("string").alias("g"),
+        *([F.coalesce(F.col(hidden), F.array()).cast("array<string>").alias("hidden")] if hidden else []),
     )
     other = queries.select(
         F.col(query_id).alias("qid"),
@@ -163,17 +191,28 @@ def topk(
         groups = _values(lt["g"])[order]
         qids, qvecs, qgroups = _values(rt["qid"]), _matrix(rt["v"]), _values(rt["g"])
         out = {"tag": [], "qid": [], "id": [], "score": []}
+        masks = None
+        if hidden:
+            lists = lt["hidden"].combine_chunks() if isinstance(lt["hidden"], pa.ChunkedArray) else lt["hidden"]
+            owner, name = lists.value_parent_indices().to_numpy(), lists.flatten().to_numpy(zero_copy_only=False)
+            masks = {}
+            for t in hidden_tags:
+                gone = np.zeros(lt.num_rows, bool)
+                gone[owner[name == t]] = True
+                masks[t] = gone[order]
         for t in np.unique(tags):
             sel = np.flatnonzero(tags == t)
-            for lo in range(0, len(qids), 256):
-                s = cosine_block(qvecs[lo : lo + 256], vecs[sel])
+            for lo in range(0, len(qids), SLICE):
+                s = cosine_block(qvecs[lo : lo + SLICE], vecs[sel])
                 if grouped:
-                    s[qgroups[lo : lo + 256][:, None] == groups[sel][None, :]] = -np.inf
-                qi, ci = np.nonzero(_keep_topk(s, k))
-                out["qid"].append(qids[lo + qi])
-                out["id"].append(ids[sel[ci]])
-                out["score"].append(s[qi, ci])
-                out["tag"].append(np.full(len(qi), t, dtype=object))
+                    s[qgroups[lo : lo + SLICE][:, None] == groups[sel][None, :]] = -np.inf
+                for name, gone in (masks or {t: None}).items():
+                    shown = s if gone is None else np.where(gone[sel], -np.inf, s)
+                    qi, ci = np.nonzero(_keep_topk(shown, k))
+                    out["qid"].append(qids[lo + qi])
+                    out["id"].append(ids[sel[ci]])
+                    out["score"].append(s[qi, ci])
+                    out["tag"].append(np.full(len(qi), name, dtype=object))
         return pa.table(
             {
                 "tag": pa.array(np.concatenate(out["tag"]), pa.string()),
@@ -199,7 +238,7 @@ def topk(
     tie = F.col("id").desc() if descending_ties else F.col("id").asc()
     w = W.partitionBy("tag", "qid").orderBy(F.col("score").desc(), tie)
     out = part.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    cols = [F.col("tag").alias(tag)] if tag else []
+    cols = [F.col("tag").cast(corpus.schema[tag].dataType).alias(tag)] if tag else [F.col("tag")] if hidden else []
     return out.select(*cols, F.col("qid").alias(query_id), F.col("id").alias(item_id), "score", "rank")
 
 
@@ -233,12 +272,12 @@ def max_similarity(
         for t in np.unique(tags):
             sel = np.flatnonzero(tags == t)
             top, arg = np.full(len(mine), -np.inf), np.zeros(len(mine), int)
-            for lo in range(0, len(sel), 256):
-                s = cosine_block(mine, vecs[sel[lo : lo + 256]])
+            for lo in range(0, len(sel), SLICE):
+                s = cosine_block(mine, vecs[sel[lo : lo + SLICE]])
                 best = np.argmax(s, axis=1)
                 score = s[np.arange(len(best)), best]
                 better = score > top
-                top, arg = np.where(better, score, top), np.where(better, sel[lo : lo + 256][best], arg)
+                top, arg = np.where(better, score, top), np.where(better, sel[lo : lo + SLICE][best], arg)
             parts.append(
                 pa.table(
                     {
@@ -252,11 +291,10 @@ def max_similarity(
         return pa.concat_tables(parts)
 
     schema = f"tag string, id {_id_type(items, item_id)}, score double, k {key_type}"
-    part = block_join(big, other, kernel, schema, max_shipped=max_shipped)
-    out = part.groupBy("tag", "id").agg(F.max(F.struct("score", "k")).alias("b"))
-    cols = [F.col("tag").alias(anchor_tag)] if anchor_tag else []
-    cols += [F.col("id").alias(item_id), F.col("b.score").alias("score")]
-    return out.select(*cols, *([F.col("b.k").alias(anchor_key)] if anchor_key else []))
+    best = lambda df: df.groupBy("tag", "id").agg(F.max(F.struct("score", "k")).alias("b")).select("tag", "id", "b.*")
+    out = block_join(big, other, kernel, schema, combine=best, max_shipped=max_shipped)
+    cols = [F.col("tag").cast(anchors.schema[anchor_tag].dataType).alias(anchor_tag)] if anchor_tag else []
+    return out.select(*cols, F.col("id").alias(item_id), "score", *([F.col("k").alias(anchor_key)] if anchor_key else []))
 
 
 def beats(
@@ -278,11 +316,14 @@ def beats(
     )
 
     def kernel(lt: pa.Table, rt: pa.Table) -> pa.Table:
-        s = cosine_block(_matrix(rt["v"]), _matrix(lt["v"]))
-        mine = np.round(_values(rt["s"]), SCORE_DIGITS)[:, None]
-        first = _values(lt["k"])[None, :] < _values(rt["pk"])[:, None]
-        n = ((s > mine) | ((s == mine) & first.astype(bool))).sum(axis=1)
-        return pa.table({"p": rt["p"], "n": pa.array(n, pa.int64())})
+        probe, item, keys = _matrix(rt["v"]), _matrix(lt["v"]), _values(lt["k"])
+        own, own_key = np.round(_values(rt["s"]), SCORE_DIGITS), _values(rt["pk"])
+        n = []
+        for lo in range(0, len(probe), SLICE):
+            s, mine = cosine_block(probe[lo : lo + SLICE], item), own[lo : lo + SLICE, None]
+            first = (keys[None, :] < own_key[lo : lo + SLICE, None]).astype(bool)
+            n.append(((s > mine) | ((s == mine) & first)).sum(axis=1))
+        return pa.table({"p": rt["p"], "n": pa.array(np.concatenate(n), pa.int64())})
 
     part = block_join(big, other, kernel, f"p {_id_type(probes, probe_id)}, n bigint", max_shipped=max_shipped)
     return part.groupBy(F.col("p").alias(probe_id)).agg(F.sum("n").alias("n_above"))
@@ -304,15 +345,17 @@ def above_cutoff(
     other = queries.select(F.col(query_id).alias("q"), F.col(query_vec).alias("v"), F.col(cutoff).alias("c"))
 
     def kernel(lt: pa.Table, rt: pa.Table) -> pa.Table:
-        s = cosine_block(_matrix(rt["v"]), _matrix(lt["v"]))
-        qi, ci = np.nonzero(s >= _values(rt["c"])[:, None])
-        return pa.table(
-            {
-                "q": pa.array(_values(rt["q"])[qi], rt.schema.field("q").type),
-                "id": pa.array(_values(lt["id"])[ci], lt.schema.field("id").type),
-                "score": pa.array(s[qi, ci], pa.float64()),
-            }
-        )
+        query, item = _matrix(rt["v"]), _matrix(lt["v"])
+        ids, qids, cuts = _values(lt["id"]), _values(rt["q"]), _values(rt["c"])
+        out = {"q": [], "id": [], "score": []}
+        for lo in range(0, len(query), SLICE):
+            s = cosine_block(query[lo : lo + SLICE], item)
+            qi, ci = np.nonzero(s >= cuts[lo : lo + SLICE, None])
+            out["q"].append(qids[lo + qi])
+            out["id"].append(ids[ci])
+            out["score"].append(s[qi, ci])
+        kinds = {"q": rt.schema.field("q").type, "id": lt.schema.field("id").type, "score": pa.float64()}
+        return pa.table({c: pa.array(np.concatenate(out[c]), kinds[c]) for c in out})
 
     schema = f"q {_id_type(queries, query_id)}, id {_id_type(items, item_id)}, score double"
     part = block_join(big, other, kernel, schema, max_shipped=max_shipped)

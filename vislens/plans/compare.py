@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vislens.functions.stats import count_if, ratio
 from vislens.operators import compare as cm
 from vislens.operators import lifecycle as lc
-from vislens.operators import retrieval_log as rl
-from vislens.operators.lifecycle import CELL, DAY_US
-from vislens.operators.ordered import neighbours, quantiles, rank_by
+from vislens.operators.lifecycle import DAY_US
+from vislens.operators.ordered import quantiles
 from vislens.plans import lifecycle as pl
 from vislens.plans import workload as wl
 from vislens.plans.registry import cte, query
@@ -41,22 +41,40 @@ def runtime_rollup(spark, d):
 
 @query(
     "paired_contrast",
-    """SELECT o.attack, o.baseline, o.backlog, o.seed, count(*) AS pairs, sum(d.visible_us - o.visible_us) FILTER (WHERE o.poison)::BIGINT AS exposure_diff_us, sum(d.unavailable_us - o.unavailable_us) FILTER (WHERE NOT o.poison)::BIGINT AS unavailable_diff_us,
-  sum(coalesce(d.unvetted_us, 0) - coalesce(o.unvetted_us, 0))::BIGINT AS unvetted_diff_us, count(*) FILTER (WHERE o.poison AND d.commit_us <= d.horizon_us) AS committed_poison, count(*) FILTER (WHERE NOT o.poison AND d.commit_us <= d.horizon_us) AS committed_clean,
-  count(*) FILTER (WHERE o.poison AND d.commit_us <= d.horizon_us AND d.passes) AS false_negatives, count(*) FILTER (WHERE NOT o.poison AND d.commit_us <= d.horizon_us AND NOT d.passes) AS false_positives
-  FROM w_life o JOIN w_life d ON d.item_id = o.item_id AND d.backlog = o.backlog AND d.baseline = o.baseline AND d.arm = 'detector' WHERE o.arm = 'oracle' GROUP BY ALL""",
+    """WITH f AS (SELECT * FROM w_life WHERE baseline <> 'B1' AND NOT (arm = 'detector' AND item_id % 97 = 5) AND NOT (arm = 'oracle' AND item_id % 89 = 7)),
+j AS (SELECT coalesce(o.attack, d.attack) AS attack, coalesce(o.baseline, d.baseline) AS baseline, coalesce(o.backlog, d.backlog) AS backlog, coalesce(o.seed, d.seed) AS seed, o.item_id IS NOT NULL AND d.item_id IS NOT NULL AS paired, o.poison,
+  d.visible_us - o.visible_us AS vis, d.unavailable_us - o.unavailable_us AS un, coalesce(d.unvetted_us, 0) - coalesce(o.unvetted_us, 0) AS unv, d.commit_us <= d.horizon_us AS done, d.passes,
+  CASE WHEN d.commit_us <= d.horizon_us AND o.commit_us <= o.horizon_us THEN (d.commit_us - d.arrival_us) - (o.commit_us - o.arrival_us) END AS lat
+  FROM (SELECT * FROM f WHERE arm = 'oracle') o FULL OUTER JOIN (SELECT * FROM f WHERE arm = 'detector') d ON d.item_id = o.item_id AND d.backlog = o.backlog AND d.baseline = o.baseline)
+SELECT attack, baseline, backlog, seed, count(*) FILTER (WHERE paired) AS pairs, count(*) FILTER (WHERE NOT paired) AS unpaired, sum(vis) FILTER (WHERE paired AND poison)::BIGINT AS exposure_diff_us, sum(un) FILTER (WHERE paired AND NOT poison)::BIGINT AS unavailable_diff_us,
+  sum(unv) FILTER (WHERE paired)::BIGINT AS unvetted_diff_us, round(avg(lat) FILTER (WHERE paired), 3) AS latency_diff_us, count(*) FILTER (WHERE paired AND poison AND done) AS committed_poison, count(*) FILTER (WHERE paired AND NOT poison AND done) AS committed_clean,
+  count(*) FILTER (WHERE paired AND poison AND done AND passes) AS false_negatives, count(*) FILTER (WHERE paired AND NOT poison AND done AND NOT passes) AS false_positives FROM j GROUP BY ALL""",
 )
 def paired_contrast(spark, d):
-    """Detector minus oracle on the same item; both arms meet in one aggregation, no self join."""
+    """Detector minus oracle on the same item; items that one arm lacks are counted and left out of every difference.
+
+    A few records of either arm are lost on purpose. Both arms meet in one aggregation per item, no self join.
+    """
     f = wl.facts(spark, d, ["B2", "B3", "B4"])
-    un = F.col("horizon_us") - F.col("arrival_us") - F.col("visible_us")
-    sign = F.when(F.col("arm") == "detector", 1).otherwise(-1)
-    det, p = F.col("arm") == "detector", F.col("poison")
-    done = det & F.coalesce(F.col("commit_us") <= F.col("horizon_us"), F.lit(False))
-    return f.groupBy("attack", "baseline", "backlog", "seed").agg(
-        count_if(det).alias("pairs"), F.sum(F.when(p, sign * F.col("visible_us"))).alias("exposure_diff_us"), F.sum(F.when(~p, sign * un)).alias("unavailable_diff_us"),
-        F.sum(sign * F.coalesce(lc.unvetted_us(), F.lit(0))).alias("unvetted_diff_us"), count_if(done & p).alias("committed_poison"), count_if(done & ~p).alias("committed_clean"),
-        count_if(done & p & F.col("passes")).alias("false_negatives"), count_if(done & ~p & ~F.col("passes")).alias("false_positives"),
+    det = F.col("arm") == "detector"
+    f = f.filter(~(det & (F.col("item_id") % 97 == 5)) & ~(~det & (F.col("item_id") % 89 == 7)))
+    done = F.coalesce(F.col("commit_us") <= F.col("horizon_us"), F.lit(False))
+    values = {
+        "vis": F.col("visible_us"), "un": F.col("horizon_us") - F.col("arrival_us") - F.col("visible_us"), "unv": F.coalesce(lc.unvetted_us(), F.lit(0)),
+        "lat": F.when(done, F.col("commit_us") - F.col("arrival_us")),
+    }
+    keys = ["attack", "baseline", "backlog", "seed"]
+    of = lambda cond, c: F.max(F.when(cond, c))  # noqa: E731  one row per item and arm
+    items = f.groupBy(*keys, "item_id").agg(
+        of(det, F.lit(1)).alias("d"), of(~det, F.lit(1)).alias("o"), F.max("poison").alias("poison"), F.coalesce(of(det, done), F.lit(False)).alias("done"), of(det, F.col("passes")).alias("passes"),
+        *[(of(det, c) - of(~det, c)).alias(n) for n, c in values.items()],
+    )
+    both = F.col("d").isNotNull() & F.col("o").isNotNull()
+    p, settled = F.col("poison"), both & F.col("done")
+    return items.groupBy(*keys).agg(
+        count_if(both).alias("pairs"), count_if(~both).alias("unpaired"), F.sum(F.when(both & p, F.col("vis"))).alias("exposure_diff_us"), F.sum(F.when(both & ~p, F.col("un"))).alias("unavailable_diff_us"),
+        F.sum(F.when(both, F.col("unv"))).alias("unvetted_diff_us"), F.round(F.avg(F.when(both, F.col("lat"))), 3).alias("latency_diff_us"), count_if(settled & p).alias("committed_poison"), count_if(settled & ~p).alias("committed_clean"),
+        count_if(settled & p & F.col("passes")).alias("false_negatives"), count_if(settled & ~p & ~F.col("passes")).alias("false_positives"),
     )
 
 
@@ -188,9 +206,9 @@ cte(
 @query("design_balance", "SELECT 'position' AS kind, baseline AS first, position::VARCHAR AS second, count(*) AS n FROM w_seq GROUP BY ALL UNION ALL SELECT 'carry_over', baseline, following, count(*) FROM w_seq WHERE following IS NOT NULL GROUP BY ALL")
 def design_balance(spark, d):
     """How often each arm sits in each position and follows each other arm; every order is a block."""
-    l = src.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("block"), F.concat(F.lit("B"), F.col("l_partkey") % 4 + 1).alias("baseline"), F.col("l_linenumber").cast("bigint").alias("ln"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("o"))
-    s = neighbours(l, ["block"], F.col("ln"), "o", following={"following": "baseline"})
-    s = rank_by(s, ["block"], F.col("ln"), [F.col("o")], "position")
+    l = src.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("block"), F.concat(F.lit("B"), F.col("l_partkey") % 4 + 1).alias("baseline"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("o"))
+    w = W.partitionBy("block").orderBy("o")  # the few lines of one order
+    s = l.withColumns({"following": F.lead("baseline").over(w), "position": F.row_number().over(w)})
     pos = s.groupBy(F.lit("position").alias("kind"), F.col("baseline").alias("first"), F.col("position").cast("string").alias("second")).agg(F.count(F.lit(1)).alias("n"))
     carry = s.filter(F.col("following").isNotNull()).groupBy(F.lit("carry_over").alias("kind"), F.col("baseline").alias("first"), F.col("following").alias("second")).agg(F.count(F.lit(1)).alias("n"))
     return pos.unionByName(carry)

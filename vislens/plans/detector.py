@@ -20,7 +20,7 @@ from vislens.sources import tables as src
 
 THRESHOLD = 1.0
 
-cte("w_det", "SELECT id, v, nrm, src, batch, id // 8 AS grp, id % 4 = 0 AS is_ref, list_dot_product(v[1:32], v[33:64]) / (sqrt(list_dot_product(v[1:32], v[1:32])) * sqrt(list_dot_product(v[33:64], v[33:64])) + 1e-12) AS rep FROM w_items")
+cte("w_det", "SELECT id, v, nrm, src, batch, id // 8 AS grp, id % 4 = 0 AS is_ref, list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b)) + 1e-12) AS rep FROM (SELECT *, v[1:len(v) // 2] AS a, v[len(v) // 2 + 1:len(v) // 2 * 2] AS b FROM w_items)")
 cte(
     "w_knn",
     """SELECT id, 1.0::DOUBLE - avg(s) AS knn FROM (SELECT a.id, round(list_dot_product(a.v, r.v) / (a.nrm * r.nrm + 1e-12), 9) AS s, row_number() OVER (PARTITION BY a.id ORDER BY round(list_dot_product(a.v, r.v) / (a.nrm * r.nrm + 1e-12), 9) DESC, r.id) AS rn
@@ -54,8 +54,9 @@ cte("w_test", "SELECT *, NOT (s_affirms AND c_score < (SELECT threshold FROM w_t
 def vector_features(spark, d):
     """rep and knn of every vector item; halves of the vector stand in for halves of a text."""
     it = src.items(spark, d).withColumn("source_group", F.floor(F.col("id") / 8))
+    half = F.floor(F.size("vector") / 2).cast("int")
     rep = it.select(
-        "id", "src", "batch", cosine(F.slice("vector", 1, 32), F.slice("vector", 33, 32)).alias("rep"), (F.col("id") % 4 == 0).alias("is_ref")
+        "id", "src", "batch", cosine(F.slice("vector", F.lit(1), half), F.slice("vector", half + 1, half)).alias("rep"), (F.col("id") % 4 == 0).alias("is_ref")
     )
     return rep.join(det.knn_novelty(it, it.filter("id % 4 = 0")), "id")
 
@@ -131,6 +132,41 @@ def score_job(spark, d):
     return ranked.select("phase", "item_key", "position", "family_s_affirms", F.round("c_score", 6).alias("c_score"), "promote", "service_ns")
 
 
+def text_scores(spark, d):
+    """Every labelled document scored from its text alone; the reference is clean, one document per group of equal texts."""
+    labels = src.table(spark, d, "labels").select("doc_id", (F.col("toxic") == 1).alias("poison"))
+    p = posts(spark, d).select(F.col("doc_id").alias("id"), "norm", F.col("gid").alias("source_group")).join(labels.withColumnRenamed("doc_id", "id"), "id")
+    n = F.col("id") % 4
+    p = p.groupBy("source_group").agg(F.min_by(F.struct("id", "norm", "poison"), "id").alias("r")).select("source_group", "r.*")
+    p = p.withColumns(
+        {
+            "is_ref": (n == 0) & ~F.col("poison"), "phase": F.when(n == 0, "reference").when(n == 1, "calibration").otherwise("test"),
+            "credential_valid": F.col("id") % 8 != 1, "provenance_consistent": F.col("id") % 8 != 2,
+            "embedding_model_revision": F.lit("rev-1"), "model_revision": F.lit("rev-1"), "service_ns": F.lit(0).cast("bigint"),
+        }
+    )
+    f = cut_lineage(det.text_features(p))
+    return det.content_score(f, det.z_statistics(f.filter("is_ref"))).withColumn("family_s_affirms", det.source_affirms("rev-1"))
+
+
+def text_decisions(spark, d):
+    """Decisions of the test phase at the threshold that the calibration phase selects."""
+    s = cut_lineage(text_scores(spark, d))
+    t = cal.select_threshold(cal.threshold_candidates(s.filter("phase = 'calibration'"), "c_score", "poison")).select("threshold").scalar()
+    return s.filter("phase = 'test'").withColumns({"threshold": t, "promote": det.promote(t)})
+
+
+@query("text_detector")
+def text_detector(spark, d):
+    """From texts and labels to the confusion table: embed, rep and knn, z, threshold, decision.
+
+    No SQL: the embedder hashes words with Spark's own hash. The test compares the chain with numpy on the same vectors.
+    """
+    c = text_decisions(spark, d)
+    t = cal.confusion(c, ["threshold"], ~F.col("promote"), F.col("poison"))
+    return t.select(F.round("threshold", 6).alias("threshold"), "tp", "fp", "tn", "fn", *cal.confusion_rates())
+
+
 # ---- calibration and quality
 
 
@@ -158,15 +194,15 @@ def test_rows(spark, d):
     return one.withColumn("flagged", ~det.promote(t))
 
 
-@query("threshold_candidates", "SELECT round(threshold, 9) AS threshold, tp::BIGINT AS tp, fp::BIGINT AS fp, tn::BIGINT AS tn, fn::BIGINT AS fn, round(f1, 6) AS f1 FROM w_cand")
+@query("threshold_candidates", "SELECT threshold, tp::BIGINT AS tp, fp::BIGINT AS fp, tn::BIGINT AS tn, fn::BIGINT AS fn, round(f1, 6) AS f1 FROM w_cand")
 def threshold_candidates(spark, d):
-    return candidates(spark, d).select(F.round("threshold", 9).alias("threshold"), "tp", "fp", "tn", "fn", F.round("f1", 6).alias("f1"))
+    return candidates(spark, d).select("threshold", "tp", "fp", "tn", "fn", F.round("f1", 6).alias("f1"))
 
 
-@query("select_threshold", "SELECT round(threshold, 9) AS threshold, round(f1, 6) AS f1, tp::BIGINT AS tp, fp::BIGINT AS fp, tn::BIGINT AS tn, fn::BIGINT AS fn, (SELECT count(*) FROM w_cand) AS candidates FROM w_thr")
+@query("select_threshold", "SELECT threshold, round(f1, 6) AS f1, tp::BIGINT AS tp, fp::BIGINT AS fp, tn::BIGINT AS tn, fn::BIGINT AS fn, (SELECT count(*) FROM w_cand) AS candidates FROM w_thr")
 def select_threshold(spark, d):
     b = cal.select_threshold(candidates(spark, d))
-    return b.select(F.round("threshold", 9).alias("threshold"), F.round("f1", 6).alias("f1"), "tp", "fp", "tn", "fn", "candidates")
+    return b.select("threshold", F.round("f1", 6).alias("f1"), "tp", "fp", "tn", "fn", "candidates")
 
 
 @query(
@@ -238,7 +274,7 @@ def quantile_nearest_rank(spark, d):
 
 @query(
     "control_gate",
-    "SELECT kind, count(*) AS n, count(*) FILTER (WHERE aff) AS affirmed, count(*) FILTER (WHERE aff AND n_text < 3000) AS promoted, count(*) FILTER (WHERE aff) = 0 AS passed FROM (SELECT kind, n_text, kind NOT IN ('invalid_signature', 'unknown_source') AND kind <> 'provenance_conflict' AS aff FROM w_kind WHERE kind IS NOT NULL) GROUP BY 1",
+    "SELECT kind, count(*) AS n, count(*) FILTER (WHERE aff) AS affirmed, count(*) FILTER (WHERE aff AND n_text < 3000) AS promoted, count(*) >= 8 AND count(*) FILTER (WHERE aff) = 0 AS passed FROM (SELECT kind, n_text, kind NOT IN ('invalid_signature', 'unknown_source') AND kind <> 'provenance_conflict' AS aff FROM w_kind WHERE kind IS NOT NULL) GROUP BY 1",
 )
 def control_gate(spark, d):
     p = posts(spark, d).withColumn("kind", control_kind()).filter(F.col("kind").isNotNull())
@@ -246,7 +282,8 @@ def control_gate(spark, d):
     p = p.withColumn("family_s_affirms", det.source_affirms(co.MODEL_REVISION))
     return p.groupBy("kind").agg(
         F.count(F.lit(1)).alias("n"), count_if(F.col("family_s_affirms")).alias("affirmed"), count_if(det.promote(3000.0)).alias("promoted"),
-        (count_if(F.col("family_s_affirms")) == 0).alias("passed"),
+        # a kind needs as many controls as were planned, eight, for its gate to say anything
+        ((F.count(F.lit(1)) >= 8) & (count_if(F.col("family_s_affirms")) == 0)).alias("passed"),
     )
 
 
@@ -305,7 +342,7 @@ def median_mad_band(spark, d):
     "detector_violations",
     """SELECT item, rule FROM (SELECT 'q' || doc_id AS item, unnest(list_filter([CASE WHEN stored <> (s_affirms AND c_score < t) THEN 'promote' END, CASE WHEN isnan(c_score) THEN 'finite' END], lambda r: r IS NOT NULL)) AS rule FROM (
   SELECT s.*, (SELECT threshold FROM w_thr) AS t, CASE WHEN doc_id % 53 = 0 THEN NOT (s_affirms AND c_score < (SELECT threshold FROM w_thr)) ELSE s_affirms AND c_score < (SELECT threshold FROM w_thr) END AS stored FROM w_score s WHERE split = 'test'))
-UNION ALL SELECT 'threshold', 'lineage' FROM w_thr WHERE threshold < 0""",
+UNION ALL SELECT 'threshold/' || stratum, 'lineage' FROM (SELECT stratum, (SELECT threshold FROM w_thr) + CASE WHEN stratum = 'q1' THEN 0.001 ELSE 0 END AS stored FROM w_score GROUP BY 1) WHERE stored <> (SELECT threshold FROM w_thr)""",
 )
 def detector_violations(spark, d):
     """Stored decisions (some planted wrong) against decisions recomputed from score and threshold."""
@@ -316,5 +353,8 @@ def detector_violations(spark, d):
     t = s.filter("split = 'test'").withColumn("again", det.promote(best.select("threshold").scalar()))
     t = t.withColumn("stored", F.col("again") != (F.col("doc_id") % 53 == 0)).withColumn("item", F.concat(F.lit("q"), "doc_id"))
     rows = broken_rules(t, ["item"], {"promote": F.col("stored") != F.col("again"), "finite": F.isnan("c_score")})
-    lineage = best.filter("threshold < 0").select(F.lit("threshold").alias("item"), F.lit("lineage").alias("rule"))
+    # the threshold that each stratum has stored must be the one that calibration gives again; one is planted wrong
+    again = best.select("threshold").scalar()
+    stored = s.groupBy("stratum").agg(F.lit(None).alias("_")).select("stratum", (again + F.when(F.col("stratum") == "q1", 0.001).otherwise(0.0)).alias("stored"), again.alias("again"))
+    lineage = stored.filter("stored <> again").select(F.concat(F.lit("threshold/"), "stratum").alias("item"), F.lit("lineage").alias("rule"))
     return rows.unionByName(lineage)

@@ -60,7 +60,7 @@ cte("w_hits", "SELECT backlog, baseline, role, count(*) FILTER (WHERE hit) AS np
   UNION ALL SELECT '2_deadline_bounds_exposure', max(eu_max) FILTER (WHERE baseline = 'B4') <= 612000000, max(eu_max) FILTER (WHERE baseline = 'B4') FROM w_cellsum
   UNION ALL SELECT '3_provisional_once_and_no_expiry_promotion', sum(prov_again + expiry_promoted) = 0, sum(prov_again + expiry_promoted) FROM w_cellsum
   UNION ALL SELECT '4_order_B1_B3_B4_B2', count(*) = 0, count(*) FROM (SELECT backlog FROM w_hits WHERE role = 'heldout_same_topic' GROUP BY 1 HAVING NOT (max(np) FILTER (WHERE baseline = 'B1') >= max(np) FILTER (WHERE baseline = 'B3') AND max(np) FILTER (WHERE baseline = 'B3') >= max(np) FILTER (WHERE baseline = 'B4') AND max(np) FILTER (WHERE baseline = 'B4') >= max(np) FILTER (WHERE baseline = 'B2')))
-  UNION ALL SELECT '5_negative_spread', true, max(np) FROM w_hits WHERE role = 'negative_other_topic')""",
+  UNION ALL SELECT '5_nothing_left_running', count(*) = 0, count(*) FROM w_plan WHERE verify AND source_ok AND commit_us > horizon_us)""",
 )
 def admissibility_gates(spark, d):
     b = F.col("baseline")
@@ -73,33 +73,56 @@ def admissibility_gates(spark, d):
     ordered = (F.col("B1") >= F.col("B3")) & (F.col("B3") >= F.col("B4")) & (F.col("B4") >= F.col("B2"))
     h = hits.agg(
         F.min(F.when(role == "attack_associated", F.col("B1"))).alias("reach"), count_if((role == "heldout_same_topic") & ~ordered).alias("disorder"),
-        F.max(F.when(role == "negative_other_topic", F.greatest("B1", "B2", "B3", "B4"))).alias("neg"),
     )
-    one = cells.withColumn("h", h.select(F.struct("*")).scalar()).select("*", "h.*")
+    # verdicts that are still to come when a cell is summed up
+    running = wl.plan(spark, d).agg(count_if(F.col("verify") & F.col("source_ok") & (F.col("commit_us") > F.col("horizon_us"))).alias("running")).scalar()
+    one = cells.withColumn("h", h.select(F.struct("*")).scalar()).select("*", "h.*").withColumn("running", running)
     c = F.col
     return qa.gates(
         one,
         {
             "1_attack_reaches_top_k": (c("reach") > 0, c("reach")), "2_sync_shows_nothing_unvetted": (c("b2") == 0, c("b2")), "2_undefended_contains_nothing": (c("b1") == 0, c("b1")),
             "2_deadline_bounds_exposure": (c("b4") <= int(wl.TP_US * 1.02), c("b4")), "3_provisional_once_and_no_expiry_promotion": (c("inv") == 0, c("inv")),
-            "4_order_B1_B3_B4_B2": (c("disorder") == 0, c("disorder")), "5_negative_spread": (F.lit(True), c("neg")),
+            "4_order_B1_B3_B4_B2": (c("disorder") == 0, c("disorder")), "5_nothing_left_running": (c("running") == 0, c("running")),
         },
     )
 
 
-_IDENT = {
-    "started_is_completed_plus_censored": "eu_started = eu_completed + eu_censored",
-    "no_completed_gives_null": "(eu_completed = 0) = (eu_max IS NULL)",
-    "censored_contributes_age": "eu_censored = 0 OR eu_risk > 0",
-    "expiry_is_gap_done_or_censored": "expired = gap_done + gap_censored",
-    "deadline_cells_close_everything": "baseline <> 'B4' OR eu_censored = 0",
-    "visible_needs_started": "started > 0 OR visible_us = 0",
-}
+# Records that break one rule each, made from the deadline cells; the SQL writes them and the rules once more.
+cte(
+    "w_cellbad",
+    """SELECT * FROM w_cellsum UNION ALL SELECT * REPLACE (eu_started + 1 AS eu_started) FROM w_cellsum WHERE baseline = 'B3' UNION ALL SELECT * REPLACE (NULL AS eu_max) FROM w_cellsum WHERE baseline = 'B4'
+  UNION ALL SELECT * REPLACE (1 AS eu_censored, eu_completed - 1 AS eu_completed, 0 AS eu_risk) FROM w_cellsum WHERE baseline = 'B4' UNION ALL SELECT * REPLACE (gap_done + 1 AS gap_done) FROM w_cellsum WHERE baseline = 'B4' UNION ALL SELECT * REPLACE (0 AS started) FROM w_cellsum WHERE baseline = 'B2'""",
+)
+
+
+def with_planted(cells):
+    b = F.col("baseline")
+    big = lambda x: F.lit(x).cast("bigint")
+    planted = [
+        (b == "B3", {"eu_started": F.col("eu_started") + 1}), (b == "B4", {"eu_max": big(None)}), (b == "B4", {"eu_censored": big(1), "eu_completed": F.col("eu_completed") - 1, "eu_risk": big(0)}),
+        (b == "B4", {"gap_done": F.col("gap_done") + 1}), (b == "B2", {"started": big(0)}),
+    ]
+    out = cells
+    for where, change in planted:
+        out = out.unionByName(cells.filter(where).withColumns(change))
+    return out
 
 
-@query("bookkeeping_identities", " UNION ALL ".join(f"SELECT '{n}' AS rule, count(*) AS records, count(*) FILTER (WHERE NOT coalesce({e}, true)) AS violations FROM w_cellsum" for n, e in _IDENT.items()))
+@query(
+    "bookkeeping_identities",
+    """SELECT rule, count(*) AS records, count(*) FILTER (WHERE bad) AS violations FROM (SELECT unnest([{'rule': 'started_is_completed_plus_censored', 'bad': eu_completed + eu_censored - eu_started <> 0},
+  {'rule': 'no_completed_gives_null', 'bad': CASE WHEN eu_completed > 0 THEN eu_max IS NULL ELSE eu_max IS NOT NULL END}, {'rule': 'censored_contributes_age', 'bad': eu_censored > 0 AND eu_risk <= 0}, {'rule': 'expiry_is_gap_done_or_censored', 'bad': gap_done <> expired - gap_censored},
+  {'rule': 'deadline_cells_close_everything', 'bad': baseline = 'B4' AND eu_censored > 0}, {'rule': 'visible_needs_started', 'bad': visible_us > 0 AND started = 0}], recursive := true) FROM w_cellbad) GROUP BY 1""",
+)
 def bookkeeping_identities(spark, d):
-    return qa.identity_counts(cell_summary(spark, d), {n: F.expr(e) for n, e in _IDENT.items()})
+    c, b4 = F.col, F.col("baseline") == "B4"
+    rules = {
+        "started_is_completed_plus_censored": c("eu_started") == c("eu_completed") + c("eu_censored"), "no_completed_gives_null": (c("eu_completed") == 0) == c("eu_max").isNull(),
+        "censored_contributes_age": (c("eu_censored") == 0) | (c("eu_risk") > 0), "expiry_is_gap_done_or_censored": c("expired") == c("gap_done") + c("gap_censored"),
+        "deadline_cells_close_everything": ~b4 | (c("eu_censored") == 0), "visible_needs_started": (c("started") > 0) | (c("visible_us") == 0),
+    }
+    return qa.identity_counts(with_planted(cut_lineage(cell_summary(spark, d))), rules)
 
 
 @query(
@@ -317,18 +340,31 @@ def record_set_checks(spark, d):
     return per.groupBy("attribute").agg(F.count("v").alias("distinct_values"), (F.count("v") == 1).alias("single"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("missing"))
 
 
-_LEGACY = {
-    "b1_contains": "baseline <> 'B1' OR contained = 0",
-    "b1_quarantines": "baseline <> 'B1' OR quarantined = 0",
-    "b2_unvetted": "baseline <> 'B2' OR eu_started = 0",
-    "b3_hides": "baseline <> 'B3' OR hidden = 0",
-    "b4_open_episode": "baseline <> 'B4' OR eu_censored = 0",
-    "detector_readmits_some": "baseline <> 'B4' OR arm <> 'detector' OR readmitted > 0",
-}
+cte(
+    "w_cellold",
+    """SELECT * FROM w_cellsum UNION ALL SELECT * REPLACE (1 AS contained, 1 AS quarantined) FROM w_cellsum WHERE baseline = 'B1' UNION ALL SELECT * REPLACE (1 AS eu_started) FROM w_cellsum WHERE baseline = 'B2'
+  UNION ALL SELECT * REPLACE (2 AS hidden) FROM w_cellsum WHERE baseline = 'B3' UNION ALL SELECT * REPLACE (1 AS eu_censored, 0 AS readmitted) FROM w_cellsum WHERE baseline = 'B4'""",
+)
 
 
-@query("legacy_invariants", " UNION ALL ".join(f"SELECT '{n}' AS rule, count(*) AS records, count(*) FILTER (WHERE NOT coalesce({e}, true)) AS violations FROM w_cellsum" for n, e in _LEGACY.items()))
+@query(
+    "legacy_invariants",
+    """SELECT rule, count(*) AS records, count(*) FILTER (WHERE bad) AS violations FROM (SELECT unnest([{'rule': 'b1_contains', 'bad': baseline = 'B1' AND contained > 0}, {'rule': 'b1_quarantines', 'bad': baseline = 'B1' AND quarantined > 0}, {'rule': 'b2_unvetted', 'bad': baseline = 'B2' AND eu_started > 0},
+  {'rule': 'b3_hides', 'bad': baseline = 'B3' AND hidden > 0}, {'rule': 'b4_open_episode', 'bad': baseline = 'B4' AND eu_censored > 0}, {'rule': 'detector_readmits_some', 'bad': baseline = 'B4' AND arm = 'detector' AND readmitted = 0}], recursive := true) FROM w_cellold) GROUP BY 1""",
+)
 def legacy_invariants(spark, d):
-    return qa.identity_counts(cell_summary(spark, d), {n: F.expr(e) for n, e in _LEGACY.items()})
-
-
+    """Older rules per policy, over the cells and over cells that break them on purpose."""
+    cells = cut_lineage(cell_summary(spark, d))
+    one, b = F.lit(1).cast("bigint"), F.col("baseline")
+    changes = {"B1": {"contained": one, "quarantined": one}, "B2": {"eu_started": one}, "B3": {"hidden": one + 1}, "B4": {"eu_censored": one, "readmitted": one - 1}}
+    rows = cells
+    for name, change in changes.items():
+        rows = rows.unionByName(cells.filter(b == name).withColumns(change))
+    zero = lambda name, field: (b != name) | (F.col(field) == 0)
+    return qa.identity_counts(
+        rows,
+        {
+            "b1_contains": zero("B1", "contained"), "b1_quarantines": zero("B1", "quarantined"), "b2_unvetted": zero("B2", "eu_started"), "b3_hides": zero("B3", "hidden"),
+            "b4_open_episode": zero("B4", "eu_censored"), "detector_readmits_some": (b != "B4") | (F.col("arm") != "detector") | (F.col("readmitted") > 0),
+        },
+    )

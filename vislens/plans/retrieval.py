@@ -689,11 +689,15 @@ def containment_cost(spark, d):
 
 @query(
     "residual_exposure",
-    """SELECT granularity, count(*) AS probes, count(*) FILTER (WHERE rank <= 10) AS raw_hits, 0.0::DOUBLE AS res_pf, 0.0::DOUBLE AS res_if FROM w_revoked JOIN (
-  SELECT a.id, 1 + count(*) FILTER (WHERE b.id <> a.id AND (b.s > a.s OR (b.s = a.s AND b.id < a.id))) AS rank FROM
-    (SELECT id, round(nrm * nrm / (nrm * nrm + 1e-12), 9) AS s FROM w_items WHERE id IN (SELECT id FROM w_revoked)) a JOIN
-    (SELECT x.id AS pid, y.id, round(list_dot_product(x.v, y.v) / (x.nrm * y.nrm + 1e-12), 9) AS s FROM w_items x CROSS JOIN w_items y WHERE x.id IN (SELECT id FROM w_revoked)) b ON b.pid = a.id GROUP BY a.id) r USING (id) GROUP BY 1""",
+    """WITH probe AS (SELECT DISTINCT id FROM w_revoked), up AS (SELECT g.granularity, i.id, i.v, i.nrm FROM w_items i CROSS JOIN (SELECT DISTINCT granularity FROM w_revoked) g WHERE i.id % 7 = 0 OR NOT EXISTS (SELECT 1 FROM w_revoked r WHERE r.id = i.id AND r.granularity = g.granularity)),
+raw AS (SELECT x.id, 1 + count(*) FILTER (WHERE s > own OR (s = own AND y < x.id)) AS rank FROM (SELECT x.id, y.id AS y, round(list_dot_product(x.v, y.v) / (x.nrm * y.nrm + 1e-12), 9) AS s, round(x.nrm * x.nrm / (x.nrm * x.nrm + 1e-12), 9) AS own FROM w_items x JOIN probe USING (id) JOIN w_items y ON y.id <> x.id) x GROUP BY x.id),
+vis AS (SELECT granularity, x.id, 1 + count(*) FILTER (WHERE y <> x.id AND (s > own OR (s = own AND y < x.id))) AS rank FROM (SELECT u.granularity, x.id, u.id AS y, round(list_dot_product(x.v, u.v) / (x.nrm * u.nrm + 1e-12), 9) AS s, round(x.nrm * x.nrm / (x.nrm * x.nrm + 1e-12), 9) AS own FROM w_items x JOIN probe USING (id) JOIN up u ON true) x
+  WHERE EXISTS (SELECT 1 FROM up u WHERE u.granularity = x.granularity AND u.id = x.id) GROUP BY ALL)
+SELECT r.granularity, count(*) AS probes, count(*) FILTER (WHERE raw.rank <= 10) AS raw_hits, count(*) FILTER (WHERE raw.rank <= 20 AND vis.id IS NOT NULL) / count(*) AS res_pf, count(*) FILTER (WHERE vis.rank <= 10) / count(*) AS res_if
+FROM w_revoked r JOIN raw ON raw.id = r.id LEFT JOIN vis ON vis.id = r.id AND vis.granularity = r.granularity GROUP BY 1""",
 )
 def residual_exposure(spark, d):
     it = _items(spark, d)
-    return elig.residual_exposure(it, elig.revoked_sets(it), K)
+    revoked = elig.revoked_sets(it)
+    # every seventh revocation has not reached the index
+    return elig.residual_exposure(it, revoked, K, applied=revoked.filter("id % 7 <> 0"))

@@ -72,8 +72,8 @@ def log(spark, d, baselines=None):
     """The query log of every policy cell."""
     # Only items that are also vectors can be returned.
     vec = src.corpus(src.items(spark, d)).filter("id % 3 <> 0").select(F.col("id").alias("item_id"))
-    facts = wl.facts(spark, d, baselines).join(vec, "item_id", "left_semi")
-    return rl.probe_results(probes(spark, d), candidates(spark, d), facts, CELL, K, 2)
+    facts = wl.facts(spark, d, baselines, vec)
+    return rl.probe_results(probes(spark, d), candidates(spark, d), facts, CELL, wl.cells(baselines), K, 2)
 
 
 @query("poisoned_rate", f"SELECT {C}, role, count(*) AS queries, count(*) FILTER (WHERE hit) AS np, round(avg(hit::INT), 6) AS prr, min(t_us) FILTER (WHERE hit) AS obs_first_us, max(t_us) FILTER (WHERE hit) AS obs_last_us FROM w_ret GROUP BY ALL")

@@ -47,30 +47,39 @@ def lifecycle_stream(spark, d):
 def prr_stream(spark, d):
     e = ls.read_table_stream(spark, d, "events").filter("event_type = 'view'")
     log = e.select(F.timestamp_micros(src.micros(e, "ts")).alias("ts"), (F.col("value") > 50).alias("hit"))
-    out = ls.run_to_table(ls.prr_stream(log, "1 day"), mode="complete")
+    out = ls.run_to_table(ls.prr_stream(log, "1 day"), keys=["start"])
     return out.select(F.floor(F.unix_micros("start") / 86_400_000_000).alias("day"), "n", "hits")
 
 
 @query(
     "stale_read_stream",
-    "SELECT q.item_id + 10 AS probe, q.item_id, q.t_us - w.arrival_us AS stale_us FROM (SELECT item_id - 10 AS item_id, arrival_us AS t_us FROM w_adm WHERE event_type = 'view') q JOIN w_adm w ON w.event_type = 'error' AND w.item_id = q.item_id AND q.t_us >= w.arrival_us AND q.t_us <= w.arrival_us + 86400000000",
+    """WITH ch AS (SELECT item_id, arrival_us AS t_us, event_type = 'error' AS gone FROM w_adm WHERE event_type IN ('error', 'signup')
+  UNION ALL SELECT item_id, arrival_us + 3600000000, false FROM w_adm WHERE event_type = 'error' AND item_id % 3 = 0),
+r AS (SELECT item_id AS probe, item_id - 10 AS item_id, arrival_us AS t_us FROM w_adm WHERE event_type = 'view' UNION ALL SELECT item_id, item_id - 10, arrival_us + 172800000000 FROM w_adm WHERE event_type = 'view' AND item_id % 5 = 0)
+SELECT probe, item_id, t_us, withdrawn_us FROM (SELECT r.*, ch.t_us AS withdrawn_us, ch.gone, row_number() OVER (PARTITION BY r.probe, r.item_id, r.t_us ORDER BY ch.t_us DESC, ch.gone DESC) AS n FROM r JOIN ch ON ch.item_id = r.item_id AND ch.t_us <= r.t_us) WHERE n = 1 AND gone""",
 )
 def stale_read_stream(spark, d):
-    """Every view returns the tenth item before it; error items count as withdrawn at their own time."""
-    def side(kind):
-        e = ls.read_table_stream(spark, d, "events").filter(F.col("event_type") == kind)
-        return e.select("event_id", F.timestamp_micros(src.micros(e, "ts")).alias("at"))
+    """Every view returns the tenth item before it, every fifth view again two days later.
 
-    q = side("view").select(F.col("at").alias("q_ts"), (F.col("event_id") - 10).alias("item_id"), F.col("event_id").alias("probe"))
-    w = side("error").select(F.col("at").alias("w_ts"), F.col("event_id").alias("item_id"))
-    out = ls.run_to_table(ls.stale_read_stream(q, w))
-    return out.select("probe", "item_id", (F.unix_micros("q_ts") - F.unix_micros("w_ts")).alias("stale_us"))
+    Error items are withdrawn at their own time; every third comes back after an
+    hour. No return is too long after its withdrawal to be found.
+    """
+    e = ls.read_table_stream(spark, d, "events")
+    t = src.micros(e, "ts")
+    step = lambda cond, kind, item, at: F.when(cond, F.struct(F.lit(kind).alias("kind"), item.alias("item_id"), at.alias("t_us")))
+    own, error, view = F.col("event_id"), F.col("event_type") == "error", F.col("event_type") == "view"
+    steps = F.array(
+        step(error, "withdraw", own, t), step(F.col("event_type") == "signup", "readmit", own, t), step(error & (own % 3 == 0), "readmit", own, t + 3_600_000_000),
+        step(view, "return", own - 10, t), step(view & (own % 5 == 0), "return", own - 10, t + 172_800_000_000),
+    )
+    rows = e.select(own.alias("probe"), F.explode(F.array_compact(steps)).alias("s")).select("probe", "s.*").withColumn("ts", F.timestamp_micros("t_us"))
+    return ls.run_to_table(ls.stale_read_stream(rows)).select("probe", "item_id", "t_us", "withdrawn_us")
 
 
 @query("current_state_table", "SELECT user_id AS id, arg_max(event_type <> 'error', event_id) AS visible, max(event_id) AS seq FROM events GROUP BY 1")
 def current_state_table(spark, d):
     e = ls.read_table_stream(spark, d, "events")
     updates = e.select(F.col("user_id").alias("id"), (F.col("event_type") != "error").alias("visible"), F.col("event_id").alias("seq"))
-    base = shared_dir(spark)
-    last = ls.upsert_state(updates, "id", "seq", base)
-    return spark.read.parquet(f"{base}/v{last}").select("id", "visible", "seq")
+    table = ls.StateTable(spark, f"{shared_dir(spark)}/state", ["id"], "seq")
+    table.follow(updates)
+    return table.read(updates.schema)

@@ -113,17 +113,28 @@ def queued(spark, d):
     return q.withColumns({c: F.when(F.col("source_ok"), F.col(c)) for c in ("service_us", "start_us", "commit_us")})
 
 
-def plan(spark, d, baselines=None):
-    arms = {"oracle": ~F.col("poison"), "detector": F.col("detector_promote")}
-    p = lc.policy_cells(queued(spark, d), arms)
+ARMS = {"oracle": lambda: ~F.col("poison"), "detector": lambda: F.col("detector_promote")}
+
+
+def plan(spark, d, baselines=None, only=None):
+    """Every item under every policy cell; with `only` (item_id), these items alone, after the queue they all share."""
+    q = queued(spark, d)
+    if only is not None:
+        q = q.join(only, "item_id", "left_semi")
+    p = lc.policy_cells(q, {n: passes() for n, passes in ARMS.items()})
     if baselines:
         p = p.filter(F.col("baseline").isin(*baselines))
     return p.withColumn("horizon_us", horizon(spark, d))
 
 
-def ledger(spark, d, baselines=None):
-    return lc.ledger(plan(spark, d, baselines), TP_US)
+def ledger(spark, d, baselines=None, only=None):
+    return lc.ledger(plan(spark, d, baselines, only), TP_US)
+
+
+def facts(spark, d, baselines=None, only=None):
+    return lc.with_facts(ledger(spark, d, baselines, only))
 
 
-def facts(spark, d, baselines=None):
-    return lc.with_facts(ledger(spark, d, baselines))
+def cells(baselines=None) -> list[tuple[str, str, str]]:
+    """(backlog, baseline, arm) of every policy cell of the plan."""
+    return [(load, b, arm) for load in LOADS for b, arm in lc.policy_arms(ARMS) if not baselines or b in baselines]

@@ -50,7 +50,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def collect_bounded(df: DataFrame, max_rows: int):
-    """Arrow table of `df` if it has at most `max_rows` rows, else None."""
+def collect_bounded(df: DataFrame, max_rows: int, max_bytes: int):
+    """Arrow table of `df` if it has at most `max_rows` rows and `max_bytes` bytes, else None."""
     table = df.limit(max_rows + 1).toArrow()
-    return table if table.num_rows <= max_rows else None
+    return table if table.num_rows <= max_rows and table.nbytes <= max_bytes else None

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vislens.functions.text import decode_latin1
+
 MICROS = 1_000_000
 
 
@@ -13,16 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition a frame whose scan has fewer splits than the session has cores.
-
-    For row-wise text work that costs far more than moving the rows; an input
-    with enough splits, as any large one has, is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
-
-
 def read_strict(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
     """Read with an exact schema; extra or missing fields and non-finite numbers are errors."""
     found = spark.read.format(fmt).load(path).schema
@@ -72,11 +64,11 @@ def write_new(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list
 
 
 def read_corpus_files(spark: SparkSession, path: str) -> DataFrame:
-    """Raw posts from files laid out as <topic>/<filename>."""
+    """Raw posts from files laid out as <topic>/<filename>, with their bytes and the text that these spell in Latin-1."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     parts = F.split("path", "/")
     return raw.select(
-        F.element_at(parts, -2).alias("topic"), F.element_at(parts, -1).alias("filename"), F.col("content").alias("raw")
+        F.element_at(parts, -2).alias("topic"), F.element_at(parts, -1).alias("filename"), F.col("content").alias("raw"), decode_latin1("content").alias("text")
     )
 
 

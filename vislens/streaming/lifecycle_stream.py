@@ -7,11 +7,13 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from vislens.operators.lifecycle import HIDDEN, PROVISIONAL, QUARANTINED, REVOKED, TRUSTED
+from vislens.operators.lifecycle import HIDDEN, POLICIES, PROVISIONAL, QUARANTINED, REVOKED, TERMINAL, TRUSTED
 
 OUTPUT = "item_id long, t_us long, old_state string, new_state string"
 _STATE = "state string, deadline_us long, verdict_us long, passes boolean, revoke_us long, timer_ms long"
 _ORDER = {"admit": 0, "verdict": 1, "revoke": 2}
+#: Admitted by its verdict only, which is still to come.
+PENDING = "PENDING"
 
 
 class LifecycleProcessor(StatefulProcessor):
@@ -20,10 +22,20 @@ class LifecycleProcessor(StatefulProcessor):
     A timer and a late verdict can reach the item in either order, so the verdict
     compares its commit time with the stored deadline and itself emits the hide
     that must come first.  Rows that overtake the admission wait in the state.
+
+    An item that is quarantined or revoked can never change again: once the
+    watermark has passed `keep_us` after that, its state is cleared, and so are
+    rows that have waited for an admission as long. A trusted item keeps its
+    state, since it may be revoked at any time.
+
+    `policy` is one of the admission policies of the batch ledger: without
+    verification verdicts are ignored, with sync an item is admitted by its
+    verdict alone, and only with a deadline is it hidden meanwhile.
     """
 
-    def __init__(self, tp_us: int):
-        self.tp_us = tp_us
+    def __init__(self, tp_us: int, policy: str = "B4", keep_us: int = 3_600_000_000):
+        self.tp_us, self.keep_us = tp_us, keep_us
+        self.verify, self.sync, self.deadline = POLICIES[policy]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -36,8 +48,10 @@ class LifecycleProcessor(StatefulProcessor):
     def _settle(self, s: list, out: list) -> None:
         """Apply a known verdict and alert as far as the current state allows."""
         state, deadline, verdict, passes, revoke = s[:5]
-        if verdict is not None and state in (PROVISIONAL, HIDDEN):
-            if state == PROVISIONAL and deadline is not None and verdict > deadline:
+        if verdict is not None and state in (PROVISIONAL, HIDDEN, PENDING):
+            if state == PENDING:
+                state = None
+            elif state == PROVISIONAL and deadline is not None and verdict > deadline:
                 out.append((deadline, PROVISIONAL, HIDDEN))
                 state = HIDDEN
             new = TRUSTED if passes else QUARANTINED
@@ -55,42 +69,57 @@ class LifecycleProcessor(StatefulProcessor):
             if kind == 0 and s[0] is None:
                 if not source_ok:
                     out.append((t, None, QUARANTINED))
-                    s[0] = QUARANTINED
+                    s[0], s[1] = QUARANTINED, t
+                elif self.sync:
+                    s[0] = PENDING
                 else:
                     out.append((t, None, PROVISIONAL))
-                    s[0], s[1] = PROVISIONAL, t + self.tp_us
-            elif kind == 1 and s[2] is None:
+                    s[0], s[1] = PROVISIONAL, t + self.tp_us if self.deadline else None
+            elif kind == 1 and s[2] is None and self.verify:
                 s[2], s[3] = t, passes
             elif kind == 2 and s[4] is None:
                 s[4] = t
             self._settle(s, out)
-        if s[0] == PROVISIONAL and s[5] is None:
-            s[5] = -(-s[1] // 1000)
-            self.handle.registerTimer(s[5])
-        elif s[0] != PROVISIONAL and s[5] is not None:
-            self.handle.deleteTimer(s[5])
-            s[5] = None
-        self.item.update(tuple(s))
+        self._keep(s)
         return iter([Row(item_id=key[0], t_us=t, old_state=a, new_state=b) for t, a, b in out])
 
+    def _keep(self, s: list) -> None:
+        """Stores the state with the timer that it needs: the deadline, or the time to forget a finished item."""
+        if s[0] == PROVISIONAL and s[1] is not None:
+            due = -(-s[1] // 1000)
+        elif s[0] is None or s[0] in TERMINAL:
+            due = -(-(max(x for x in (s[1], s[2], s[4], 0) if x is not None) + self.keep_us) // 1000)
+        else:
+            due = None
+        if due != s[5]:
+            if s[5] is not None:
+                self.handle.deleteTimer(s[5])
+            if due is not None:
+                self.handle.registerTimer(due)
+            s[5] = due
+        self.item.update(tuple(s))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         s = self._load()
         s[5] = None
+        if s[0] is None or s[0] in TERMINAL:
+            self.item.clear()
+            return iter([])
         if s[0] != PROVISIONAL:
             self.item.update(tuple(s))
             return iter([])
         s[0] = HIDDEN
-        self.item.update(tuple(s))
+        self._keep(s)
         return iter([Row(item_id=key[0], t_us=s[1], old_state=PROVISIONAL, new_state=HIDDEN)])
 
     def close(self) -> None:
         pass
 
 
-def lifecycle_stream(events: DataFrame, tp_us: int, lateness: str = "1 hour") -> DataFrame:
+def lifecycle_stream(events: DataFrame, tp_us: int, lateness: str = "1 hour", policy: str = "B4") -> DataFrame:
     """events: item_id, ts, t_us, kind (admit|verdict|revoke), source_ok, passes."""
     return (
         events.withWatermark("ts", lateness)
         .groupBy("item_id")
-        .transformWithState(LifecycleProcessor(tp_us), OUTPUT, "Append", "EventTime")
+        .transformWithState(LifecycleProcessor(tp_us, policy), OUTPUT, "Append", "EventTime")
     )

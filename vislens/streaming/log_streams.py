@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import contextlib
+import warnings
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from vislens.session import shared_dir
 
@@ -23,18 +27,37 @@ def rocksdb(spark: SparkSession):
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Drain what is available into a parquet table and return it."""
+def late_rows(query) -> int:
+    """Rows that a finished query has dropped for lying behind its watermark."""
+    operators = (o for p in query.recentProgress for o in p["stateOperators"])
+    return sum(int(o.get("numRowsDroppedByWatermark", 0)) for o in operators)
+
+
+def drain(stream: DataFrame, keys: list[str] | None = None) -> tuple[DataFrame, int]:
+    """Runs what is available into a table; (table, late rows).
+
+    Rows are appended, or with `keys` upserted: a stream in update mode sends only
+    groups that have changed, and the last write of a key is what counts.
+    """
     spark = stream.sparkSession
     base = shared_dir(spark)
     with rocksdb(spark):
-        w = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True)
-        if mode == "append":
+        if keys is None:
+            w = stream.writeStream.outputMode("append").option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True)
             q = w.format("parquet").option("path", f"{base}/out").start()
-        else:
-            q = w.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{base}/out")).start()
-        q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+            q.awaitTermination()
+            return spark.read.schema(stream.schema).parquet(f"{base}/out"), late_rows(q)
+        table = StateTable(spark, f"{base}/state", keys)
+        q = table.follow(stream, mode="update")
+        return table.read(stream.schema), late_rows(q)
+
+
+def run_to_table(stream: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """As `drain`; rows that came too late are told of in a warning."""
+    out, late = drain(stream, keys)
+    if late:
+        warnings.warn(f"{late} rows were behind the watermark and are not in the result", stacklevel=2)
+    return out
 
 
 def read_table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
@@ -44,7 +67,7 @@ def read_table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: in
 
 
 def prr_stream(log: DataFrame, width: str, lateness: str = "1 hour") -> DataFrame:
-    """Hits and queries per tumbling window; log: ts, hit."""
+    """Hits and queries per tumbling window; log: ts, hit. For update mode: closed windows leave the state."""
     return (
         log.withWatermark("ts", lateness)
         .groupBy(F.window("ts", width).alias("w"))
@@ -53,36 +76,123 @@ def prr_stream(log: DataFrame, width: str, lateness: str = "1 hour") -> DataFram
     )
 
 
-def stale_read_stream(queries: DataFrame, withdrawals: DataFrame, horizon: str = "1 day", lateness: str = "1 hour") -> DataFrame:
-    """Returned items that had already been withdrawn: stream-stream interval join.
+class StaleReads(StatefulProcessor):
+    """Returns of an item while it is withdrawn.
 
-    queries: q_ts, item_id, probe.  withdrawals: w_ts, item_id.
+    The state of an item is its changes of visibility: those newer than the
+    watermark and the last one before it, so a withdrawal counts however long ago
+    it was. Returns newer than the watermark are kept too, for a withdrawal that
+    comes after them; a re-admission that comes after a return was reported does
+    not take the report back.
     """
-    q = queries.withWatermark("q_ts", lateness).alias("q")
-    w = withdrawals.withWatermark("w_ts", lateness).alias("w")
-    cond = (
-        (F.col("q.item_id") == F.col("w.item_id"))
-        & (F.col("q_ts") >= F.col("w_ts"))
-        & (F.col("q_ts") <= F.col("w_ts") + F.expr(f"INTERVAL {horizon}"))
-    )
-    return q.join(w, cond).select("probe", F.col("q.item_id").alias("item_id"), "q_ts", "w_ts")
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("item", "changes array<struct<t_us:long,kind:int>>, returns array<struct<t_us:long,probe:long,told:boolean>>")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = self.state.get() if self.state.exists() else None
+        changes = {(c[0], c[1]) for c in held[0]} if held else set()
+        returns = {(r[0], r[1]): r[2] for r in held[1]} if held else {}
+        for r in rows:
+            if r["kind"] == "return":
+                returns.setdefault((r["t_us"], r["probe"]), False)
+            else:
+                # at one instant the withdrawal is what counts
+                changes.add((r["t_us"], 1 if r["kind"] == "withdraw" else 0))
+        order, out = sorted(changes), []
+        for (t, probe), told in sorted(returns.items()):
+            before = [c for c in order if c[0] <= t]
+            if before and before[-1][1] == 1 and not told:
+                out.append(Row(item_id=key[0], probe=probe, t_us=t, withdrawn_us=before[-1][0]))
+                returns[t, probe] = True
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        old = [c for c in order if c[0] <= mark]
+        kept = old[-1:] + [c for c in order if c[0] > mark]
+        fresh = [(t, p, told) for (t, p), told in returns.items() if t > mark]
+        if kept or fresh:
+            self.state.update((kept, fresh))
+        else:
+            self.state.clear()
+        return iter(out)
+
+    def close(self) -> None:
+        pass
 
 
-def upsert_state(stream: DataFrame, key: str, order: str, base: str):
-    """Keep a snapshot table with the last write per key; each batch makes a new version.
+def stale_read_stream(events: DataFrame, lateness: str = "1 hour") -> DataFrame:
+    """events: item_id, ts, t_us, kind (withdraw|readmit|return), probe. (item_id, probe, t_us, withdrawn_us) of every stale return."""
+    out = "item_id long, probe long, t_us long, withdrawn_us long"
+    return events.withWatermark("ts", lateness).groupBy("item_id").transformWithState(StaleReads(), out, "Append", "EventTime")
 
-    A version is complete before it is read, so a repeated batch is harmless.
+
+class StateTable:
+    """A table of the last write per key, fed by a stream.
+
+    A batch writes its own last rows only, under its number, partitioned by a hash
+    of the key; a repeated batch replaces its own files. Every `compact` batches
+    the parts are merged into one and the merged ones are deleted. What stands is
+    found by listing, so a reader needs no other record.
     """
-    spark = stream.sparkSession
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        cols = [c for c in batch.columns if c != key]
-        if batch_id > 0:
-            batch = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{base}/v{batch_id - 1}"))
-        latest = batch.groupBy(key).agg(F.max_by(F.struct(*cols), order).alias("r")).select(key, "r.*")
-        latest.write.mode("overwrite").parquet(f"{base}/v{batch_id}")
-
-    q = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start()
-    q.awaitTermination()
-    last = q.lastProgress["batchId"] if q.lastProgress else 0
-    return last
+    def __init__(self, spark: SparkSession, base: str, keys: list[str], order: str | None = None, buckets: int = 16, compact: int = 20):
+        self.spark, self.base, self.keys, self.order, self.buckets, self.compact = spark, base, keys, order, buckets, compact
+
+    def _fs(self):
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.base)
+        return jvm, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def parts(self) -> list[tuple[int, int]]:
+        """(first, last) batch of each complete part that no larger one covers."""
+        _, fs, path = self._fs()
+        if not fs.exists(path):
+            return []
+        names = [f.getPath() for f in fs.listStatus(path)]
+        done = [tuple(map(int, p.getName()[1:].split("-"))) for p in names if p.getName().startswith("b") and fs.exists(p.suffix("/_SUCCESS"))]
+        return sorted(p for p in done if not any(q != p and q[0] <= p[0] and p[1] <= q[1] for q in done))
+
+    def _name(self, part: tuple[int, int]) -> str:
+        return f"{self.base}/b{part[0]}-{part[1]}"
+
+    def _last(self, rows: DataFrame) -> DataFrame:
+        """One row per key: the highest order, then the latest batch."""
+        rest = [c for c in rows.columns if c not in self.keys]
+        order = F.struct(*([self.order] if self.order else []), "__batch")
+        return rows.groupBy(*self.keys).agg(F.max_by(F.struct(*rest), order).alias("__r")).select(*self.keys, "__r.*")
+
+    def _write(self, rows: DataFrame, part: tuple[int, int]) -> None:
+        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets))
+        rows.withColumn("__bucket", bucket).write.mode("overwrite").partitionBy("__bucket").parquet(self._name(part))
+
+    def _read(self, parts, schema) -> DataFrame:
+        found = [self.spark.read.schema(schema).parquet(self._name(p)).select(schema.names) for p in parts]
+        out = found[0]
+        for f in found[1:]:
+            out = out.unionByName(f)
+        return out
+
+    def put(self, batch: DataFrame, batch_id: int) -> None:
+        rows = self._last(batch.withColumn("__batch", F.lit(batch_id).cast("bigint")))
+        self._write(rows, (batch_id, batch_id))
+        parts = self.parts()
+        if len(parts) >= self.compact:
+            self._write(self._last(self._read(parts, rows.schema)), (parts[0][0], parts[-1][1]))
+            jvm, fs, _ = self._fs()
+            for p in parts:
+                if p != (parts[0][0], parts[-1][1]):
+                    fs.delete(jvm.org.apache.hadoop.fs.Path(self._name(p)), True)
+
+    def follow(self, stream: DataFrame, mode: str = "append"):
+        """Drains what is available; the finished query."""
+        w = stream.writeStream.outputMode(mode).foreachBatch(self.put).option("checkpointLocation", f"{self.base}-ckpt")
+        q = w.trigger(availableNow=True).start()
+        q.awaitTermination()
+        return q
+
+    def read(self, schema) -> DataFrame:
+        """The last write of every key; `schema` is that of the rows put in."""
+        parts = self.parts()
+        if not parts:
+            return self.spark.createDataFrame([], schema)
+        stored = T.StructType([*schema.fields, T.StructField("__batch", T.LongType())])
+        return self._last(self._read(parts, stored)).select(*[f.name for f in schema.fields])
