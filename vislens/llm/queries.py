@@ -71,7 +71,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = warc.write_warc(pages, folder).agg(F.sum("n_records")).first()[0]
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     if not n:  # an empty table leaves no file to read
-        return warc.archive_rows(pages).select("page_id", F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.lit("response").alias("record_type"), "refers_to")
+        return warc.record_types(pages).select("page_id", F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.lit("response").alias("record_type"), "refers_to")
     return warc.read_warc(spark, folder, pages.schema["page_id"].dataType.simpleString()).select(columns)
 
 

@@ -160,21 +160,23 @@ def _put(folder: str, name: str, data: bytes) -> str:
     return path
 
 
-def archive_rows(pages: DataFrame, page_id: str = "page_id", url: str = "url", body: str = "html", least: int = 1000) -> DataFrame:
-    """(page_id, url, payload, digest, size, refers_to): refers_to is null for responses.
+def record_types(pages: DataFrame, page_id: str = "page_id", url: str = "url", body: str = "html", least: int = 1000) -> DataFrame:
+    """(page_id, url, digest, size, refers_to): refers_to is null for responses.
 
     Of rows with equal payloads of `least` bytes or more, those with the largest
     id are responses and the others revisits; of null ids only, all are responses.
-    Only digests are grouped, never payloads.
+    Digests are grouped and joined, payloads stay where they are.
     """
-    payload = F.coalesce(F.col(body).cast("binary"), F.lit(b""))
-    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("bigint"))
+    payload = _payload(body)
+    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.sha1(payload).alias("digest"), F.octet_length(payload).cast("bigint").alias("size"))
     shared = rows.filter(F.col("size") >= least).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n"))
     shared = shared.filter("n > 1").drop("n")
-    joined = rows.join(shared, "digest", "left")
     other = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return joined.withColumn("refers_to", F.when(other, F.col("first"))).drop("first")
+    return rows.join(shared, "digest", "left").withColumn("refers_to", F.when(other, F.col("first"))).drop("first")
+
+
+def _payload(body: str):
+    return F.coalesce(F.col(body).cast("binary"), F.lit(b""))
 
 
 def write_warc(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", body: str = "html", least: int = 1000, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -183,26 +185,33 @@ def write_warc(pages: DataFrame, folder: str, page_id: str = "page_id", url: str
     A null body is an empty payload, a null url has no target, a null id is
     written as none. Rows that repeat an id are records of their own. Other
     columns are not read. An empty table writes no file. Files are written when
-    the result is computed.
+    the result is computed. Payloads are moved once, to the task that writes
+    them; which rows are revisits comes to meet them there.
     """
-    total = pages.agg(F.sum(F.octet_length(F.col(body).cast("binary")) + 512)).first()[0] or 0
+    total = pages.agg(F.sum(F.octet_length(_payload(body)) + 512)).first()[0] or 0
     n = max(1, math.ceil(total / archive_bytes))
-    rows = archive_rows(pages, page_id, url, body, least)
-    rows = rows.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")))  # revisits carry none
-    rows = rows.withColumn("archive", F.pmod(F.xxhash64("page_id", "url"), F.lit(n)))
+    archive = F.pmod(F.xxhash64("page_id", "url"), F.lit(n)).alias("archive")
+    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), _payload(body).alias("payload")).select("*", archive)
+    again = record_types(pages, page_id, url, body, least).filter("refers_to is not null").select("page_id", "digest", "refers_to", archive)
 
-    def run(key, table):
+    def run(key, table, again):
         number = key[0].as_py()
-        order = [(r["page_id"] is not None, r["page_id"], r["url"] or "", r["digest"], i) for i, r in enumerate(table.select(["page_id", "url", "digest"]).to_pylist())]
+        first = {(p, d): f for p, d, f in zip(*(again.column(c).to_pylist() for c in ("page_id", "digest", "refers_to")))}
+        ids, urls = table.column("page_id").to_pylist(), table.column("url").to_pylist()
+        digests = [hashlib.sha1(x.as_buffer()).hexdigest() for x in table.column("payload")]
+        order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] if ids[i] is not None else 0, urls[i] or "", digests[i]))
         records = []
-        for *_, i in sorted(order, key=lambda x: (x[0], x[1] if x[0] else 0, *x[2:])):
-            p, u, body, d, s, ref = (table.column(c)[i].as_py() for c in ("page_id", "url", "payload", "digest", "size", "refers_to"))
-            records.append(_record(p, u, d, s, ref, body))
-        data = write_archive(records)
-        _put(folder, f"pages-{number:08d}.warc.zst", data)
+        for i in order:
+            body = table.column("payload")[i].as_py()
+            refers_to = first.get((ids[i], digests[i]))
+            records.append(_record(ids[i], urls[i], digests[i], len(body), refers_to, body if refers_to is None else None))
+        data = write_archive(records) if records else b""
+        if records:
+            _put(folder, f"pages-{number:08d}.warc.zst", data)
         return pa.table({"archive": pa.array([number], pa.int64()), "n_records": pa.array([len(records)], pa.int64()), "n_bytes": pa.array([len(data)], pa.int64())})
 
-    return rows.groupBy("archive").applyInArrow(run, "archive bigint, n_records bigint, n_bytes bigint")
+    both = rows.groupBy("archive").cogroup(again.groupBy("archive"))
+    return both.applyInArrow(run, "archive bigint, n_records bigint, n_bytes bigint")
 
 
 def read_warc(spark: SparkSession, folder: str, id_type: str = "bigint", with_payload: bool = False) -> DataFrame:
