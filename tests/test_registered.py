@@ -10,7 +10,8 @@ SF = os.environ.get("ORACLE_SF", "/root/testdata/sf0.001")
 # ORACLE_ALL=1 compares every registered query; by default one of each kind.
 SAMPLE = (
     "finite_audit postfilter_topk landing_rank approx_topk containment_cost policy_transitions restricted_time "
-    "illegal_transitions dedup_groups shared_6gram select_threshold poisoned_rate round_robin_select in_band_runs config_drift prr_stream"
+    "illegal_transitions dedup_groups shared_6gram select_threshold poisoned_rate round_robin_select in_band_runs config_drift prr_stream "
+    "threshold_candidates residual_exposure paired_contrast bookkeeping_identities legacy_invariants detector_violations assign_donors stale_read_stream"
 ).split()
 NAMES = list(QUERIES) if os.environ.get("ORACLE_ALL") else SAMPLE
 

@@ -193,58 +193,47 @@ def with_facts(led: DataFrame, width: int = 5) -> DataFrame:
     """Per-item instants and totals used by every lifecycle metric (horizon applied).
 
     `width` is the number of transitions a row can have; `ledger` gives five at
-    most. The places of the array are written out, so that all of this is compiled
-    instead of interpreted lambda by lambda.
+    most. The places of the array are written out as SQL, so that all of this is
+    compiled instead of interpreted lambda by lambda.
     """
+    places = range(width)
+    t, old, new = ([f"get(trans, {i}).{f}" for i in places] for f in ("t_us", "old_state", "new_state"))
+    seen = lambda x: f"coalesce({x} IN ('{PROVISIONAL}', '{TRUSTED}'), false)"
+    now = [seen(x) for x in new]
+    leaves = [f"({seen(a)} AND NOT {b})" for a, b in zip(old, now)]
+    enters = [f"(NOT {seen(a)} AND {b})" for a, b in zip(old, now)]
+    is_new = lambda state: [f"{x} = '{state}'" for x in new]
+    times = lambda conds: ", ".join(f"CASE WHEN {c} THEN {x} END" for c, x in zip(conds, t))
+    first = lambda conds: f"least(CAST(NULL AS BIGINT), {times(conds)})"
+    last = lambda conds: f"greatest(CAST(NULL AS BIGINT), {times(conds)})"
+    # a place that is not there has null states and neither leaves nor enters
+    number = lambda conds: " + ".join(f"CASE WHEN {c} THEN 1 ELSE 0 END" for c in conds)
+    ends = [f"coalesce({t[i + 1]}, horizon_us)" if i + 1 < width else "horizon_us" for i in places]
+    visible = " + ".join(f"CASE WHEN {v} THEN {e} - {x} ELSE 0 END" for v, e, x in zip(now, ends, t))
+    columns = {
+        "state_end": "get(trans, size(trans) - 1).new_state",
+        "first_visible_us": first(now),
+        "visible_entries": number(enters),
+        "contain_us": first(leaves),
+        "last_withdraw_us": last(leaves),
+        "withdrawals": number(leaves),
+        "hide_at_us": first(is_new(HIDDEN)),
+        "trusted_us": first(is_new(TRUSTED)),
+        "quarantine_us": first(is_new(QUARANTINED)),
+        "readmit_us": first([f"{c} AND {x} IS NOT NULL" for c, x in zip(enters, old)]),
+        "prov_start_us": first(is_new(PROVISIONAL)),
+        "prov_end_us": first([f"{x} = '{PROVISIONAL}'" for x in old]),
+        "prov_entries": number(is_new(PROVISIONAL)),
+        "visible_us": f"CAST({visible} AS BIGINT)",
+    }
     d = led.withColumn("trans", upto()).withColumn("spans", spans())
-    at = [F.get("trans", F.lit(i)) for i in range(width)]
-    t = [x["t_us"] for x in at]
-    old, new = [x["old_state"] for x in at], [x["new_state"] for x in at]
-    there = [x.isNotNull() for x in at]
-    was, now = [is_visible(x) for x in old], [is_visible(x) for x in new]
-    bigint = F.lit(None).cast("bigint")  # least and greatest skip nulls, but want two arguments
-    pick = lambda conds: [F.when(y & c, v) for y, c, v in zip(there, conds, t)]
-    first = lambda conds: F.least(bigint, *pick(conds))
-    last = lambda conds: F.greatest(bigint, *pick(conds))
-
-    def number(conds):
-        out = F.lit(0)
-        for y, c in zip(there, conds):
-            out = out + F.when(y & c, 1).otherwise(0)
-        return out
-
-    leaves = [a & ~b for a, b in zip(was, now)]
-    enters = [~a & b for a, b in zip(was, now)]
-    is_new = lambda state: [F.coalesce(x == state, F.lit(False)) for x in new]
-    is_old = lambda state: [F.coalesce(x == state, F.lit(False)) for x in old]
-    visible_us = F.lit(0).cast("bigint")
-    for i in range(width):
-        end = F.coalesce(*([t[i + 1]] if i + 1 < width else []), F.col("horizon_us"))
-        visible_us = visible_us + F.when(there[i] & now[i], end - t[i]).otherwise(0)
-    return d.select(
-        "*",
-        F.get("trans", F.size("trans") - 1)["new_state"].alias("state_end"),
-        first(now).alias("first_visible_us"),
-        number(enters).alias("visible_entries"),
-        first(leaves).alias("contain_us"),
-        last(leaves).alias("last_withdraw_us"),
-        number(leaves).alias("withdrawals"),
-        first(is_new(HIDDEN)).alias("hide_at_us"),
-        first(is_new(TRUSTED)).alias("trusted_us"),
-        first(is_new(QUARANTINED)).alias("quarantine_us"),
-        first([c & x.isNotNull() for c, x in zip(enters, old)]).alias("readmit_us"),
-        first(is_new(PROVISIONAL)).alias("prov_start_us"),
-        first(is_old(PROVISIONAL)).alias("prov_end_us"),
-        number(is_new(PROVISIONAL)).alias("prov_entries"),
-        visible_us.alias("visible_us"),
-    )
+    return d.selectExpr("*", *[f"{e} AS {n}" for n, e in columns.items()])
 
 
-def visible_at(t: Column, facts: Column | None = None) -> Column:
-    """Visible at time t, from facts (columns, or fields of one): a legal trajectory has at most two visible stretches."""
-    f = (lambda c: F.col(c)) if facts is None else (lambda c: facts[c])
-    first = (f("first_visible_us") <= t) & (f("contain_us").isNull() | (t < f("contain_us")))
-    again = (f("readmit_us") <= t) & ((f("last_withdraw_us") <= f("readmit_us")) | (t < f("last_withdraw_us")))
+def visible_at(t: Column) -> Column:
+    """Visible at time t, from facts: a legal trajectory has at most two visible stretches."""
+    first = (F.col("first_visible_us") <= t) & (F.col("contain_us").isNull() | (t < F.col("contain_us")))
+    again = (F.col("readmit_us") <= t) & ((F.col("last_withdraw_us") <= F.col("readmit_us")) | (t < F.col("last_withdraw_us")))
     return F.coalesce(first, F.lit(False)) | F.coalesce(again, F.lit(False))
 
 

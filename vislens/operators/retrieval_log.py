@@ -17,63 +17,33 @@ def probe_results(
 
     probes: probe, t_us, query_id, role.  candidates: query_id, id, score, static
     (every item that can reach a top k*over_fetch).  facts: cell, item_id, poison,
-    landed and the visibility instants.  `cells` lists the policy cells. A
-    candidate is one row of a probe for all cells together: which cells have it
-    inserted and visible are bits, counted cell by cell in one sort per probe.
-    The raw pool holds everything already inserted, whatever its current state.
+    landed and the visibility instants.  `cells` lists the policy cells, a handful
+    of settings.  The three lists come from one sort per (cell, probe); the raw pool
+    holds everything already inserted, whatever its current state.
     """
     instants = ["first_visible_us", "contain_us", "readmit_us", "last_withdraw_us"]
-    every = (1 << len(cells)) - 1
-    number = F.lit(None).cast("int")
-    for i, values in enumerate(cells):
-        same = F.lit(True)
-        for c, v in zip(cell, values):
-            same = same & (F.col(c) == v)
-        number = F.when(same, i).otherwise(number)
-    moving = candidates.filter(~F.col("static")).drop("static")
-    per_item = facts.select(F.col("item_id").alias("id"), "poison", "landed", number.alias("bit"), *instants).filter("bit is not null")
-    # one row per item, with an entry for each cell
-    per_item = per_item.groupBy("id").agg(
-        F.max("poison").alias("poison"), F.max("landed").alias("landed"), *[F.max(F.when(F.col("bit") == i, F.struct(*instants))).alias(f"c{i}") for i in range(len(cells))]
+    moving = candidates.filter(~F.col("static")).join(
+        facts.select(*cell, F.col("item_id").alias("id"), "poison", "landed", *instants), "id"
     )
-    rows = probes.join(moving.join(per_item, "id"), "query_id")
+    all_cells = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(cell, values)]) for values in cells])
+    fixed = candidates.filter("static").withColumn("__c", F.explode(all_cells)).select("*", "__c.*")
+    never = {c: F.lit(None).cast("bigint") for c in instants[1:]}
+    fixed = fixed.withColumns({"poison": F.lit(False), "landed": F.lit(False), "first_visible_us": F.lit(0).cast("bigint"), **never})
+    cols = ["query_id", "id", "score", *cell, "poison", "landed", *instants]
+    pool = fixed.select(*cols).unionByName(moving.select(*cols))
     at = F.col("t_us")
-
-    def mask(test):
-        out = F.lit(0)
-        for i in range(len(cells)):
-            out = out + F.when(test(F.col(f"c{i}")), 1 << i).otherwise(0)
-        return out
-
-    inserted = mask(lambda c: F.coalesce(c["first_visible_us"] <= at, F.lit(False)))
-    rows = rows.withColumns({"seen": inserted, "shown": mask(lambda c: F.coalesce(c["first_visible_us"] <= at, F.lit(False)) & visible_at(at, c))})
-    cols = ["probe", "t_us", "query_id", "role", "id", "score", "poison", "landed", "seen", "shown"]
-    fixed = probes.join(candidates.filter("static"), "query_id").withColumns(
-        {"poison": F.lit(False), "landed": F.lit(False), "seen": F.lit(every), "shown": F.lit(every)}
-    )
-    pool = fixed.select(*cols).unionByName(rows.filter("seen <> 0").select(*cols))
-    w = W.partitionBy("probe").orderBy(F.col("score").desc(), "id").rowsBetween(W.unboundedPreceding, 0)
-    bit = lambda c, i: F.getbit(F.col(c), F.lit(i)) == 1
-    counted = {}
-    for i in range(len(cells)):
-        n = lambda c: F.sum(F.when(c, 1).otherwise(0)).over(w)
-        counted |= {f"raw{i}": n(bit("seen", i)), f"nv{i}": n(bit("shown", i)), f"nc{i}": n(bit("shown", i) & ~F.col("poison"))}
-    pool = pool.withColumns(counted)
-    # an entry per cell in which the row is on one of the lists
-    entries = []
-    for i, values in enumerate(cells):
-        shown = bit("shown", i)
-        first = F.col(f"nv{i}") <= k
-        ret = shown & (F.col(f"raw{i}") <= k * over_fetch) & first
-        elig, pf = shown & first, shown & ~F.col("poison") & (F.col(f"nc{i}") <= k)
-        entry = F.struct(*[F.lit(v).alias(c) for c, v in zip(cell, values)], ret.alias("ret"), elig.alias("elig"), pf.alias("pf"))
-        entries.append(F.when(elig | pf, entry))
-    keep = pool.select("probe", "t_us", "query_id", "role", "id", "score", "poison", "landed", F.explode(F.array_compact(F.array(*entries))).alias("e"))
-    keep = keep.select("*", "e.*").drop("e")
+    rows = probes.join(pool, "query_id").filter(F.col("first_visible_us") <= at).withColumn("visible", visible_at(at)).drop(*instants)
+    w = W.partitionBy(*cell, "probe").orderBy(F.col("score").desc(), "id").rowsBetween(W.unboundedPreceding, 0)
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0)).over(w)
+    clean = F.col("visible") & ~F.col("poison")
+    rows = rows.withColumns({"raw": F.count(F.lit(1)).over(w), "nv": n(F.col("visible")), "nc": n(clean)})
+    ret = F.col("visible") & (F.col("raw") <= k * over_fetch) & (F.col("nv") <= k)
+    elig = F.col("visible") & (F.col("nv") <= k)
+    pf = clean & (F.col("nc") <= k)
+    keep = rows.filter(ret | elig | pf)
     ids = lambda cond: F.collect_list(F.when(cond, F.col("id")))
-    ret = F.col("ret")
     return keep.groupBy(*cell, "probe", "t_us", "query_id", "role").agg(
-        ids(ret).alias("returned"), ids(F.col("elig")).alias("eligible"), ids(F.col("pf")).alias("poisonfree"),
+        ids(ret).alias("returned"), ids(elig).alias("eligible"), ids(pf).alias("poisonfree"),
         count_if(ret & F.col("poison")).alias("n_poison"), count_if(ret & F.col("poison") & F.col("landed")).alias("n_landed"),
     ).withColumns(
         {

@@ -82,7 +82,7 @@ cte(
 
 
 def posts(spark, d):
-    t = src.table(spark, d, "documents")
+    t = src.dealt(src.table(spark, d, "documents"), "doc_id")
     p = t.select(
         "doc_id", F.col("lang").alias("topic"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("source_id"), "text",
         tx.normalize_text("text").alias("norm"),
@@ -177,7 +177,7 @@ def query_prefix(spark, d):
 
 @query("hard_negative_rules", "SELECT doc_id, array_to_string(rules, ',') AS rules FROM w_rules")
 def hard_negative_rules(spark, d):
-    t = src.table(spark, d, "documents").select("doc_id", "text")
+    t = src.dealt(src.table(spark, d, "documents").select("doc_id", "text"), "doc_id")
     return t.select("doc_id", F.array_join(tx.hard_negative_rules("text"), ",").alias("rules"))
 
 
@@ -252,7 +252,7 @@ cte(
   SELECT a.id AS left_id, b.id AS right_id, a.pos AS lp, a.pos - b.pos AS diag FROM w_grams a JOIN w_grams b ON a.gram = b.gram WHERE a.side = 'd' AND b.side = 'b')) GROUP BY ALL) GROUP BY ALL""",
 )
 def shared_6gram(spark, d):
-    docs = src.table(spark, d, "documents").select(F.col("doc_id").alias("left_id"), "text")
+    docs = src.dealt(src.table(spark, d, "documents").select(F.col("doc_id").alias("left_id"), "text"), "left_id")
     bench = src.table(spark, d, "benchmark").select(F.col("item_id").alias("right_id"), "text")
     return co.shared_runs(docs, bench).select(F.col("left_id").alias("doc_id"), F.col("right_id").alias("item_id"), "longest_run")
 

@@ -15,6 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by `key` over as many tasks as the session shuffles to.
+
+    For row-wise text work that costs far more than moving the rows, so that its
+    parallelism does not hang on how the files happen to be cut.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def read_strict(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
     """Read with an exact schema; extra or missing fields and non-finite numbers are errors."""
     found = spark.read.format(fmt).load(path).schema

@@ -47,7 +47,7 @@ def drain(stream: DataFrame, keys: list[str] | None = None) -> tuple[DataFrame,
             q = w.format("parquet").option("path", f"{base}/out").start()
             q.awaitTermination()
             return spark.read.schema(stream.schema).parquet(f"{base}/out"), late_rows(q)
-        table = StateTable(spark, f"{base}/state", keys)
+        table = StateTable(spark, f"{base}/state", keys, buckets=4)
         q = table.follow(stream, mode="update")
         return table.read(stream.schema), late_rows(q)
 
