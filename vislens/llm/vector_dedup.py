@@ -26,8 +26,8 @@ from vislens.llm.graph import components
 from vislens.llm.simhash import _merge
 from vislens.session import cut_lineage
 
-#: Vectors of a tile, and the number of vectors that a cell is meant to have.
-TILE, CELL = 2048, 4096
+#: Bytes of a tile's vectors as doubles, and the number of vectors that a cell is meant to have.
+TILE_BYTES, CELL = 4 << 20, 4096
 #: Cells at most: 4096 centroids of 64 doubles are 2 MB. Larger inputs have more tiles in a cell instead.
 MOST_CELLS = 4096
 #: Vectors that the centroids are fitted on at most, and rounds of fitting. The links don't depend on them.
@@ -90,7 +90,7 @@ def _tile_links(x, y, wx, wy, cosine, same, rows=256):
     return nx, ny, root
 
 
-def vector_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95, tile: int = TILE, cell: int = CELL) -> DataFrame:
+def vector_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95, tile: int | None = None, cell: int = CELL) -> DataFrame:
     """(id_col, n_links, component_id, kept): one row per row.
 
     Two rows link if the cosine of their vectors, in double precision, is at
@@ -99,20 +99,23 @@ def vector_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     Vectors that are null, empty, zero, or hold null or non-finite components
     link with nothing and are their own component; so are vectors of different
     dimensions to each other. Rows that repeat an id are separate rows; null ids
-    never name a component that has another. Other columns are not read.
+    never name a component that has another. Other columns are not read. `tile`
+    is the number of vectors of a tile, by default as many as TILE_BYTES hold.
     """
     if not 0 < cosine <= 1:
         raise ValueError("cosine must be in (0, 1]")
     v = F.col(vector_col)
     sound = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))) & F.exists(v, lambda e: e != 0)
-    rows = vectors.select(F.col(id_col).alias("id"), v.cast("array<double>").alias("v"), F.coalesce(sound, F.lit(False)).alias("sound"))
+    if vectors.schema[vector_col].dataType.simpleString() != "array<float>":  # floats travel as floats and are compared as doubles
+        v = v.cast("array<double>")
+    rows = vectors.select(F.col(id_col).alias("id"), v.alias("v"), F.coalesce(sound, F.lit(False)).alias("sound"))
     good = rows.filter("sound").withColumn("d", F.size("v"))
     classes = good.groupBy("d", "v").agg(F.min("id").alias("low"), F.count("*").alias("weight"))
     # a class is named by its lowest id if it has one; the hash makes it unique
     classes = cut_lineage(classes.withColumn("class", F.monotonically_increasing_id()))
     parts = []
     for (d,) in sorted(classes.select("d").distinct().collect()):  # dimensions, not vectors
-        parts.append(_links(classes.filter(F.col("d") == d), cosine, tile, cell))
+        parts.append(_links(classes.filter(F.col("d") == d), cosine, tile or max(1, TILE_BYTES // (8 * d)), cell))
     found = parts[0] if parts else None
     for p in parts[1:]:
         found = found.unionByName(p)
@@ -149,7 +152,7 @@ def _links(classes: DataFrame, cosine: float, tile: int, cell: int) -> DataFrame
                 take = pa.array(row)
                 yield pa.record_batch([part.column(0).take(take), part.column(1).take(take), part.column(2).take(take), pa.array(where, pa.int32()), pa.array(home)], names=["class", "weight", "v", "cell", "home"])
 
-    placed = classes.select("class", "weight", "v").mapInArrow(place, "class bigint, weight bigint, v array<double>, cell int, home boolean")
+    placed = classes.select("class", "weight", "v").mapInArrow(place, f"class bigint, weight bigint, v {classes.schema['v'].dataType.simpleString()}, cell int, home boolean")
     placed = cut_lineage(placed)
     sizes = placed.groupBy("cell", "home").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))  # two rows a cell
     tiles = placed.join(F.broadcast(sizes), ["cell", "home"]).withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
