@@ -70,7 +70,8 @@ def test_packing_keeps_every_rule(spark):
     several = packing.pack(frame(spark, rows), "size", 100, shard=2000).collect()
     bins = check(rows, several, 100)
     assert len({b >> 32 for b in bins if b >= 0}) > 3
-    assert sorted(map(tuple, got)) == sorted(map(tuple, packing.pack(frame(spark, rows).repartition(7), "size", 100).collect())) or True
+    shared = lambda rows: {(r.doc_id, r.piece, r.bin_id, r.bin_start) for r in rows if r.bin_id is not None and r.bin_id >= 0}
+    assert shared(got) == shared(packing.pack(frame(spark, rows).repartition(7), "size", 100).collect())
 
 
 def test_packing_is_the_scan_within_a_shard(spark):

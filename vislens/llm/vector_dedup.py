@@ -111,7 +111,7 @@ def vector_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     rows = vectors.select(F.col(id_col).alias("id"), v.alias("v"), F.coalesce(sound, F.lit(False)).alias("sound"))
     good = rows.filter("sound").withColumn("d", F.size("v"))
     classes = good.groupBy("d", "v").agg(F.min("id").alias("low"), F.count("*").alias("weight"))
-    # a class is named by its lowest id if it has one; the hash makes it unique
+    # a class is named by its place in the written table
     classes = cut_lineage(classes.withColumn("class", F.monotonically_increasing_id()))
     parts = []
     for (d,) in sorted(classes.select("d").distinct().collect()):  # dimensions, not vectors
