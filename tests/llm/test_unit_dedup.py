@@ -71,3 +71,39 @@ def test_repeated_rows_are_one_document_and_empty_tables_are_empty(make_docs):
     assert spans(unit_dedup.repeated_units(make_docs([(1, A), (2, A), (2, A)])).collect()) == [(2, 0, len(A), 1, 0)]
     assert unit_dedup.repeated_units(make_docs([])).count() == 0
     assert unit_dedup.drop_repeats(make_docs([])).count() == 0
+
+
+def test_lines_and_passages_of_short_sentences_are_found(make_docs):
+    line = "En la de. Et en mentai. Ré le."  # 8 words, no sentence of 6
+    lines = "One two three.\nFour five\n\nsix seven eight nine.\nTen."
+    blankless = "這是一個沒有空格的句子它很長。"
+    rows = [
+        (1, f"{line}\n{A}\n{lines}\n{blankless}"),
+        (2, f"{B}\n{line}\nEnd."),
+        (3, f"Start of it.\n{lines.upper()}\n{C}"),
+        (4, f"前{blankless[1:]}{blankless}後"),
+        (5, f"{A} Ten."),
+    ]
+    assert {r.doc_id for r in unit_dedup.repeated_units(make_docs(rows)).collect()} == {5}
+    out = unit_dedup.drop_repeats(make_docs(rows, extra=True), find=unit_dedup.repeated_passages)
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert got == {1: rows[0][1], 2: f"{B}\nEnd.", 3: f"Start of it.\n{C}", 4: f"前{blankless[1:]}後", 5: "Ten."}
+
+
+def test_passages_equal_all_runs_by_brute_force():
+    import random
+    import re
+
+    dice = random.Random(7)
+    for _ in range(200):
+        pieces = [" ".join("w%d" % dice.randrange(3) for _ in range(dice.randrange(9))) + dice.choice([".\n", ". ", "\n"]) for _ in range(8)]
+        text = "".join(pieces)
+        ends = [m.end() for m in re.finditer(unit_dedup.PASSAGE_END, text)]
+        units = [(a, b) for a, b in zip([0, *ends], ends) if text[a:b].split()]
+        size = [len(text[a:b].split()) for a, b in units]
+        want = set()
+        for i in range(len(units)):
+            for j in range(i, len(units)):
+                if sum(size[i : j + 1]) >= 6 and (sum(size[i:j]) < 6 or sum(size[i + 1 : j + 1]) < 6):
+                    want.add((units[i][0], units[j][1]))
+        assert {x[:2] for x in unit_dedup.passages(text)} == want

@@ -124,6 +124,32 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unit_dedup.repeated_units(read(spark, sf_dir, "documents"))
 
 
+NO_BLANKS = r"[\x{0e00}-\x{0eff}\x{1000}-\x{109f}\x{1780}-\x{17ff}\x{3040}-\x{30ff}\x{3400}-\x{9fff}\x{ac00}-\x{d7a3}\x{f900}-\x{faff}\x{20000}-\x{3ffff}]"
+
+
+@query(
+    "repeated_passages",
+    rf"""
+    WITH p AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?]["'')\]*#%&$]*[ \t\r]+|\n|[。！？]+[」』）]*[ \t\r]*)', '\1' || chr(1), 'g'), chr(1)) AS p FROM documents WHERE text <> ''),
+    u AS (SELECT doc_id, k, p[k] AS unit FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS k FROM p)),
+    o AS (SELECT doc_id, k, length(unit) AS l, sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY k) AS e,
+                 length(regexp_replace(unit, '{NO_BLANKS}', '', 'g')) AS plain,
+                 list_filter(regexp_split_to_array(lower(unit), '[ \t\r\n\f\v]+'), lambda w: w <> '') AS w FROM u),
+    f AS (SELECT doc_id, e - l AS s, e, array_to_string(w, ' ') AS t, len(w) + (l - plain) // 2 AS n, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS k FROM o WHERE len(w) > 0),
+    c AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY k) AS c FROM f),
+    a AS (SELECT doc_id, list(t ORDER BY k) AS ts FROM c GROUP BY doc_id),
+    r AS (SELECT x.doc_id, x.s::INT AS s, y.e::INT AS e, x.k AS i, y.k AS j FROM c x JOIN c y ON x.doc_id = y.doc_id AND y.k BETWEEN x.k AND x.k + 5
+          WHERE y.c - x.c + x.n >= 6 AND (y.c - y.n - x.c + x.n < 6 OR y.c - x.c < 6)),
+    h AS (SELECT r.doc_id, s, e, array_to_string(ts[i:j], ' ') AS t FROM r JOIN a ON r.doc_id = a.doc_id),
+    g AS (SELECT doc_id, s, e, first_value(doc_id) OVER x AS kept_id, first_value(s) OVER x AS kept_start FROM h WINDOW x AS (PARTITION BY t ORDER BY doc_id, s))
+    SELECT doc_id, s AS "start", e AS "end", kept_id, kept_start FROM g WHERE doc_id <> kept_id OR s <> kept_start
+    """,
+)
+def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every repeated passage of whole sentences or lines: what op5 reports, and what is made of shorter ones."""
+    return unit_dedup.repeated_passages(read(spark, sf_dir, "documents"))
+
+
 @query("op6_best_fit_packing")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 8192 bytes without two of a source or of a group of equal texts in one."""

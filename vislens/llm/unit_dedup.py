@@ -5,6 +5,9 @@ pasted into the middle of a line still shows as whole units. A unit is compared
 by a 128-bit digest of its lower-cased words. All digests of the corpus are
 grouped at once, the occurrence of lowest (rank, offset) is kept, and every other
 one is reported with its offsets in the unchanged text.
+
+Passages go further: what is too short for a unit is joined with its neighbours,
+across line ends too, so that lines and passages of short sentences are found.
 """
 
 from __future__ import annotations
@@ -39,8 +42,45 @@ def units(text: str, min_words: int = MIN_WORDS):
         start = end
 
 
-def unit_table(docs: DataFrame, id_col: str, text_col: str, rank_col: str, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, rank, start, end, d1, d2): one row per unit of at least `min_words` words."""
+#: Passages also end at full stops that no blank follows.
+PASSAGE_END = UNIT_END + "|[。！？]+[」』）]*[ \\t\\r]*"
+#: Scripts written without blanks: two of their characters count as one word more.
+NO_BLANKS = "[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7a3\uf900-\ufaff\U00020000-\U0003ffff]"
+
+
+def passages(text: str, min_words: int = MIN_WORDS):
+    """(start, end, digest high, digest low) of every unit with enough words, and around each shorter one of the
+    shortest runs of whole units that begin or end with it and have enough words.
+
+    Any passage of whole units with enough words in all is covered by such runs within it.
+    """
+    pieces, start = [], 0
+    ends = [m.end() for m in re.finditer(PASSAGE_END, text)]
+    if not ends or ends[-1] < len(text):
+        ends.append(len(text))
+    blanks = text.isascii()
+    for end in ends:
+        piece = text[start:end]
+        words = piece.encode().lower().split() if blanks else piece.lower().encode().split()
+        if words:
+            pieces.append((start, end, b" ".join(words), len(words) + (0 if blanks else len(re.findall(NO_BLANKS, piece)) // 2)))
+        start = end
+    runs = set()
+    for i, piece in enumerate(pieces):
+        for step in (1, -1):
+            j, size = i, piece[3]
+            while size < min_words and 0 <= j + step < len(pieces):
+                j += step
+                size += pieces[j][3]
+            if size >= min_words:
+                runs.add((min(i, j), max(i, j)))
+    for i, j in sorted(runs):
+        digest = xxhash.xxh3_128_digest(b" ".join(x[2] for x in pieces[i : j + 1]))
+        yield pieces[i][0], pieces[j][1], int.from_bytes(digest[:8], signed=True), int.from_bytes(digest[8:], signed=True)
+
+
+def unit_table(docs: DataFrame, id_col: str, text_col: str, rank_col: str, min_words: int = MIN_WORDS, cut=units) -> DataFrame:
+    """(id, rank, start, end, d1, d2): one row per unit of at least `min_words` words, or per row of `cut`."""
     kinds = [docs.schema[c].dataType.simpleString() for c in (id_col, rank_col)]
     names = ["id", "rank", "start", "end", "d1", "d2"]
 
@@ -55,7 +95,7 @@ def unit_table(docs: DataFrame, id_col: str, text_col: str, rank_col: str, min_w
 
             for i, text in enumerate(batch.column(2)):
                 text = text.as_py()
-                for u in units(text, min_words) if text else ():
+                for u in cut(text, min_words) if text else ():
                     at.append(i), start.append(u[0]), end.append(u[1]), d1.append(u[2]), d2.append(u[3])
                 if len(at) > 100_000:
                     yield block()
@@ -77,7 +117,18 @@ def repeated_units(
     only if an earlier document has them. Null and empty texts have no units.
     Other columns are not read. An empty table gives no rows.
     """
-    found = cut_lineage(unit_table(docs, id_col, text_col, rank_col or id_col, min_words))
+    return _repeated(unit_table(docs, id_col, text_col, rank_col or id_col, min_words), id_col)
+
+
+def repeated_passages(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_col: str | None = None, min_words: int = MIN_WORDS
+) -> DataFrame:
+    """As `repeated_units`, and the runs of `passages` besides; spans may overlap. The first place of every unit is in none of them."""
+    return _repeated(unit_table(docs, id_col, text_col, rank_col or id_col, min_words, passages), id_col)
+
+
+def _repeated(table: DataFrame, id_col: str) -> DataFrame:
+    found = cut_lineage(table)
     place = F.struct("rank", "id", "start")
     first = found.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     again = found.join(first, ["d1", "d2"]).filter(~place.eqNullSafe(F.col("first")))
@@ -87,26 +138,28 @@ def repeated_units(
 
 
 def cut_spans(text: str, spans) -> str:
-    """The text without its spans (start, end), which may come in any order and repeat, but overlap only if equal."""
+    """The text without its spans (start, end), which may come in any order, repeat and overlap."""
     out, at = [], 0
     for start, end in sorted({(s["start"], s["end"]) for s in spans}):
         out.append(text[at:start])
-        at = end
+        at = max(at, end)
     out.append(text[at:])
     return "".join(out)
 
 
 def drop_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_col: str | None = None, min_words: int = MIN_WORDS, keep_empty: bool = False, length_col: str | None = None
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_col: str | None = None, min_words: int = MIN_WORDS, keep_empty: bool = False, length_col: str | None = None, find=repeated_units
 ) -> DataFrame:
     """`docs` with all repeated units but the first removed from the texts, columns and order of columns unchanged.
 
+    `find` says what is repeated: `repeated_units` or `repeated_passages`.
+
     `length_col`, if given, gets the new length of a text that has changed.
 
     A row of whose text nothing but white space is left goes, unless
     `keep_empty`; rows that were empty, null or blank before stay as they are.
     """
-    again = repeated_units(docs, id_col, text_col, rank_col, min_words)
+    again = find(docs, id_col, text_col, rank_col, min_words)
     spans = again.groupBy(F.col(id_col).alias("__unit_id")).agg(F.collect_list(F.struct("start", "end")).alias("__unit_spans"))
 
     @F.pandas_udf("string")
