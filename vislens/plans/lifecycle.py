@@ -253,6 +253,17 @@ def verifier_closure(spark, d):
     )
 
 
+@query(
+    "verifier_key_violations",
+    "SELECT backlog, item_id, count(*) AS records FROM (SELECT backlog, item_id FROM w_ver UNION ALL SELECT backlog, item_id FROM w_ver WHERE item_id % 83 = 0) GROUP BY ALL HAVING count(*) > 1",
+)
+def verifier_key_violations(spark, d):
+    """Items with more than one record under a load; records of every 83rd item are planted twice."""
+    v = verifier_records(spark, d).select("backlog", "item_id")
+    twice = v.withColumn("i", F.explode(F.array_repeat(F.lit(0), F.when(F.col("item_id") % 83 == 0, 2).otherwise(1))))
+    return twice.groupBy("backlog", "item_id").agg(F.count(F.lit(1)).alias("records")).filter("records > 1")
+
+
 @query(
     "visible_during_query",
     f"""SELECT backlog, baseline, arm, lag_n, count(*) AS probes, count(*) FILTER (WHERE v) AS visible FROM (SELECT p.backlog, p.baseline, p.arm, g.lag_n, q.item_id AS probe, p.item_id,

@@ -138,6 +138,25 @@ def row_vs_gate(spark, d):
     return stored.join(again, CELL).select(*CELL, "stored_np", "rows_np", "stored_n", "rows_n", agree.alias("agree"), "queries_seen")
 
 
+@query(
+    "row_grid_violations",
+    """WITH k AS (SELECT * FROM w_pq WHERE NOT (baseline = 'B3' AND backlog = 'normal' AND qid % 3 = 0) AND NOT (baseline = 'B2' AND arm = 'detector' AND backlog = 'heavy')),
+    g AS (SELECT * FROM (VALUES ('normal'), ('heavy')) b(backlog) CROSS JOIN (VALUES ('B1', 'oracle'), ('B2', 'oracle'), ('B2', 'detector'), ('B3', 'oracle'), ('B3', 'detector'), ('B4', 'oracle'), ('B4', 'detector')) c(baseline, arm)),
+    x AS (SELECT g.backlog, g.baseline, g.arm, count(DISTINCT k.qid) AS seen FROM g LEFT JOIN k ON k.backlog = g.backlog AND k.baseline = g.baseline AND k.arm = g.arm GROUP BY ALL)
+    SELECT backlog, baseline, arm, CASE WHEN seen = 0 THEN 'cell' ELSE 'query_set' END AS rule, (SELECT count(DISTINCT qid) FROM k) - seen AS missing FROM x WHERE seen < (SELECT count(DISTINCT qid) FROM k)""",
+)
+def row_grid_violations(spark, d):
+    """Cells without rows, and cells whose queries are not those of all others; one fault of each kind is planted."""
+    rows = log(spark, d).select(*CELL, "query_id").distinct()
+    b, load = F.col("baseline"), F.col("backlog")
+    rows = rows.filter(~((b == "B3") & (load == "normal") & (F.col("query_id") % 3 == 0)) & ~((b == "B2") & (F.col("arm") == "detector") & (load == "heavy")))
+    rows = cut_lineage(rows)
+    want = spark.createDataFrame(wl.cells(), "backlog string, baseline string, arm string").crossJoin(rows.select("query_id").distinct())
+    have = want.join(rows.withColumn("seen", F.lit(1)), [*CELL, "query_id"], "left").groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"), F.count("seen").alias("seen"))
+    rule = F.when(F.col("seen") == 0, "cell").otherwise("query_set").alias("rule")
+    return have.filter("seen < n").select(*CELL, rule, (F.col("n") - F.col("seen")).alias("missing"))
+
+
 cte(
     "w_sweep0",
     """SELECT p.seed, p.item_id, r.rn, CASE WHEN p.source_ok THEN least(least(p.commit_us, p.deadline_us), p.horizon_us) - p.arrival_us ELSE 0 END AS v_fail,
