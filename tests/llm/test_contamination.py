@@ -72,3 +72,17 @@ def test_plan_runs_no_python(spark, make_docs):
     items = spark.createDataFrame([(1, "a b c d e f")], "item_id bigint, text string")
     plan = contamination.contained_items(make_docs([(1, "a b c d e f g")]), items)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_boilerplate_is_dealt_over_blocks_and_signs_no_item(spark, make_docs):
+    said = "which of the following is"
+    items = [(i, f"{said} " + " ".join(f"w{i}x{k}" for k in range(12))) for i in range(300)]
+    df = spark.createDataFrame(items, "item_id bigint, text string")
+    shingles = contamination.item_shingles(df, "item_id", "text", 5)
+    one = shingles.filter(f"s = '{said}'")
+    sizes = [b.count() for b in contamination._blocks(one, 50)]
+    assert sum(sizes) == 300 and max(sizes) < 90
+    assert contamination.signatures(shingles, 0.8).join(one.select("h").distinct(), "h").count() == 0
+    docs = [(1, items[7][1]), (2, said), (3, items[8][1] + " " + items[9][1])]
+    want = slow(docs, items)
+    assert len(want) == 3 and found(spark, make_docs(docs), [(*i, "x", "y") for i in items], block_rows=500) == want

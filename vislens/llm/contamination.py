@@ -6,7 +6,9 @@ signature is therefore taken from the small side alone: each item keeps its
 minimum shingle hashes, and a document is a candidate if it holds one of them.
 Items are partitioned by size; the partition's upper bound u fixes the length of
 the signature, u - ceil(t * u) + 1. A document that contains a share t of an
-item lacks fewer of its shingles than that, so no true pair is missed. Candidates
+item lacks fewer of its shingles than that, so no true pair is missed, whatever
+the order is that the minimum is taken in: shingles of many items come last, so
+that what every other item says makes no candidates. Candidates
 are then verified by counting the item's distinct shingles in the whole document.
 
 Items are sent to the documents in blocks of bounded size, never the documents
@@ -49,8 +51,10 @@ def item_shingles(items: DataFrame, item_id: str, text_col: str, size: int) -> D
 
 
 def signatures(shingles: DataFrame, share: float) -> DataFrame:
-    """(item, n, need, h): the minimum hashes of each item, as many as its size partition asks for."""
-    sizes = shingles.groupBy("item").agg(F.sort_array(F.collect_list("h")).alias("hs"))  # one item's own shingles
+    """(item, n, need, h): the first hashes of each item by items that share them, as many as its size partition asks for."""
+    common = shingles.groupBy("h").agg(F.count("*").alias("c"))
+    ordered = F.sort_array(F.collect_list(F.struct("c", "h")))  # one item's own shingles
+    sizes = shingles.join(common, "h").groupBy("item").agg(ordered["h"].alias("hs"))
     n = F.size("hs")
     upper = F.pow(F.lit(2), F.ceil(F.log2(n))).cast("int")
     length = upper - F.ceil(F.round(upper * share, 6)) + 1
@@ -59,9 +63,9 @@ def signatures(shingles: DataFrame, share: float) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, block_rows: int) -> list[DataFrame]:
-    """The rows in blocks of about `block_rows`, dealt by their shingle."""
+    """The rows in blocks of about `block_rows`, dealt by shingle and item, so that a shingle of many items is in many blocks."""
     n = max(1, math.ceil(rows.count() / block_rows))
-    return [rows.filter(F.pmod(F.xxhash64("h"), F.lit(n)) == k) for k in range(n)]
+    return [rows.filter(F.pmod(F.xxhash64("h", "item"), F.lit(n)) == k) for k in range(n)]
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
