@@ -123,3 +123,10 @@ def test_components_of_chains_hubs_and_cycles(spark):
     want = {i: 100 for i in range(100, 161)} | {i: 7 for i in range(1000, 1050)} | {7: 7, 3: 3, 4: 3, 5: 3}
     assert got == want
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_a_clean_text_stays_when_its_id_also_has_a_near_copy(make_docs):
+    copy, clean = "one two three four five six seven eight", "nothing of this is said in any other place here"
+    docs = make_docs([(3, copy), (7, copy), (7, clean), (3, copy.upper())], extra=True)
+    kept = [(r.doc_id, r.text.lower()) for r in simhash.drop_near_copies(docs).collect()]
+    assert sorted(kept) == [(3, copy), (7, clean)]

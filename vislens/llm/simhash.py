@@ -165,7 +165,13 @@ def simhash_groups(
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of `docs` whose id is the smallest of their component; rows with a null id stay."""
-    groups = simhash_groups(docs, id_col, text_col, shingle, radius)
-    gone = groups.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    """The rows of `docs` with the smallest id of their component, and of that id the text of smallest hash.
+
+    Rows are told apart by id and text: rows that repeat both stay or go together.
+    Rows with a null id stay.
+    """
+    own = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"))
+    rows = docs.select(F.when(F.col(id_col).isNotNull(), own).alias("__row"), F.col(text_col).alias("__text"))
+    groups = simhash_groups(rows, "__row", "__text", shingle, radius)
+    gone = groups.filter(F.col("__row") != F.col("component_id")).select(F.col("__row.id").alias("__id"), F.col("__row.key").alias("__key")).distinct()
+    return docs.join(gone, (docs[id_col] == F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__key")), "left_anti")
