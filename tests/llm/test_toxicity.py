@@ -106,3 +106,15 @@ def test_copies_of_one_toxic_text_do_not_mark_its_words():
     copies = [chr(97 + i % 26) * (1 + i // 26) + "mnopq" for i in range(30)] + ["idiot"]
     texts = [copies] * 40 + [["idiot", f"a{i}", f"b{i}", "idiot"] for i in range(20)] + [[f"c{i}", "word"] for i in range(200)]
     assert toxicity.toxic_cues(texts, [1] * 60 + [0] * 200) == {"idiot"}
+
+
+def test_rows_that_repeat_an_id_are_one_training_text(spark, make_docs, monkeypatch):
+    docs = [(1, f"text {i} of one id") for i in range(40)] + [(i, f"own text {i}") for i in range(2, 8)]
+    y = spark.createDataFrame([(i, i % 2) for i in range(1, 8)], "doc_id bigint, toxic int")
+    seen = []
+    fit = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda words, tags: seen.append(words) or fit(words, tags))
+    toxicity.fit_toxicity(make_docs(docs), y, max_docs=4)
+    toxicity.fit_toxicity(make_docs(docs[::-1]), y, max_docs=4)
+    assert len(seen[0]) == 7 and seen[0] == seen[1]
+    assert sum(w[-1] == "id" for w in seen[0]) == 1

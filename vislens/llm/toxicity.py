@@ -67,6 +67,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
     The sample is the lowest hashes of the ids of `labels`, so it does not depend
     on partitioning; texts over `max_chars` characters are not taken for fitting.
+    Of rows that share an id the text of smallest hash is taken.
     Rows with a null id, label or text are not used. Without toxic documents the
     scores of all texts are below 0.5.
     """
@@ -75,10 +76,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     both = texts.join(rows.distinct(), id_col).withColumn("__h", F.xxhash64(id_col))
     sample = []
     for y in (0, 1):  # the ids first: the sort then carries no texts
-        ids = both.filter(F.col("__y") == y).select(id_col, "__h").orderBy("__h", id_col).limit(max_docs).select(id_col)
+        ids = both.filter(F.col("__y") == y).select(id_col, "__h").distinct().orderBy("__h", id_col).limit(max_docs).select(id_col)
         sample.append(ids.withColumn("__y", F.lit(y)))
     ids = sample[0].unionByName(sample[1])
-    picked = texts.join(F.broadcast(ids), id_col).orderBy(id_col, "__text").toArrow()  # 2 * max_docs ids, and texts of bounded length
+    one = F.min(F.struct(F.xxhash64("__text").alias("h"), "__text"))["__text"].alias("__text")
+    picked = texts.join(F.broadcast(ids), id_col).groupBy(id_col, "__y").agg(one)
+    picked = picked.orderBy(id_col, "__text").toArrow()  # 2 * max_docs texts of bounded length
     known: dict[str, str] = {}  # one object per word
     words = [[known.setdefault(w, w) for w in map(str.lower, t.as_py().split())] for t in picked.column("__text")]
     truth = picked.column("__y").to_pylist()
