@@ -3,13 +3,13 @@
 A test item of some dozen words inside a document of thousands has a Jaccard
 similarity near zero, so signatures of whole documents would miss it. The
 signature is therefore taken from the small side alone: each item keeps its
-minimum shingle hashes, and a document is a candidate if it holds one of them.
-Items are partitioned by size; the partition's upper bound u fixes the length of
-the signature, u - ceil(t * u) + 1. A document that contains a share t of an
-item lacks fewer of its shingles than that, so no true pair is missed, whatever
-the order is that the minimum is taken in: shingles of many items come last, so
-that what every other item says makes no candidates. Candidates
-are then verified by counting the item's distinct shingles in the whole document.
+minimum shingle hashes under a permutation that its size partition draws, and a
+document is a candidate if it holds one of them. The partition's upper bound u
+fixes the length of the signature, u - ceil(t * u) + 1. A document that contains
+a share t of an item lacks fewer of its shingles than that, so no true pair is
+missed. Candidates are then verified by counting the item's distinct shingles in
+the whole document. An item shorter than a shingle has its whole sequence of words
+as its only one, and documents are searched for sequences of that length too.
 
 Items are sent to the documents in blocks of bounded size, never the documents
 to the items: the corpus's shingles are not shuffled.
@@ -33,33 +33,42 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def shingle_hash(words: Column, i: Column, size: int) -> Column:
+def _hash(words: Column, i: Column, size: int) -> Column:
     return F.xxhash64(*[F.get(words, i + k) for k in range(size)])
 
 
-def _shingles(words: str, size: int, make) -> Column:
-    """make(words, i) at every shingle's start; no shingle for fewer words."""
+def _both(words: Column, i: Column, size: int) -> Column:
+    return F.struct(_hash(words, i, size).alias("h"), F.concat_ws(" ", F.slice(words, i + 1, size)).alias("s"))
+
+
+def _shingles(words: str, sizes: list[int], make) -> Column:
+    """make(words, i, size) at every start of a shingle of each of the sizes; no such shingle for fewer words."""
     w = F.col(words)
-    return F.when(F.size(w) >= size, F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: make(w, i)))
+
+    def of(k: int) -> Column:
+        starts = F.when(F.size(w) >= k, F.sequence(F.lit(0), F.size(w) - k))
+        return F.transform(F.coalesce(starts, F.array().cast("array<int>")), lambda i: make(w, i, k))
+
+    return F.concat(*map(of, sizes)) if len(sizes) > 1 else of(sizes[0])
 
 
 def item_shingles(items: DataFrame, item_id: str, text_col: str, size: int) -> DataFrame:
-    """(item, h, s): the distinct shingles of each item with their hashes."""
+    """(item, k, h, s): the distinct shingles of each item, of k words, with their hashes."""
     words = items.filter(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item"), words_of(F.col(text_col)).alias("w"))
-    both = _shingles("w", size, lambda w, i: F.struct(shingle_hash(w, i, size).alias("h"), F.concat_ws(" ", F.slice(w, i + 1, size)).alias("s")))
-    return words.select("item", F.explode(both).alias("x")).select("item", "x.h", "x.s").distinct()
+    words = words.filter(F.size("w") > 0).withColumn("k", F.least(F.size("w"), F.lit(size)))
+    own = F.coalesce(*[F.when(F.col("k") == k, _shingles("w", [k], _both)) for k in range(1, size + 1)])
+    return words.select("item", "k", F.explode(own).alias("x")).select("item", "k", "x.h", "x.s").distinct()
 
 
 def signatures(shingles: DataFrame, share: float) -> DataFrame:
-    """(item, n, need, h): the first hashes of each item by items that share them, as many as its size partition asks for."""
-    common = shingles.groupBy("h").agg(F.count("*").alias("c"))
-    ordered = F.sort_array(F.collect_list(F.struct("c", "h")))  # one item's own shingles
-    sizes = shingles.join(common, "h").groupBy("item").agg(ordered["h"].alias("hs"))
+    """(item, n, need, h): the minimum hashes of each item, as many as its size partition asks for."""
+    sizes = shingles.groupBy("item").agg(F.collect_list("h").alias("hs"))  # one item's own shingles
     n = F.size("hs")
-    upper = F.pow(F.lit(2), F.ceil(F.log2(n))).cast("int")
-    length = upper - F.ceil(F.round(upper * share, 6)) + 1
-    need = F.ceil(F.round(n * share, 6)).cast("int")
-    return sizes.select("item", n.alias("n"), need.alias("need"), F.explode(F.slice("hs", F.lit(1), F.least(length.cast("int"), n))).alias("h"))
+    sizes = sizes.select("item", n.alias("n"), F.pow(F.lit(2), F.ceil(F.log2(n))).cast("int").alias("upper"), "hs")
+    order = F.sort_array(F.transform("hs", lambda h: F.struct(F.xxhash64(h, F.col("upper")).alias("r"), h.alias("h"))))
+    length = F.col("upper") - F.ceil(F.round(F.col("upper") * share, 6)) + 1
+    need = F.ceil(F.round(F.col("n") * share, 6)).cast("int")
+    return sizes.select("item", "n", need.alias("need"), F.explode(F.slice(order["h"], F.lit(1), F.least(length.cast("int"), F.col("n")))).alias("h"))
 
 
 def _blocks(rows: DataFrame, block_rows: int) -> list[DataFrame]:
@@ -88,28 +97,26 @@ def contained_items(
 ) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_found, containment): items of whose distinct shingles a document holds `share` or more.
 
-    A shingle is `size` words. Items of fewer words have none and are never
-    reported, nor are documents of fewer words, null and empty texts. Rows that
-    share an id are one item or one document, their shingles taken together; rows
-    with a null id are left out. Other columns are not read, on either side.
-    Without items or documents there are no rows.
+    A shingle is `size` words, or all words of a shorter item. Null and empty texts
+    have none. Rows that share an id are one item or one document, their shingles
+    taken together; rows with a null id are left out. Other columns are not read,
+    on either side. Without items or documents there are no rows.
     """
     shingles = cut_lineage(item_shingles(items, item_id, item_text, size))
     signed = cut_lineage(signatures(shingles, share))
+    sizes = [r.k for r in shingles.select("k").distinct().collect()] or [size]  # lengths of shingles, `size` at most
     words = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc"), words_of(F.col(doc_text)).alias("w"))
-    hashes = words.select("doc", F.explode(_shingles("w", size, lambda w, i: shingle_hash(w, i, size))).alias("h"))
+    hashes = words.select("doc", F.explode(_shingles("w", sizes, _hash)).alias("h"))
     pairs = _union([hashes.join(F.broadcast(b), "h").select("doc", "item").distinct() for b in _blocks(signed, block_rows)])
     pairs = cut_lineage(pairs.distinct())
 
     held = words.join(pairs.select("doc").distinct(), "doc", "left_semi")
-    both = _shingles("w", size, lambda w, i: F.struct(shingle_hash(w, i, size).alias("h"), F.concat_ws(" ", F.slice(w, i + 1, size)).alias("s")))
-    spoken = held.select("doc", F.explode(both).alias("x")).select("doc", "x.h", "x.s")
+    spoken = held.select("doc", F.explode(_shingles("w", sizes, _both)).alias("x")).select("doc", "x.h", "x.s")
     wanted = shingles.join(pairs.select("item").distinct(), "item", "left_semi")
     found = _union([spoken.join(F.broadcast(b), ["h", "s"]).select("doc", "item", "s").distinct() for b in _blocks(wanted, block_rows)])
     counts = found.join(pairs, ["doc", "item"], "left_semi").groupBy("doc", "item").agg(F.count("*").cast("int").alias("n_found"))
-    sizes = signed.select("item", "n", "need").distinct()
     return (
-        counts.join(sizes, "item")
+        counts.join(signed.select("item", "n", "need").distinct(), "item")
         .filter("n_found >= need")
         .select(
             F.col("doc").alias(doc_id),
