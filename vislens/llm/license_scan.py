@@ -23,6 +23,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # The wording of public licences.
+_AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. "
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution. "
+)
+_BSD_WARRANTY = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, "
+    "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE "
+    "FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; "
+    "LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT "
+    "(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
 TEMPLATES = {
     "MIT-notice": "Released under the MIT License.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
@@ -38,6 +52,31 @@ TEMPLATES = {
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
         "provided that the above copyright notice and this permission notice appear in all copies."
     ),
+    "MIT-warranty": (
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
+        "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, "
+        "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "ISC-warranty": _AS_IS + (
+        "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
+        "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "BSD-2-Clause": _BSD + _BSD_WARRANTY,
+    "BSD-3-Clause": _BSD + (
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+        "without specific prior written permission. "
+    ) + _BSD_WARRANTY,
+    "MPL-2.0-header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
+        "You can obtain one at https://mozilla.org/MPL/2.0/."
+    ),
+    "GPL-3.0-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, "
+        "either version 3 of the License, or (at your option) any later version. "
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. "
+        "See the GNU General Public License for more details. "
+        "You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."
+    ),
     "Apache-2.0-header": (
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
@@ -103,6 +142,20 @@ def patience(a: list[str], b: list[str], shift: tuple[int, int] = (0, 0)) -> lis
     return out + end
 
 
+def closest(own: list[str], words: list[str], pairs: list[tuple[int, int]], low: int, high: int) -> list[tuple[int, int]]:
+    """The alignment itself, or one of as many words that spans less: of copies in a row it should take one, not parts of two."""
+    if not pairs:
+        return pairs
+    size = len(own) + len(own) // 4 + 1
+    first, last = pairs[0][1], pairs[-1][1]
+    for a, b in ((first, min(high, first + size)), (max(low, last + 1 - size), last + 1)):
+        if pairs[-1][1] - pairs[0][1] >= len(own):
+            other = patience(own, words[a:b], (0, a))
+            if len(other) >= len(pairs) and other[-1][1] - other[0][1] < pairs[-1][1] - pairs[0][1]:
+                pairs = other
+    return pairs
+
+
 class Scanner:
     """Templates ready for scanning."""
 
@@ -135,24 +188,46 @@ class Scanner:
                     break
                 lacking += counts[w]
                 seeds += places.get(w, ())
-            reach = len(own) + len(own) // 2 + 2
-            tried = []
-            for p in sorted(set(seeds)):
-                low = max(0, p - reach)
-                pairs = patience(own, words[low : p + reach + 1], (0, low))
-                if len(pairs) >= need:
-                    tried.append((-len(pairs), pairs[-1][1] - pairs[0][1], pairs[0][1], pairs[-1][1], len(pairs)))
-            taken: list[tuple[int, int]] = []
-            for _, _, first, last, n in sorted(set(tried)):
-                k = bisect_left(taken, (first, last))
-                if (k and taken[k - 1][1] >= first) or (k < len(taken) and taken[k][0] <= last):
-                    continue
-                taken.insert(k, (first, last))
+            for first, last, n in self._matches(own, need, words, sorted(set(seeds))):
                 if spans is None:
                     spans = [m.span() for m in WORD.finditer(text)]
                 found.append((name, len(own), n, spans[first][0], spans[last][1]))
         return sorted(found, key=lambda x: (x[3], x[4], x[0]))
 
+    @staticmethod
+    def _matches(own: list[str], need: int, words: list[str], seeds: list[int]) -> list[tuple[int, int, int]]:
+        """(first word, last word, words aligned) of matches that do not overlap.
+
+        Windows reach half a template beyond its length to both sides of a seed, but
+        not into a match that is taken already; they are tried again until none is
+        left, so that copies which follow one another are all found.
+        """
+        reach = len(own) + len(own) // 2 + 2
+        taken: list[tuple[int, int, int]] = []
+        tried: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        while True:
+            better = []
+            for p in seeds:
+                k = bisect_left(taken, (p + 1,))
+                low, high = max(0, p - reach), min(len(words), p + reach + 1)
+                if k:
+                    low = max(low, taken[k - 1][1] + 1)
+                if k < len(taken):
+                    high = min(high, taken[k][0])
+                if low > p or high - low < need:
+                    continue
+                if (low, high) not in tried:
+                    tried[low, high] = closest(own, words, patience(own, words[low:high], (0, low)), low, high)
+                pairs = tried[low, high]
+                if len(pairs) >= need:
+                    better.append((-len(pairs), pairs[-1][1] - pairs[0][1], pairs[0][1], pairs[-1][1], len(pairs)))
+            if not better:
+                return taken
+            for _, _, first, last, n in sorted(set(better)):
+                k = bisect_left(taken, (first,))
+                if not (k and taken[k - 1][1] >= first) and not (k < len(taken) and taken[k][0] <= last):
+                    taken.insert(k, (first, last, n))
+
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", coverage: float = 0.8) -> DataFrame:
     """(id_col, license, n_words, n_aligned, coverage, start, end): one row per licence text found, with its code point offsets.
