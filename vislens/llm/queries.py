@@ -82,10 +82,12 @@ WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lamb
     "op3_benchmark_decontamination",
     rf"""
     WITH i AS (SELECT item_id, {WORDS} AS w FROM benchmark),
-    s AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS k FROM i)),
+    s AS (SELECT DISTINCT item_id, k, array_to_string(w[j:j + k - 1], ' ') AS s
+          FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS j FROM (SELECT item_id, w, least(len(w), 5) AS k FROM i WHERE len(w) > 0))),
     n AS (SELECT item_id, count(*) AS n FROM s GROUP BY item_id),
     d AS (SELECT doc_id, {WORDS} AS w FROM documents),
-    t AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS k FROM d)),
+    t AS (SELECT DISTINCT doc_id, array_to_string(w[j:j + k - 1], ' ') AS s
+          FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS j FROM d, (SELECT DISTINCT k FROM s))),
     c AS (SELECT doc_id, item_id, count(*) AS f FROM t JOIN s USING (s) GROUP BY doc_id, item_id)
     SELECT doc_id, item_id, n::INT AS n_shingles, f::INT AS n_found, f / n AS containment
     FROM c JOIN n USING (item_id) WHERE f >= ceil(round(n * 0.8, 6))
@@ -107,46 +109,54 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+NO_BLANKS = r"[\x{0e00}-\x{0eff}\x{1000}-\x{109f}\x{1780}-\x{17ff}\x{3040}-\x{30ff}\x{3400}-\x{9fff}\x{ac00}-\x{d7a3}\x{f900}-\x{faff}\x{20000}-\x{3ffff}]"
+SPLIT = r"list_filter(regexp_split_to_array(lower({}), '[ \t\r\n\f\v]+'), lambda w: w <> '')"
+
+#: Relation h (doc_id, s, e, t): sentences, and shortest runs of sentences with a short one at an end.
+PASSAGES = rf"""
+    p AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?]["'')\]*#%&$]*[ \t\r]+|\n|[。！？]+[」』）]*[ \t\r]*)', '\1' || chr(1), 'g'), chr(1)) AS p FROM documents WHERE text <> ''),
+    u AS (SELECT doc_id, k, p[k] AS unit FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS k FROM p)),
+    o AS (SELECT doc_id, k, length(unit) AS l, sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY k) AS e,
+                 length(regexp_replace(unit, '{NO_BLANKS}', '', 'g')) AS plain, {SPLIT.format("unit")} AS w FROM u),
+    f AS (SELECT doc_id, e - l AS s, e, array_to_string(w, ' ') AS t, len(w) + (l - plain) // 2 AS n, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS k FROM o WHERE len(w) > 0),
+    c AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY k) AS c FROM f),
+    a AS (SELECT doc_id, list(t ORDER BY k) AS ts FROM c GROUP BY doc_id),
+    r AS (SELECT x.doc_id, x.s::INT AS s, y.e::INT AS e, x.k AS i, y.k AS j FROM c x JOIN c y ON x.doc_id = y.doc_id AND y.k BETWEEN x.k AND x.k + 5
+          WHERE y.c - x.c + x.n >= 6 AND (y.c - y.n - x.c + x.n < 6 OR y.c - x.c < 6)),
+    h AS (SELECT r.doc_id, s, e, array_to_string(ts[i:j], ' ') AS t FROM r JOIN a ON r.doc_id = a.doc_id)"""
+
+
 @query(
     "op5_repeated_units",
-    r"""
-    WITH p AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?]["'')\]*#%&$]*[ \t\r]+|\n)', '\1' || chr(1), 'g'), chr(1)) AS p FROM documents WHERE text <> ''),
-    u AS (SELECT doc_id, k, p[k] AS unit FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS k FROM p)),
-    o AS (SELECT doc_id, unit, length(unit) AS n, sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY k) AS e,
-                 list_filter(regexp_split_to_array(lower(unit), '[ \t\r\n\f\v]+'), lambda w: w <> '') AS w FROM u),
-    f AS (SELECT doc_id, (e - n)::INT AS s, e::INT AS e, array_to_string(w, ' ') AS t FROM o WHERE len(w) >= 6),
-    g AS (SELECT doc_id, s, e, first_value(doc_id) OVER x AS kept_id, first_value(s) OVER x AS kept_start FROM f WINDOW x AS (PARTITION BY t ORDER BY doc_id, s))
-    SELECT doc_id, s AS "start", e AS "end", kept_id, kept_start FROM g WHERE doc_id <> kept_id OR s <> kept_start
+    rf"""
+    WITH {PASSAGES},
+    q AS (SELECT doc_id, length(text) AS size, string_split(text, chr(10)) AS p FROM documents WHERE text <> ''),
+    v AS (SELECT doc_id, size, k, p[k] AS line FROM (SELECT doc_id, size, p, unnest(range(1, len(p) + 1)) AS k FROM q)),
+    z AS (SELECT doc_id, size, length(line) AS l, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k) AS e,
+                 length(regexp_replace(line, '{NO_BLANKS}', '', 'g')) AS plain, {SPLIT.format("line")} AS w FROM v),
+    y AS (SELECT doc_id, (e - l - 1)::INT AS s, least(e, size)::INT AS e, array_to_string(w, ' ') AS t FROM z WHERE len(w) > 0 AND len(w) + (l - plain) // 2 >= 6),
+    m AS (SELECT *, true AS whole FROM y UNION ALL SELECT *, false FROM h ANTI JOIN y USING (doc_id, s, e)),
+    g AS (SELECT *, first_value(doc_id) OVER x AS kept_id, first_value(s) OVER x AS kept_start FROM m WINDOW x AS (PARTITION BY t ORDER BY doc_id, s)),
+    b AS (SELECT *, max(CASE WHEN whole THEN e END) OVER (PARTITION BY doc_id ORDER BY s, e DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS reach
+          FROM g WHERE doc_id <> kept_id OR s <> kept_start)
+    SELECT doc_id, s AS "start", e AS "end", kept_id, kept_start FROM b WHERE whole OR reach IS NULL OR reach < e
     """,
 )
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every repeated line or sentence of six words and more, with its offsets and the place that is kept."""
+    """Every repeated line of six words and more, and every repeated passage outside such lines, with offsets and the place that is kept."""
     return unit_dedup.repeated_units(read(spark, sf_dir, "documents"))
 
 
-NO_BLANKS = r"[\x{0e00}-\x{0eff}\x{1000}-\x{109f}\x{1780}-\x{17ff}\x{3040}-\x{30ff}\x{3400}-\x{9fff}\x{ac00}-\x{d7a3}\x{f900}-\x{faff}\x{20000}-\x{3ffff}]"
-
-
 @query(
     "repeated_passages",
-    rf"""
-    WITH p AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?]["'')\]*#%&$]*[ \t\r]+|\n|[。！？]+[」』）]*[ \t\r]*)', '\1' || chr(1), 'g'), chr(1)) AS p FROM documents WHERE text <> ''),
-    u AS (SELECT doc_id, k, p[k] AS unit FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS k FROM p)),
-    o AS (SELECT doc_id, k, length(unit) AS l, sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY k) AS e,
-                 length(regexp_replace(unit, '{NO_BLANKS}', '', 'g')) AS plain,
-                 list_filter(regexp_split_to_array(lower(unit), '[ \t\r\n\f\v]+'), lambda w: w <> '') AS w FROM u),
-    f AS (SELECT doc_id, e - l AS s, e, array_to_string(w, ' ') AS t, len(w) + (l - plain) // 2 AS n, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS k FROM o WHERE len(w) > 0),
-    c AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY k) AS c FROM f),
-    a AS (SELECT doc_id, list(t ORDER BY k) AS ts FROM c GROUP BY doc_id),
-    r AS (SELECT x.doc_id, x.s::INT AS s, y.e::INT AS e, x.k AS i, y.k AS j FROM c x JOIN c y ON x.doc_id = y.doc_id AND y.k BETWEEN x.k AND x.k + 5
-          WHERE y.c - x.c + x.n >= 6 AND (y.c - y.n - x.c + x.n < 6 OR y.c - x.c < 6)),
-    h AS (SELECT r.doc_id, s, e, array_to_string(ts[i:j], ' ') AS t FROM r JOIN a ON r.doc_id = a.doc_id),
+    f"""
+    WITH {PASSAGES},
     g AS (SELECT doc_id, s, e, first_value(doc_id) OVER x AS kept_id, first_value(s) OVER x AS kept_start FROM h WINDOW x AS (PARTITION BY t ORDER BY doc_id, s))
     SELECT doc_id, s AS "start", e AS "end", kept_id, kept_start FROM g WHERE doc_id <> kept_id OR s <> kept_start
     """,
 )
 def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every repeated passage of whole sentences or lines: what op5 reports, and what is made of shorter ones."""
+    """Every repeated passage of whole sentences or lines, in repeated lines too."""
     return unit_dedup.repeated_passages(read(spark, sf_dir, "documents"))
 
 
