@@ -90,8 +90,9 @@ def pack(
     bin_id and bin_start are null, length is 0. A null source or cluster
     conflicts with nothing. Rows that repeat an id are rows like any other; they
     conflict through their source and cluster. Equal lengths are packed in order
-    of id, cluster and piece. Other columns are not read; an empty table gives no
-    rows.
+    of id, cluster and piece. Rows are dealt to shards by where they lie in a
+    table written first, so a shard stays bounded whatever repeats. Other columns
+    are not read; an empty table gives no rows.
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
@@ -114,8 +115,9 @@ def pack(
         "id", F.col("piece").cast("bigint").alias("piece"), (F.col("piece") * F.lit(capacity).cast("bigint")).alias("start"), F.lit(capacity).cast("bigint").alias("length"),
         (-1 - F.monotonically_increasing_id()).alias("bin_id"), F.lit(0).cast("bigint").alias("bin_start"),
     )
-    rests = rows.filter(rest > 0).select("id", full.alias("piece"), (full * capacity).alias("start"), rest.alias("length"), "source", "cluster")
-    rests = rests.withColumn("shard", F.pmod(F.xxhash64("id", "length", "cluster"), F.lit(shards)))
+    # by the row's place in the written table: rows alike in every column are spread over the shards like any others
+    place = F.xxhash64("_metadata.file_name", "_metadata.row_index")
+    rests = rows.filter(rest > 0).select("id", full.alias("piece"), (full * capacity).alias("start"), rest.alias("length"), "source", "cluster", F.pmod(place, F.lit(shards)).alias("shard"))
 
     def run(key, group):
         ids, sizes, names, copies, pieces = (group.column(c).to_pylist() for c in ("id", "length", "source", "cluster", "piece"))

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import astuple
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from vislens.llm.crf import EDGES, Emissions, Tagger, evidence, fit, fit_link, forward_backward
 
-#: Training documents of each label at most, and the longest text taken for training, in characters.
+#: Training documents of each label at most, and the characters that a text adds to the fit.
 MAX_DOCS, MAX_CHARS = 1500, 20_000
 #: A token's marginal from which it is reported as toxic.
 SPAN_AT = 0.5
@@ -66,13 +67,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """Fits the field and the document score on at most `max_docs` documents of each label.
 
     The sample is the lowest hashes of the ids of `labels`, so it does not depend
-    on partitioning; texts over `max_chars` characters are not taken for fitting.
+    on partitioning. A text adds a stretch of at most `max_chars` characters,
+    which begins where the hash of the text says; shorter texts are taken whole.
     Of rows that share an id the text of smallest hash is taken.
     Rows with a null id, label or text are not used. Without toxic documents the
     scores of all texts are below 0.5.
     """
     rows = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(id_col, F.col(label_col).cast("int").alias("__y"))
-    texts = docs.filter(F.length(text_col) <= max_chars).select(id_col, F.col(text_col).alias("__text"))
+    text = F.col(text_col)
+    start = F.pmod(F.xxhash64(text), F.greatest(F.lit(1), F.length(text) - max_chars + 1)).cast("int") + 1
+    texts = docs.filter(text.isNotNull()).select(id_col, F.substring(text, start, F.lit(max_chars)).alias("__text"))
     both = texts.join(rows.distinct(), id_col).withColumn("__h", F.xxhash64(id_col))
     sample = []
     for y in (0, 1):  # the ids first: the sort then carries no texts
@@ -114,6 +118,31 @@ def _spans(text: str, marginals: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def tagged(texts: Iterable[str | None], model: Tagger) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, np.ndarray]]:
+    """(texts, tokens of each, marginals of all tokens, scores) of whole texts, in blocks."""
+    emit = Emissions(model)
+    held: list[str] = []
+    words: list[list[str]] = []
+
+    def block():
+        lengths = np.array([len(w) for w in words], dtype=np.int64)
+        p = forward_backward(np.fromiter((emit[w] for x in words for w in x), float, int(lengths.sum())), lengths, model.moves)
+        return held, lengths, p, model.score(evidence(p, lengths))
+
+    n = 0
+    for text in texts:
+        text = text or ""
+        held.append(text)
+        # str.split and \S+ agree on what white space is
+        words.append(text.lower().split() if text.isascii() else [w.lower() for w in text.split()])
+        n += len(words[-1])
+        if n >= BLOCK_TOKENS:
+            yield block()
+            held, words, n = [], [], 0
+    if held:
+        yield block()
+
+
 def score_toxicity(docs: DataFrame, model: Tagger, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, score, n_toxic_tokens, spans): one row per row, spans as offsets (start, end) of offending runs.
 
@@ -122,37 +151,19 @@ def score_toxicity(docs: DataFrame, model: Tagger, id_col: str = "doc_id", text_
     """
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(astuple(model))  # 1 MB, whatever the input
+    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
         model = Tagger(*shared.value)
-        emit = Emissions(model)
-
-        def block(ids, texts, words):
-            lengths = np.array([len(w) for w in words], dtype=np.int64)
-            e = np.fromiter((emit[w] for x in words for w in x), float, int(lengths.sum()))
-            p = forward_backward(e, lengths, model.moves)
-            scores = model.score(evidence(p, lengths))
-            cuts = np.cumsum(lengths)
-            found = [_spans(t, p[b - n : b]) for t, b, n in zip(texts, cuts, lengths)]
-            hits = np.add.reduceat(np.append(p >= SPAN_AT, False).astype(int), np.minimum(cuts - lengths, len(p))) * (lengths > 0)
-            return pa.record_batch(
-                [ids, pa.array(scores), pa.array(hits, pa.int32()), pa.array([[{"start": a, "end": b} for a, b in x] for x in found], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
-                names=[id_col, "score", "n_toxic_tokens", "spans"],
-            )
-
         for batch in batches:
-            at, texts, words, held = 0, [], [], 0
-            for i, text in enumerate(batch.column(1)):
-                text = text.as_py() or ""
-                texts.append(text)
-                # str.split and \S+ agree on what white space is
-                words.append(text.lower().split() if text.isascii() else [w.lower() for w in text.split()])
-                held += len(words[-1])
-                if held >= BLOCK_TOKENS:
-                    yield block(batch.column(0)[at : i + 1], texts, words)
-                    at, texts, words, held = i + 1, [], [], 0
-            if texts:
-                yield block(batch.column(0)[at:], texts, words)
+            at = 0
+            for texts, lengths, p, scores in tagged((t.as_py() for t in batch.column(1)), model):
+                cuts = np.cumsum(lengths)
+                found = [[{"start": a, "end": b} for a, b in _spans(t, p[b - n : b])] for t, b, n in zip(texts, cuts, lengths)]
+                hits = np.add.reduceat(np.append(p >= SPAN_AT, False).astype(int), np.minimum(cuts - lengths, len(p))) * (lengths > 0)
+                ids = batch.column(0).slice(at, len(texts))
+                at += len(texts)
+                yield pa.record_batch([ids, pa.array(scores), pa.array(hits, pa.int32()), pa.array(found, span)], names=[id_col, "score", "n_toxic_tokens", "spans"])
 
     schema = f"`{id_col}` {kind}, score double, n_toxic_tokens int, spans array<struct<start:int,end:int>>"
     return docs.select(id_col, text_col).mapInArrow(run, schema)
@@ -164,24 +175,7 @@ def drop_toxic(docs: DataFrame, model: Tagger, id_col: str = "doc_id", text_col:
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        model = Tagger(*shared.value)
-        emit, out = Emissions(model), []
-        words, held = [], 0
-
-        def flush():
-            nonlocal words, held
-            lengths = np.array([len(w) for w in words], dtype=np.int64)
-            p = forward_backward(np.fromiter((emit[w] for x in words for w in x), float, held), lengths, model.moves)
-            out.extend(model.score(evidence(p, lengths)))
-            words, held = [], 0
-
-        for text in texts:
-            words.append([w.lower() for w in (text or "").split()])
-            held += len(words[-1])
-            if held >= BLOCK_TOKENS:
-                flush()
-        if words:
-            flush()
-        return pd.Series(out, dtype=float)
+        parts = [scores for *_, scores in tagged(texts, Tagger(*shared.value))]
+        return pd.Series(np.concatenate(parts) if parts else [], dtype=float)
 
     return docs.filter(score(F.col(text_col)) < at)

@@ -5,9 +5,10 @@ holds a dictionary built from the archive's own records; each record follows as
 frame of its own that uses it, so any record can be read alone. Records whose
 payload another record holds are revisits and store no payload.
 
-Rows are dealt to archives by hash; their number follows from the bytes to be
-stored, so an archive and the task that writes it are bounded however large the
-table is. Archives go to a folder that all executors share; a writer fills a
+Rows are dealt to archives by where they lie in their files, so rows alike in every
+column are spread as others are; the number of archives follows from the bytes to
+be stored, and there is a partition for each. So an archive and the task that
+writes it are bounded however large the table is. Archives go to a folder that all executors share; a writer fills a
 temporary name and renames it, so a task that runs again replaces its own file.
 """
 
@@ -24,10 +25,11 @@ from urllib.parse import quote, unquote, urlsplit
 
 import pyarrow as pa
 import zstandard
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vislens.session import shared_dir
+from vislens.session import cut_lineage, shared_dir
 
 # Fixed values of the format.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -160,15 +162,24 @@ def _put(folder: str, name: str, data: bytes) -> str:
     return path
 
 
-def record_types(pages: DataFrame, page_id: str = "page_id", url: str = "url", body: str = "html", least: int = 1000) -> DataFrame:
-    """(page_id, url, digest, size, refers_to): refers_to is null for responses.
+def placed(pages: DataFrame) -> DataFrame:
+    """`pages` with __place, a hash of file and row; a frame that isn't read from files is written first."""
+    place = F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("__place")
+    try:
+        return pages.select("*", place)
+    except AnalysisException:
+        return cut_lineage(pages).select("*", place)
+
+
+def record_types(pages: DataFrame, page_id: str = "page_id", url: str = "url", body: str = "html", least: int = 1000, keep: tuple = ()) -> DataFrame:
+    """(page_id, url, digest, size, *keep, refers_to): refers_to is null for responses.
 
     Of rows with equal payloads of `least` bytes or more, those with the largest
     id are responses and the others revisits; of null ids only, all are responses.
     Digests are grouped and joined, payloads stay where they are.
     """
     payload = _payload(body)
-    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.sha1(payload).alias("digest"), F.octet_length(payload).cast("bigint").alias("size"))
+    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.sha1(payload).alias("digest"), F.octet_length(payload).cast("bigint").alias("size"), *keep)
     shared = rows.filter(F.col("size") >= least).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n"))
     shared = shared.filter("n > 1").drop("n")
     other = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
@@ -190,9 +201,10 @@ def write_warc(pages: DataFrame, folder: str, page_id: str = "page_id", url: str
     """
     total = pages.agg(F.sum(F.octet_length(_payload(body)) + 512)).first()[0] or 0
     n = max(1, math.ceil(total / archive_bytes))
-    archive = F.pmod(F.xxhash64("page_id", "url"), F.lit(n)).alias("archive")
-    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), _payload(body).alias("payload")).select("*", archive)
-    again = record_types(pages, page_id, url, body, least).filter("refers_to is not null").select("page_id", "digest", "refers_to", archive)
+    pages = placed(pages)
+    archive = F.pmod("__place", F.lit(n)).alias("archive")
+    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), _payload(body).alias("payload"), archive)
+    again = record_types(pages, page_id, url, body, least, ("__place",)).filter("refers_to is not null").select("page_id", "digest", "refers_to", archive)
 
     def run(key, table, again):
         number = key[0].as_py()
@@ -210,7 +222,7 @@ def write_warc(pages: DataFrame, folder: str, page_id: str = "page_id", url: str
             _put(folder, f"pages-{number:08d}.warc.zst", data)
         return pa.table({"archive": pa.array([number], pa.int64()), "n_records": pa.array([len(records)], pa.int64()), "n_bytes": pa.array([len(data)], pa.int64())})
 
-    both = rows.groupBy("archive").cogroup(again.groupBy("archive"))
+    both = rows.repartition(n, "archive").groupBy("archive").cogroup(again.repartition(n, "archive").groupBy("archive"))
     return both.applyInArrow(run, "archive bigint, n_records bigint, n_bytes bigint")
 
 
