@@ -1,3 +1,4 @@
+import json
 import os
 import random
 import time
@@ -50,21 +51,33 @@ def test_batches_timers_and_late_verdicts(spark, tmp_path):
     assert got[9] == [(500, "PROVISIONAL"), (501, "TRUSTED")]
 
 
-def test_state_table_keeps_the_last_write_over_batches(spark, tmp_path):
+def test_snapshot_keeps_the_last_write_over_batches(spark, tmp_path):
     base = str(tmp_path)
     drop(spark, base, [[(1, "a", 1, True, True), (2, "a", 2, True, True)], [(1, "b", 5, False, True)], [(1, "old", 3, True, True), (3, "c", 9, True, True)], [(4, "d", 1, True, True)]])
     ev = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).json(f"{base}/in").select("item_id", "kind", "t_us")
-    for compact in (2, 3, 20):
-        table = ls.StateTable(spark, f"{base}/state{compact}", ["item_id"], "t_us", compact=compact)
-        table.follow(ev)
-        got = {r["item_id"]: r["kind"] for r in table.read(ev.schema).collect()}
-        assert got == {1: "b", 2: "a", 3: "c", 4: "d"}
-        assert len(table.parts()) < max(3, compact) and table.parts()[-1][1] == 3
-        # a batch that runs again replaces its own rows
-        table.put(spark.createDataFrame([(4, "again", 1 + START)], "item_id long, kind string, t_us long"), 9)
-        table.put(spark.createDataFrame([(4, "again", 1 + START)], "item_id long, kind string, t_us long"), 9)
-        assert {r["item_id"]: r["kind"] for r in table.read(ev.schema).collect()} == got | {4: "again"}
-    assert ls.StateTable(spark, f"{base}/none", ["item_id"]).read(ev.schema).count() == 0
+    read = lambda: {r["item_id"]: r["kind"] for r in ls.last_writes(spark, f"{base}/t", ev.schema, ["item_id"], "t_us").collect()}
+    ls.follow(ev, f"{base}/t", f"{base}/ckpt")
+    assert read() == {1: "b", 2: "a", 3: "c", 4: "d"}
+    # all batches run again under a lost checkpoint: each replaces its own rows
+    ls.follow(ev, f"{base}/t", f"{base}/ckpt2")
+    assert read() == {1: "b", 2: "a", 3: "c", 4: "d"} and spark.read.parquet(f"{base}/t").count() == 6
+    out, _ = ls.drain(ev.filter("item_id > 100"), keys=["item_id"], order="t_us")
+    assert out.count() == 0
+
+
+def test_late_rows_of_more_than_a_hundred_batches_are_all_counted(spark, tmp_path):
+    base = str(tmp_path)
+    H = 3600 * S
+    os.makedirs(f"{base}/in")
+    for i in range(130):  # from the third on, each brings a row that lies far behind
+        rows = [{"t_us": START + (i + 30) * H, "hit": True}] + [{"t_us": START, "hit": True}] * (i > 2)
+        with open(f"{base}/in/f{i}.json", "w") as f:
+            f.write("\n".join(json.dumps(r) for r in rows))
+        os.utime(f"{base}/in/f{i}.json", (time.time() - 2000 + i * 10,) * 2)
+    ev = spark.readStream.schema("t_us long, hit boolean").option("maxFilesPerTrigger", 1).json(f"{base}/in")
+    log = ev.select(F.timestamp_micros("t_us").alias("ts"), "hit")
+    out, late = ls.drain(ls.prr_stream(log, "1 hour", "1 minute"), keys=["start"])
+    assert (out.count(), late) == (130, 127)
 
 
 def test_rates_are_updated_over_batches_and_late_rows_are_counted(spark, tmp_path):
@@ -97,11 +110,28 @@ def test_stale_returns_however_long_after_and_not_after_a_return_to_visibility(s
     ev = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).json(f"{base}/in")
     parts = F.split("kind", ":")
     ev = ev.select("item_id", F.timestamp_micros("t_us").alias("ts"), "t_us", parts[0].alias("kind"), parts[1].cast("long").alias("probe"))
-    got = {(r["probe"], (r["t_us"] - START) // S, (r["withdrawn_us"] - START) // S) for r in ls.run_to_table(ls.stale_read_stream(ev, "1 minute")).collect()}
+    got = {(r["probe"], (r["t_us"] - START) // S, (r["withdrawn_us"] - START) // S) for r in ls.standing(ls.run_to_table(ls.stale_read_stream(ev, "1 minute"))).collect()}
     d = 86_400
     assert got == {(10, 3, 0), (11, 0, 0), (20, 7, 5), (30, 10, 8), (12, 401 * d, 0), (22, 401 * d, 401 * d), (23, 800 * d, 401 * d)}
 
 
+def test_a_late_return_to_visibility_takes_a_report_back(spark, tmp_path):
+    rows = lambda *x: [(i, f"{k}:{p}", t, True, True) for i, k, p, t in x]
+    events = [(1, "withdraw", 0, 0), (1, "return", 10, 9 * S), (1, "readmit", 0, 5 * S), (2, "withdraw", 0, 0), (2, "return", 20, 9 * S), (2, "withdraw", 0, 6 * S), (2, "readmit", 0, 5 * S), (3, "return", 30, 4 * S)]
+    batchings = [[events], [[e] for e in events], [events[:2], events[2:5], events[5:]], [events[::-1]]]
+    for n, batches in enumerate(batchings):
+        base = str(tmp_path / str(n))
+        drop(spark, base, [rows(*b) for b in batches])
+        ev = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).json(f"{base}/in")
+        parts = F.split("kind", ":")
+        ev = ev.select("item_id", F.timestamp_micros("t_us").alias("ts"), "t_us", parts[0].alias("kind"), parts[1].cast("long").alias("probe"))
+        changes = ls.run_to_table(ls.stale_read_stream(ev, "1 minute"))
+        if n == 1:
+            assert [r["change"] for r in changes.filter("item_id = 1").collect()].count(-1) == 1
+        got = {(r["probe"], (r["withdrawn_us"] - START) // S) for r in ls.standing(changes).collect()}
+        assert got == {(20, 6)}
+
+
 def replay(spark, base, events, files, policy):
     """The events in `files` batches by time, shuffled within a batch."""
     rng = random.Random(files)

@@ -106,44 +106,69 @@ def mean_cosines(df: DataFrame, group: str, vec: str, left: str, right: str) ->
     return per.groupBy(group).agg(F.sum(F.col("a") * F.col("b")).alias("mean_cosine"))
 
 
-def _cell_blocks(items: DataFrame, block_rows: int) -> DataFrame:
-    return items.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("blocks"))
-
-
-def cell_candidates(
-    queries: DataFrame,
-    items: DataFrame,
-    centroids: DataFrame,
-    n_probe: int,
-    k: int,
-    *,
-    block_rows: int = 50_000,
-) -> DataFrame:
+def nearest_cell(items: DataFrame, centroids: DataFrame) -> DataFrame:
+    """(id, cell) of every item."""
+    from vislens.operators.similarity import max_similarity
+
+    return max_similarity(items, centroids, anchor_key="cell", anchor_vec="centroid").select("id", "cell")
+
+
+def write_cells(items: DataFrame, centroids: DataFrame, path: str) -> None:
+    """An inverted file: the items (id, vector), a folder for each cell."""
+    placed = items.select("id", "vector").join(nearest_cell(items, centroids), "id")
+    placed.write.mode("errorifexists").partitionBy("cell").parquet(path)
+
+
+def probe_cells(queries: DataFrame, centroids: DataFrame, n_probe: int) -> DataFrame:
+    """(query_id, cell, cell_rank): the nearest cells of every query."""
+    found = topk(queries, centroids, n_probe, item_id="cell", item_vec="centroid")
+    return found.select("query_id", "cell", F.col("rank").cast("int").alias("cell_rank"))
+
+
+def search_cells(queries: DataFrame, path: str, centroids: DataFrame, n_probe: int, k: int, **sizes) -> DataFrame:
+    """As `cell_candidates`, over cells that `write_cells` has written; folders of cells that no query probes are not read."""
+    spark = queries.sparkSession
+    probes = probe_cells(queries, centroids, n_probe)
+    wanted = [r["cell"] for r in probes.select("cell").distinct().collect()]  # cells, as many as were trained at most
+    stored = spark.read.parquet(path).withColumn("cell", F.col("cell").cast(centroids.schema["cell"].dataType))
+    return _search_placed(queries, probes, stored.filter(F.col("cell").isin(wanted)), k, **sizes)
+
+
+def cell_candidates(queries: DataFrame, items: DataFrame, centroids: DataFrame, n_probe: int, k: int, **sizes) -> DataFrame:
     """Approximate search: top-k of each of the query's `n_probe` nearest cells.
 
-    centroids: cell, centroid.  A crowded cell is cut into blocks of about
-    `block_rows` items, each its own group.  Columns: query_id, cell, cell_rank, id, score.
+    centroids: cell, centroid.  Columns: query_id, cell, cell_rank, id, score.
     """
-    from vislens.operators.similarity import _id_type, cosine_block, max_similarity, _keep_topk, _matrix, _values
+    placed = items.select("id", "vector").join(nearest_cell(items, centroids), "id")
+    return _search_placed(queries, probe_cells(queries, centroids, n_probe), placed, k, **sizes)
+
+
+def cell_effort(probes: DataFrame, placed: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, vectors_scored): how many products of a query with an item the probes cost."""
+    sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    return probes.join(sizes, "cell").groupBy(*by).agg(F.sum("n").alias("vectors_scored"))
+
+
+def _dealt(rows: DataFrame, key: str, most: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of a cell in blocks of about `most`, numbered `name`; (cell, how many blocks)."""
+    n = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(most)).cast("int").alias(f"{name}s"))
+    return rows.join(n, "cell").withColumn(name, F.pmod(F.xxhash64(key), F.col(f"{name}s")).cast("int")).drop(f"{name}s"), n
+
+
+def _search_placed(queries: DataFrame, probes: DataFrame, placed: DataFrame, k: int, *, block_rows: int = 50_000, block_queries: int = 8192) -> DataFrame:
+    """Both sides of a crowded cell are cut: about `block_rows` items and `block_queries` queries make a group."""
+    from vislens.operators.similarity import _id_type, cosine_block, _keep_topk, _matrix, _values
     import numpy as np
     import pyarrow as pa
 
-    home = max_similarity(items, centroids, anchor_key="cell", anchor_vec="centroid")
-    placed = items.select("id", "vector").join(home.select("id", "cell"), "id")
-    blocks = _cell_blocks(placed, block_rows)
-    placed = placed.join(blocks, "cell").withColumn(
-        "block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    )
-    probes = topk(queries, centroids, n_probe, item_id="cell", item_vec="centroid")
-    probed = (
-        probes.select("query_id", "cell", F.col("rank").alias("cell_rank"))
-        .join(queries.select("query_id", "qvec"), "query_id")
-        .join(blocks, "cell")
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    )
+    placed, blocks = _dealt(placed, "id", block_rows, "block")
+    asked, turns = _dealt(probes, "query_id", block_queries, "turn")
+    asked = asked.join(queries.select("query_id", "qvec"), "query_id").join(blocks, "cell")
+    probed = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.join(turns, "cell").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
     schema = (
-        f"query_id {_id_type(queries, 'query_id')}, cell {_id_type(centroids, 'cell')}, cell_rank int, "
-        f"id {_id_type(items, 'id')}, score double"
+        f"query_id {_id_type(queries, 'query_id')}, cell {_id_type(probes, 'cell')}, cell_rank int, "
+        f"id {_id_type(placed, 'id')}, score double"
     )
 
     def search(qt: pa.Table, it: pa.Table) -> pa.Table:
@@ -172,9 +197,9 @@ def cell_candidates(
         )
 
     found = (
-        probed.select("cell", "block", "query_id", "qvec", F.col("cell_rank").cast("int").alias("cell_rank"))
-        .groupBy("cell", "block")
-        .cogroup(placed.select("cell", "block", "id", "vector").groupBy("cell", "block"))
+        probed.select("cell", "block", "turn", "query_id", "qvec", F.col("cell_rank").cast("int").alias("cell_rank"))
+        .groupBy("cell", "block", "turn")
+        .cogroup(placed.select("cell", "block", "turn", "id", "vector").groupBy("cell", "block", "turn"))
         .applyInArrow(search, schema)
     )
     return rerank(found, k, keys=("query_id", "cell")).drop("rank")

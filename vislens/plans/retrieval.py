@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vislens.functions.stats import count_if, rate_columns, ratio
@@ -11,7 +14,7 @@ from vislens.operators import retrieval as ret
 from vislens.operators.ordered import quantiles
 from vislens.operators.similarity import max_similarity, topk
 from vislens.plans.registry import cte, query
-from vislens.session import cut_lineage
+from vislens.session import cut_lineage, shared_dir
 from vislens.sources import tables as src
 
 K = 10
@@ -533,24 +536,74 @@ def ann_quality(spark, d):
 
 @query(
     "ann_sweep",
-    """SELECT n_probe, round(avg(recall), 6) AS recall_at_5, round(avg(identical::INT), 6) AS exact_match_rate, count(*) FILTER (WHERE nret < 5) AS short_lists,
-  count(*) FILTER (WHERE nret < 5) = 0 AS admissible FROM w_annq WHERE n_probe <> 3 GROUP BY 1""",
+    """SELECT a.n_probe, round(avg(recall), 6) AS recall_at_5, round(avg(identical::INT), 6) AS exact_match_rate, count(*) FILTER (WHERE nret < 5) AS short_lists,
+  count(*) FILTER (WHERE nret < 5) = 0 AS admissible, any_value(e.n)::BIGINT AS vectors_scored FROM w_annq a JOIN (SELECT g.n_probe, sum(s.n) AS n FROM w_probe p JOIN (SELECT cell, count(*) AS n FROM w_home GROUP BY 1) s USING (cell)
+    JOIN (VALUES (1), (2), (4), (8)) g(n_probe) ON p.cell_rank <= g.n_probe GROUP BY 1) e ON e.n_probe = a.n_probe GROUP BY 1""",
 )
 def ann_sweep(spark, d):
-    """One search at the widest setting; narrower settings are prefixes of its cells."""
-    q, corpus, found = _ann(spark, d, 8)
-    grid = F.array(*[F.lit(p) for p in (1, 2, 4, 8)])
-    pts = found.withColumn("n_probe", F.explode(grid)).filter(F.col("cell_rank") <= F.col("n_probe"))
-    best = ret.rerank(pts, 5, keys=("n_probe", "query_id")).select("n_probe", "query_id", "id", F.col("rank").alias("a_rank"))
-    exact = topk(q, corpus, 5).select("query_id", "id", F.col("rank").alias("e_rank")).withColumn("n_probe", F.explode(grid))
-    per = exact.join(best, ["n_probe", "query_id", "id"], "full_outer").groupBy("n_probe", "query_id").agg(
+    """Recall and work over the grid; one search at the widest setting, narrower settings are prefixes of its cells."""
+    it = _items(spark, d)
+    corpus, q = src.corpus(it), src.queries(it)
+    cells = cut_lineage(ret.topic_cells(corpus))
+    placed = cut_lineage(corpus.select("id", "vector").join(ret.nearest_cell(corpus, cells), "id"))
+    probes = cut_lineage(ret.probe_cells(q, cells, max(GRID)))
+    found = ret._search_placed(q, probes, placed, 5)
+    return sweep_quality(q, topk(q, corpus, 5), found, probes, placed, [])
+
+
+GRID = (1, 2, 4, 8)
+
+
+def sweep_quality(q, exact, found, probes, placed, keys):
+    """Per n_probe of the grid (and `keys` of `found` and `probes`): recall, exact lists, short lists, vectors scored."""
+    grid = F.explode(F.array(*[F.lit(p) for p in GRID])).alias("n_probe")
+    narrowed = lambda df: df.select("*", grid).filter(F.col("cell_rank") <= F.col("n_probe"))
+    keys = ["n_probe", *keys]
+    best = ret.rerank(narrowed(found), 5, keys=(*keys, "query_id")).select(*keys, "query_id", "id", F.col("rank").alias("a_rank"))
+    points = probes.select(*keys[1:], grid).distinct()  # a row for each point
+    want = exact.select("query_id", "id", F.col("rank").alias("e_rank")).crossJoin(F.broadcast(points))
+    per = want.join(best, [*keys, "query_id", "id"], "full_outer").groupBy(*keys, "query_id").agg(
         (count_if(F.col("e_rank").isNotNull() & F.col("a_rank").isNotNull()) / 5.0).alias("recall"),
         F.min(F.col("e_rank").eqNullSafe(F.col("a_rank"))).alias("identical"), F.count("a_rank").alias("returned"),
     )
-    return per.groupBy("n_probe").agg(
+    quality = per.groupBy(*keys).agg(
         F.round(F.avg("recall"), 6).alias("recall_at_5"), F.round(F.avg(F.col("identical").cast("int")), 6).alias("exact_match_rate"),
         count_if(F.col("returned") < 5).alias("short_lists"), (count_if(F.col("returned") < 5) == 0).alias("admissible"),
     )
+    return quality.join(ret.cell_effort(narrowed(probes), placed, keys), keys)
+
+
+#: Trainings whose results are compared, and vectors meant for a cell.
+SEEDS, CELL_ITEMS = (1, 2, 3), 32
+
+
+@query("trained_cells")
+def trained_cells(spark, d):
+    """Cells learnt from the vectors alone, once per seed, written as an inverted file and searched over the grid.
+
+    Recall and vectors scored per seed and setting, and how many queries get
+    another list than under the first seed.
+    """
+    it = _items(spark, d)
+    corpus, q = cut_lineage(src.corpus(it)), cut_lineage(src.queries(it))
+    n_cells = max(max(GRID), -(-corpus.count() // CELL_ITEMS))
+    exact = cut_lineage(topk(q, corpus, 5))
+    runs = []
+    for seed in SEEDS:
+        cells = cut_lineage(ret.train_cells(corpus, n_cells, seed))
+        path = f"{shared_dir(spark)}/cells"
+        ret.write_cells(corpus, cells, path)
+        tag = lambda df, seed=seed: df.withColumn("seed", F.lit(seed))
+        runs.append((tag(ret.search_cells(q, path, cells, max(GRID), 5)), tag(ret.probe_cells(q, cells, max(GRID))), tag(spark.read.parquet(path).select("id", "cell"))))
+    found, probes, placed = (cut_lineage(reduce(DataFrame.unionByName, side)) for side in zip(*runs))
+    keyed = lambda df: df.withColumn("cell", F.struct("seed", "cell"))
+    quality = sweep_quality(q, exact, found, keyed(probes), keyed(placed), ["seed"])
+    grid = F.explode(F.array(*[F.lit(p) for p in GRID])).alias("n_probe")
+    best = ret.rerank(found.select("*", grid).filter("cell_rank <= n_probe"), 5, keys=("n_probe", "seed", "query_id"))
+    lists = cut_lineage(best.groupBy("n_probe", "seed", "query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "id")))["id"].alias("ids")))
+    first = lists.filter(F.col("seed") == SEEDS[0]).select("n_probe", "query_id", F.col("ids").alias("first"))
+    moved = lists.join(first, ["n_probe", "query_id"]).groupBy("n_probe", "seed").agg(count_if(F.col("ids") != F.col("first")).alias("lists_changed"))
+    return quality.join(moved, ["n_probe", "seed"])
 
 
 # ---- eligibility

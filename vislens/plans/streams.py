@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from vislens.plans.registry import query
 from vislens.plans.workload import TP_US
-from vislens.session import shared_dir
 from vislens.sources import tables as src
 from vislens.streaming import log_streams as ls
 from vislens.streaming.lifecycle_stream import lifecycle_stream as run_lifecycle
@@ -73,13 +72,11 @@ def stale_read_stream(spark, d):
         step(view, "return", own - 10, t), step(view & (own % 5 == 0), "return", own - 10, t + 172_800_000_000),
     )
     rows = e.select(own.alias("probe"), F.explode(F.array_compact(steps)).alias("s")).select("probe", "s.*").withColumn("ts", F.timestamp_micros("t_us"))
-    return ls.run_to_table(ls.stale_read_stream(rows)).select("probe", "item_id", "t_us", "withdrawn_us")
+    return ls.standing(ls.run_to_table(ls.stale_read_stream(rows))).select("probe", "item_id", "t_us", "withdrawn_us")
 
 
 @query("current_state_table", "SELECT user_id AS id, arg_max(event_type <> 'error', event_id) AS visible, max(event_id) AS seq FROM events GROUP BY 1")
 def current_state_table(spark, d):
     e = ls.read_table_stream(spark, d, "events")
     updates = e.select(F.col("user_id").alias("id"), (F.col("event_type") != "error").alias("visible"), F.col("event_id").alias("seq"))
-    table = ls.StateTable(spark, f"{shared_dir(spark)}/state", ["id"], "seq")
-    table.follow(updates)
-    return table.read(updates.schema)
+    return ls.run_to_table(updates, keys=["id"], order="seq")

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import contextlib
+import threading
 import warnings
+from bisect import bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from vislens.session import shared_dir
@@ -27,34 +31,84 @@ def rocksdb(spark: SparkSession):
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-def late_rows(query) -> int:
-    """Rows that a finished query has dropped for lying behind its watermark."""
-    operators = (o for p in query.recentProgress for o in p["stateOperators"])
-    return sum(int(o.get("numRowsDroppedByWatermark", 0)) for o in operators)
+class LateRows(StreamingQueryListener):
+    """Sums, over every update of every query, the rows dropped for lying behind a watermark."""
 
+    def __init__(self):
+        self.dropped: Counter = Counter()
+        self.ended: defaultdict = defaultdict(threading.Event)
 
-def drain(stream: DataFrame, keys: list[str] | None = None) -> tuple[DataFrame, int]:
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.dropped[str(event.progress.runId)] += sum(o.numRowsDroppedByWatermark for o in event.progress.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended[str(event.runId)].set()
+
+    def of(self, query, timeout: float = 60) -> int:
+        """Of a finished query; its updates come in order, so all are in once its end is."""
+        if not self.ended[str(query.runId)].wait(timeout):
+            raise TimeoutError("the end of the query was not reported")
+        return self.dropped[str(query.runId)]
+
+
+@contextlib.contextmanager
+def counting_late(spark: SparkSession):
+    listener = LateRows()
+    spark.streams.addListener(listener)
+    try:
+        yield listener
+    finally:
+        spark.streams.removeListener(listener)
+
+
+def follow(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
+    """Drains what is available into `path`, a folder for each batch; the finished query. A batch that runs again replaces its own folder."""
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    w = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", checkpoint)
+    q = w.trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q
+
+
+def last_writes(spark: SparkSession, path: str, schema: T.StructType, keys: list[str], order: str | None = None) -> DataFrame:
+    """The snapshot of a table that `follow` has written: of each key the row of highest `order`, then of the latest batch."""
+    stored = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    rows = spark.read.schema(stored).parquet(path)
+    rest = [c for c in schema.names if c not in keys]
+    last = F.max_by(F.struct(*rest), F.struct(*([order] if order else []), "batch"))
+    return rows.groupBy(*keys).agg(last.alias("__r")).select(*keys, "__r.*").select(schema.names)
+
+
+def drain(stream: DataFrame, keys: list[str] | None = None, order: str | None = None) -> tuple[DataFrame, int]:
     """Runs what is available into a table; (table, late rows).
 
-    Rows are appended, or with `keys` upserted: a stream in update mode sends only
-    groups that have changed, and the last write of a key is what counts.
+    Rows are appended, or with `keys` the table is a snapshot of last writes: a
+    stream in update mode sends only groups that have changed, and the last write
+    of a key is what counts, or that of highest `order`.
     """
     spark = stream.sparkSession
     base = shared_dir(spark)
-    with rocksdb(spark):
-        if keys is None:
-            w = stream.writeStream.outputMode("append").option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True)
-            q = w.format("parquet").option("path", f"{base}/out").start()
-            q.awaitTermination()
-            return spark.read.schema(stream.schema).parquet(f"{base}/out"), late_rows(q)
-        table = StateTable(spark, f"{base}/state", keys, buckets=4)
-        q = table.follow(stream, mode="update")
-        return table.read(stream.schema), late_rows(q)
-
-
-def run_to_table(stream: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    with rocksdb(spark), counting_late(spark) as late:
+        q = follow(stream, f"{base}/out", f"{base}/ckpt", "update" if keys and not order else "append")
+        dropped = late.of(q)
+    spark.createDataFrame([], stream.schema).write.parquet(f"{base}/out/batch=-1")  # a stream without data writes none
+    if keys:
+        return last_writes(spark, f"{base}/out", stream.schema, keys, order), dropped
+    return spark.read.schema(stream.schema).parquet(f"{base}/out").select(stream.columns), dropped
+
+
+def run_to_table(stream: DataFrame, keys: list[str] | None = None, order: str | None = None) -> DataFrame:
     """As `drain`; rows that came too late are told of in a warning."""
-    out, late = drain(stream, keys)
+    out, late = drain(stream, keys, order)
     if late:
         warnings.warn(f"{late} rows were behind the watermark and are not in the result", stacklevel=2)
     return out
@@ -77,17 +131,17 @@ def prr_stream(log: DataFrame, width: str, lateness: str = "1 hour") -> DataFram
 
 
 class StaleReads(StatefulProcessor):
-    """Returns of an item while it is withdrawn.
+    """Returns of an item while it is withdrawn, as changes: +1 reports one, -1 takes a report back.
 
     The state of an item is its changes of visibility: those newer than the
     watermark and the last one before it, so a withdrawal counts however long ago
-    it was. Returns newer than the watermark are kept too, for a withdrawal that
-    comes after them; a re-admission that comes after a return was reported does
-    not take the report back.
+    it was. Returns newer than the watermark are kept too, with what was reported
+    of them: a change of visibility that comes after them, but lies before them,
+    can make them stale, fresh again, or stale since another instant.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("item", "changes array<struct<t_us:long,kind:int>>, returns array<struct<t_us:long,probe:long,told:boolean>>")
+        self.state = handle.getValueState("item", "changes array<struct<t_us:long,kind:int>>, returns array<struct<t_us:long,probe:long,told_us:long>>")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         held = self.state.get() if self.state.exists() else None
@@ -95,16 +149,19 @@ class StaleReads(StatefulProcessor):
         returns = {(r[0], r[1]): r[2] for r in held[1]} if held else {}
         for r in rows:
             if r["kind"] == "return":
-                returns.setdefault((r["t_us"], r["probe"]), False)
+                returns.setdefault((r["t_us"], r["probe"]), None)
             else:
                 # at one instant the withdrawal is what counts
                 changes.add((r["t_us"], 1 if r["kind"] == "withdraw" else 0))
         order, out = sorted(changes), []
         for (t, probe), told in sorted(returns.items()):
-            before = [c for c in order if c[0] <= t]
-            if before and before[-1][1] == 1 and not told:
-                out.append(Row(item_id=key[0], probe=probe, t_us=t, withdrawn_us=before[-1][0]))
-                returns[t, probe] = True
+            k = bisect_right(order, (t, 1))
+            since = order[k - 1][0] if k and order[k - 1][1] == 1 else None
+            if since != told:
+                for change, at in ((-1, told), (1, since)):
+                    if at is not None:
+                        out.append(Row(item_id=key[0], probe=probe, t_us=t, withdrawn_us=at, change=change))
+                returns[t, probe] = since
         mark = timerValues.getCurrentWatermarkInMs() * 1000
         old = [c for c in order if c[0] <= mark]
         kept = old[-1:] + [c for c in order if c[0] > mark]
@@ -120,79 +177,12 @@ class StaleReads(StatefulProcessor):
 
 
 def stale_read_stream(events: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """events: item_id, ts, t_us, kind (withdraw|readmit|return), probe. (item_id, probe, t_us, withdrawn_us) of every stale return."""
-    out = "item_id long, probe long, t_us long, withdrawn_us long"
+    """events: item_id, ts, t_us, kind (withdraw|readmit|return), probe. Changes (item_id, probe, t_us, withdrawn_us, change) of the stale returns."""
+    out = "item_id long, probe long, t_us long, withdrawn_us long, change int"
     return events.withWatermark("ts", lateness).groupBy("item_id").transformWithState(StaleReads(), out, "Append", "EventTime")
 
 
-class StateTable:
-    """A table of the last write per key, fed by a stream.
-
-    A batch writes its own last rows only, under its number, partitioned by a hash
-    of the key; a repeated batch replaces its own files. Every `compact` batches
-    the parts are merged into one and the merged ones are deleted. What stands is
-    found by listing, so a reader needs no other record.
-    """
-
-    def __init__(self, spark: SparkSession, base: str, keys: list[str], order: str | None = None, buckets: int = 16, compact: int = 20):
-        self.spark, self.base, self.keys, self.order, self.buckets, self.compact = spark, base, keys, order, buckets, compact
-
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.base)
-        return jvm, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
-
-    def parts(self) -> list[tuple[int, int]]:
-        """(first, last) batch of each complete part that no larger one covers."""
-        _, fs, path = self._fs()
-        if not fs.exists(path):
-            return []
-        names = [f.getPath() for f in fs.listStatus(path)]
-        done = [tuple(map(int, p.getName()[1:].split("-"))) for p in names if p.getName().startswith("b") and fs.exists(p.suffix("/_SUCCESS"))]
-        return sorted(p for p in done if not any(q != p and q[0] <= p[0] and p[1] <= q[1] for q in done))
-
-    def _name(self, part: tuple[int, int]) -> str:
-        return f"{self.base}/b{part[0]}-{part[1]}"
-
-    def _last(self, rows: DataFrame) -> DataFrame:
-        """One row per key: the highest order, then the latest batch."""
-        rest = [c for c in rows.columns if c not in self.keys]
-        order = F.struct(*([self.order] if self.order else []), "__batch")
-        return rows.groupBy(*self.keys).agg(F.max_by(F.struct(*rest), order).alias("__r")).select(*self.keys, "__r.*")
-
-    def _write(self, rows: DataFrame, part: tuple[int, int]) -> None:
-        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets))
-        rows.withColumn("__bucket", bucket).write.mode("overwrite").partitionBy("__bucket").parquet(self._name(part))
-
-    def _read(self, parts, schema) -> DataFrame:
-        found = [self.spark.read.schema(schema).parquet(self._name(p)).select(schema.names) for p in parts]
-        out = found[0]
-        for f in found[1:]:
-            out = out.unionByName(f)
-        return out
-
-    def put(self, batch: DataFrame, batch_id: int) -> None:
-        rows = self._last(batch.withColumn("__batch", F.lit(batch_id).cast("bigint")))
-        self._write(rows, (batch_id, batch_id))
-        parts = self.parts()
-        if len(parts) >= self.compact:
-            self._write(self._last(self._read(parts, rows.schema)), (parts[0][0], parts[-1][1]))
-            jvm, fs, _ = self._fs()
-            for p in parts:
-                if p != (parts[0][0], parts[-1][1]):
-                    fs.delete(jvm.org.apache.hadoop.fs.Path(self._name(p)), True)
-
-    def follow(self, stream: DataFrame, mode: str = "append"):
-        """Drains what is available; the finished query."""
-        w = stream.writeStream.outputMode(mode).foreachBatch(self.put).option("checkpointLocation", f"{self.base}-ckpt")
-        q = w.trigger(availableNow=True).start()
-        q.awaitTermination()
-        return q
-
-    def read(self, schema) -> DataFrame:
-        """The last write of every key; `schema` is that of the rows put in."""
-        parts = self.parts()
-        if not parts:
-            return self.spark.createDataFrame([], schema)
-        stored = T.StructType([*schema.fields, T.StructField("__batch", T.LongType())])
-        return self._last(self._read(parts, stored)).select(*[f.name for f in schema.fields])
+def standing(changes: DataFrame) -> DataFrame:
+    """The reports that no later change has taken back."""
+    rows = [c for c in changes.columns if c != "change"]
+    return changes.groupBy(*rows).agg(F.sum("change").alias("n")).filter("n > 0").drop("n")
