@@ -31,7 +31,7 @@ def test_query_runs_and_equals_its_sql(spark, duck, name):
 
 def test_pipeline_equals_its_parts_by_brute_force(spark, duck):
     from test_contamination import slow as leaks
-    from test_simhash import slow_components, slow_fingerprint
+    from test_simhash import slow_wide_groups
     from test_unit_dedup import slow as repeats
     from vislens.llm.queries import read
 
@@ -40,8 +40,8 @@ def test_pipeline_equals_its_parts_by_brute_force(spark, duck):
     clean = stages["toxicity"](spark, docs, SF)
     assert clean.columns == docs.columns
     rows = sorted((r.doc_id, r.text) for r in clean.collect())
-    groups = slow_components([(d, slow_fingerprint(t or "")) for d, t in rows])
-    rows = [r for r, g in zip(rows, groups) if r[0] == g]
+    group = slow_wide_groups(rows)
+    rows = [r for r in rows if group[r[0]] == r[0]]
     cut = {}
     for d, a, b, *_ in repeats(rows):
         cut.setdefault(d, []).append({"start": a, "end": b})

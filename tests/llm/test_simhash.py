@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import xxhash
@@ -88,8 +89,9 @@ def test_forest_finds_every_link_at_the_edge_of_the_radius():
     for p, a in by_pop.items():
         for q, b in by_pop.items():
             if p <= q <= p + 4:
+                nodes = a if p == q else [*a, *b]
                 for u, v in zip(*simhash.forest(np.array(a, np.uint64), None if p == q else np.array(b, np.uint64), 4, rows=4)):
-                    joined[top(int(u))] = top(int(v))
+                    joined[top(int(nodes[u]))] = top(int(nodes[v]))
     slow = {int(f): int(f) for f in every}
     changed = True
     while changed:
@@ -112,7 +114,7 @@ def test_nulls_repeats_and_empty_tables(spark, make_docs):
     assert got == [(-1, -1, 1), (-1, 5, 3), (5, 5, 3), (5, 5, 3), (7, 7, 2), (9, 7, 2)]
     kept = simhash.drop_near_copies(docs)
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, -1, 5, 5, 7]
+    assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 5, 7]  # one row of each group
 
 
 def test_components_of_chains_hubs_and_cycles(spark):
@@ -130,3 +132,52 @@ def test_a_clean_text_stays_when_its_id_also_has_a_near_copy(make_docs):
     docs = make_docs([(3, copy), (7, copy), (7, clean), (3, copy.upper())], extra=True)
     kept = [(r.doc_id, r.text.lower()) for r in simhash.drop_near_copies(docs).collect()]
     assert sorted(kept) == [(3, copy), (7, clean)]
+
+
+def slow_wide(text, k=5):
+    words = re.split("[\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text).strip(" \t\n\v\f\r"))
+    words = [w for w in words if w]
+    if not words:
+        return 0
+    hs = [int.from_bytes(xxhash.xxh3_128_digest(s.encode()), "little") for s in {" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}]
+    return sum(1 << b for b in range(128) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def jaccard(a, b, k=5):
+    a, b = ({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in (a.lower().split(), b.lower().split()))
+    return len(a & b) / len(a | b)
+
+
+def slow_wide_groups(rows):
+    """The smallest id that each text reaches."""
+    low = (1 << 64) - 1
+    prints = [(d, slow_wide(t or "")) for d, t in rows]
+    group = {d: d for d, _ in rows}
+    changed = True
+    while changed:
+        changed = False
+        for d, f in prints:
+            for e, g in prints:
+                if group[e] < group[d] and ((f ^ g) & low).bit_count() <= simhash.FIRST_RADIUS and (f ^ g).bit_count() <= simhash.WIDE_RADIUS:
+                    group[d], changed = group[e], True
+    return group
+
+
+def test_wide_groups_equal_brute_force_and_catch_near_copies(make_docs):
+    rng = random.Random(11)
+    base = [[f"w{rng.randint(0, 5000)}" for _ in range(300)] for _ in range(30)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(base)]
+    near = {}
+    for i in range(30, 150):
+        words = list(base[i % 30])
+        for _ in range(rng.choice([1, 3, 5, 6])):
+            words[rng.randrange(len(words))] = f"x{rng.randint(0, 9999)}"
+        rows.append((i, " ".join(words)))
+        near[i] = jaccard(rows[-1][1], rows[i % 30][1])
+    rows += [(500, ""), (501, None), (502, "one"), (503, "ONE"), (504, "two")]
+    group = slow_wide_groups(rows)
+    kept = {r.doc_id for r in simhash.drop_near_copies(make_docs(rows, extra=True), tile=16).collect()}
+    assert kept == {d for d in group if group[d] == d}
+    close = [i for i, j in near.items() if j >= 0.8]
+    assert len(close) > 60 and sum(i not in kept for i in close) >= 0.9 * len(close)
+    assert set(range(30)) <= kept and {500, 502, 504} <= kept

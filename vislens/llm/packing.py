@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vislens.llm.rows import placed
 from vislens.session import cut_lineage
 
 #: Units of length in a shard: some thousand documents of usual size.
@@ -116,8 +117,7 @@ def pack(
         (-1 - F.monotonically_increasing_id()).alias("bin_id"), F.lit(0).cast("bigint").alias("bin_start"),
     )
     # by the row's place in the written table: rows alike in every column are spread over the shards like any others
-    place = F.xxhash64("_metadata.file_name", "_metadata.row_index")
-    rests = rows.filter(rest > 0).select("id", full.alias("piece"), (full * capacity).alias("start"), rest.alias("length"), "source", "cluster", F.pmod(place, F.lit(shards)).alias("shard"))
+    rests = placed(rows).filter(rest > 0).select("id", full.alias("piece"), (full * capacity).alias("start"), rest.alias("length"), "source", "cluster", F.pmod("__place", F.lit(shards)).alias("shard"))
 
     def run(key, group):
         ids, sizes, names, copies, pieces = (group.column(c).to_pylist() for c in ("id", "length", "source", "cluster", "piece"))

@@ -25,11 +25,11 @@ from urllib.parse import quote, unquote, urlsplit
 
 import pyarrow as pa
 import zstandard
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vislens.session import cut_lineage, shared_dir
+from vislens.llm.rows import placed
+from vislens.session import shared_dir
 
 # Fixed values of the format.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -162,15 +162,6 @@ def _put(folder: str, name: str, data: bytes) -> str:
     return path
 
 
-def placed(pages: DataFrame) -> DataFrame:
-    """`pages` with __place, a hash of file and row; a frame that isn't read from files is written first."""
-    place = F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("__place")
-    try:
-        return pages.select("*", place)
-    except AnalysisException:
-        return cut_lineage(pages).select("*", place)
-
-
 def record_types(pages: DataFrame, page_id: str = "page_id", url: str = "url", body: str = "html", least: int = 1000, keep: tuple = ()) -> DataFrame:
     """(page_id, url, digest, size, *keep, refers_to): refers_to is null for responses.
 
