@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vislens.operators.ordered import hash_chunk, rank_by, running, time_chunk
+from vislens.operators.similarity import block_join
 
 
 def round_robin(df: DataFrame, topic_index: str, n_topics: Column | int, variant: str, n_variants: int, order: str, key: str) -> DataFrame:
@@ -69,3 +73,33 @@ def schedule(df: DataFrame, ordinal: str, qps: float, roles: tuple[str, ...], pe
             "query_ordinal": F.floor(i / n) % per_role,
         }
     )
+
+
+def smallest_pair_hash(owners: DataFrame, donors: DataFrame, domain: str, *, group: str = "group", owner: str = "owner", donor: str = "donor") -> DataFrame:
+    """(owner, donor): of the donors of its group the one whose hash with the owner is smallest; owners of a group without donors are left out.
+
+    All pairs of a group are hashed, in blocks; only an owner's best of a block leaves it.
+    """
+    owner_type, donor_type = (df.schema[c].dataType.simpleString() for df, c in ((owners, owner), (donors, donor)))
+    big = donors.select(F.col(donor).alias("d"), F.col(group).cast("string").alias("g"))
+    other = owners.select(F.col(owner).alias("o"), F.col(group).cast("string").alias("g"))
+
+    def kernel(lt: pa.Table, rt: pa.Table) -> pa.Table:
+        names: dict = {}
+        for d, g in zip(lt["d"].to_pylist(), lt["g"].to_pylist()):
+            names.setdefault(g, []).append((f"|{d}".encode(), d))
+        out: dict[str, list] = {"o": [], "h": [], "d": []}
+        for o, g in zip(rt["o"].to_pylist(), rt["g"].to_pylist()):
+            start = hashlib.sha256(f"{domain}|{o}".encode())
+            best = None
+            for tail, d in names.get(g, ()):
+                digest = start.copy()
+                digest.update(tail)
+                found = (digest.hexdigest(), d)
+                best = found if best is None or found < best else best
+            if best:
+                out["o"].append(o), out["h"].append(best[0]), out["d"].append(best[1])
+        return pa.table({"o": pa.array(out["o"], rt.schema.field("o").type), "h": pa.array(out["h"], pa.string()), "d": pa.array(out["d"], lt.schema.field("d").type)})
+
+    part = block_join(big, other, kernel, f"o {owner_type}, h string, d {donor_type}")
+    return part.groupBy(F.col("o").alias(owner)).agg(F.min(F.struct("h", "d"))["d"].alias(donor))
