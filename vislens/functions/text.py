@@ -165,6 +165,21 @@ def shingles(token_array, n: int) -> Column:
     return let(_col(token_array), cut)
 
 
+def shingle_hashes(token_array, n: int) -> Column:
+    """(position, two hashes) of every run of n tokens."""
+
+    def cut(t):
+        at = F.when(F.size(t) >= n, F.sequence(F.lit(0), F.size(t) - n))
+
+        def one(i):
+            own = [F.get(t, i + k) for k in range(n)]
+            return F.struct(i.alias("pos"), F.xxhash64(*own).alias("a"), F.xxhash64(F.lit(n), *own).alias("b"))
+
+        return F.transform(F.coalesce(at, F.array().cast("array<int>")), one)
+
+    return let(_col(token_array), cut)
+
+
 def render_template(index, query) -> Column:
     """Template number `index` with the query put in."""
     out = F.lit(None).cast("string")

@@ -155,14 +155,15 @@ def safe_projection(df: DataFrame, columns: list[str]) -> DataFrame:
 def shared_runs(left: DataFrame, right: DataFrame, n: int = 6) -> DataFrame:
     """(left_id, right_id, longest common token run) of every pair sharing n tokens in a row.
 
-    left: left_id, text.  right: right_id, text.  Shared n-grams meet in an
-    equi-join; neighbouring matches on one diagonal form a run.
+    left: left_id, text.  right: right_id, text.  What meets in the equi-join are
+    two 64-bit hashes of n tokens, no strings. Neighbouring matches on one
+    diagonal form a run.
     """
     def grams(df, key):
-        g = df.select(key, F.explode(tx.shingles(tx.tokens("text"), n)).alias("s"))
-        return g.select(key, F.col("s.gram").alias("gram"), F.col("s.pos").alias(f"pos_{key}"))
+        g = df.select(key, F.explode(tx.shingle_hashes(tx.tokens("text"), n)).alias("s"))
+        return g.select(key, F.col("s.a").alias("a"), F.col("s.b").alias("b"), F.col("s.pos").alias(f"pos_{key}"))
 
-    hits = grams(left, "left_id").join(grams(right, "right_id"), "gram")
+    hits = grams(left, "left_id").join(grams(right, "right_id"), ["a", "b"])
     hits = hits.withColumn("diag", F.col("pos_left_id") - F.col("pos_right_id"))
     w = W.partitionBy("left_id", "right_id", "diag").orderBy("pos_left_id")
     runs = hits.withColumn("island", F.col("pos_left_id") - F.row_number().over(w))

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from vislens.functions.stats import count_if, ratio
-from vislens.functions.text import domain_hash
+from vislens.operators import calibration as cal
 from vislens.operators import compare as cm
 from vislens.operators import design as de
+from vislens.operators import detector as det
 from vislens.operators import eligibility as elig
 from vislens.operators import lifecycle as lc
 from vislens.operators import quality as qa
@@ -16,7 +17,9 @@ from vislens.operators.cohort import hash_ordered_take
 from vislens.operators.lifecycle import CELL, DAY_US
 from vislens.operators.ordered import neighbours, quantiles, rank_by, time_chunk
 from vislens.plans import workload as wl
+from vislens.plans.cohort import allocated, groups
 from vislens.plans.compare import block_cells
+from vislens.plans.detector import scored_items
 from vislens.plans.registry import cte, query
 from vislens.plans.retrieval import landing
 from vislens.plans.retrieval_log import ROLES, log
@@ -247,6 +250,51 @@ def profile_violations(spark, d):
     return tier.unionByName(absent).unionByName(other).unionByName(again).select("rule", "value", "n")
 
 
+@query(
+    "cohort_recompute_violations",
+    """WITH s AS (SELECT CASE WHEN gid[1] = '1' THEN 'x' || gid ELSE gid END AS gid, CASE WHEN gid[1] = '2' THEN topic || '?' ELSE topic END AS topic, split, stratum FROM w_alloc UNION ALL SELECT gid, topic, 'calibration', 'calibration_ordinary' FROM w_alloc WHERE stratum = 'test_ordinary' AND gid[1] IN ('0', '4'))
+SELECT gid, 'disjoint_splits' AS rule FROM s GROUP BY gid HAVING count(DISTINCT split) > 1 UNION ALL SELECT gid, 'one_row_a_group' FROM s GROUP BY gid HAVING count(*) > 1
+UNION ALL SELECT gid, 'unknown_group' FROM s ANTI JOIN w_groups USING (gid) UNION ALL SELECT s.gid, 'topic' FROM s JOIN w_groups g ON g.gid = s.gid WHERE g.topic <> s.topic""",
+)
+def cohort_recompute_violations(spark, d):
+    """A frozen cohort with faults planted, against duplicate groups recomputed from the texts: splits, one row a group, known groups, topics."""
+    a = allocated(spark, d).select("gid", "topic", "split", "stratum")
+    first = F.substring("gid", 1, 1)
+    twice = a.filter((F.col("stratum") == "test_ordinary") & first.isin("0", "4")).withColumns({"split": F.lit("calibration"), "stratum": F.lit("calibration_ordinary")})
+    s = a.withColumns({"topic": F.when(first == "2", F.concat("topic", F.lit("?"))).otherwise(F.col("topic")), "gid": F.when(first == "1", F.concat(F.lit("x"), "gid")).otherwise(F.col("gid"))})
+    s = cut_lineage(s.unionByName(twice))
+    again = cut_lineage(groups(spark, d).select("gid", F.col("topic").alias("own")))
+    per = s.groupBy("gid").agg(F.count_distinct("split").alias("splits"), F.count(F.lit(1)).alias("n"))
+    lost = s.join(again, "gid", "left_anti").select("gid", F.lit("unknown_group").alias("rule"))
+    moved = s.join(again, "gid").filter("own <> topic").select("gid", F.lit("topic").alias("rule"))
+    return qa.broken_rules(per, ["gid"], {"disjoint_splits": F.col("splits") > 1, "one_row_a_group": F.col("n") > 1}).unionByName(lost).unionByName(moved)
+
+
+# ---- I6, I7: decisions at the threshold that calibration selects
+
+cte("w_vscore", "SELECT c.id, c.phase, round(c.c_score, 6) AS c_score, c.s_affirms, c.service_ns, i.topic % 3 = 0 AS poison FROM w_cscore c JOIN w_items i ON i.id = c.id")
+cte("w_vsteps", "SELECT s, lead(s) OVER (ORDER BY s) AS nx, lag(s) OVER (ORDER BY s) AS pv, sum(n) OVER (ORDER BY s) AS nu, sum(p) OVER (ORDER BY s) AS pu FROM (SELECT c_score AS s, count(*) AS n, count(*) FILTER (WHERE poison) AS p FROM w_vscore WHERE phase = 'calibration' GROUP BY 1)")
+cte(
+    "w_vthr",
+    """SELECT threshold FROM (SELECT threshold, coalesce(2 * (p - pb) / nullif((2 * (p - pb) + n - nb - (p - pb) + pb)::DOUBLE, 0), 0) AS f1 FROM (
+  SELECT coalesce(s + (nx - s) * 0.5, nextafter(s, 'inf'::DOUBLE)) AS threshold, nu AS nb, pu AS pb FROM w_vsteps UNION ALL SELECT nextafter(s, '-inf'::DOUBLE), 0, 0 FROM w_vsteps WHERE pv IS NULL)
+  CROSS JOIN (SELECT count(*) AS n, count(*) FILTER (WHERE poison) AS p FROM w_vscore WHERE phase = 'calibration')) ORDER BY f1 DESC, threshold DESC LIMIT 1""",
+)
+
+
+@query(
+    "calibrated_job",
+    "SELECT sha256('vislens-item|' || id) AS item_key, s_affirms AS family_s_affirms, c_score, round(threshold, 6) AS threshold, s_affirms AND c_score < threshold AS promote, service_ns FROM w_vscore CROSS JOIN w_vthr WHERE phase = 'test'",
+)
+def calibrated_job(spark, d):
+    """The test phase of the scoring job at the threshold of largest F1 over the calibration phase; the topic stands in for the label."""
+    label = src.items(spark, d).select("id", (F.col("topic") % 3 == 0).alias("poison"))
+    s = cut_lineage(scored_items(spark, d).withColumn("c_score", F.round("c_score", 6)).join(label, "id"))
+    best = cal.select_threshold(cal.threshold_candidates(s.filter("phase = 'calibration'"), "c_score", "poison"))
+    job = det.score_job(s, "test", best.select("threshold").scalar())
+    return job.select("item_key", "family_s_affirms", "c_score", "promote", "service_ns").crossJoin(F.broadcast(best.select(F.round("threshold", 6).alias("threshold"))))
+
+
 # ---- L7, L10, L13, L16, L19
 
 
