@@ -32,10 +32,10 @@ from vislens.llm.rows import placed
 from vislens.session import cut_lineage
 
 SEED = 42
-#: Fingerprints in a tile: 64 KB, and some 0.1 s of work for a pair of tiles.
-TILE = 8192
+#: Fingerprints in a tile. A tile meets every other that is near, so the bytes moved fall as it grows; a pair takes some 5 s at most.
+TILE = 1 << 16
 #: Tile pairs that one task compares.
-PAIRS_PER_TASK = 8
+PAIRS_PER_TASK = 4
 
 
 def fingerprint(text: bytes | None, shingle: int = 4) -> int:
