@@ -90,3 +90,11 @@ def test_repeated_and_null_ids_and_empty_tables(spark):
     got = packing.pack(frame(spark, rows), "size", 100).collect()
     assert len(got) == 4 and len({r.bin_id for r in got}) >= 3
     assert packing.pack(frame(spark, []), "size", 100).count() == 0
+
+
+def test_rows_alike_in_every_column_are_spread_over_shards(spark):
+    got = packing.pack(frame(spark, [(None, 10, "a", 5, "x", "y", "z")] * 2000), "size", 100, shard=1000).collect()
+    per = {}
+    for r in got:
+        per[r.bin_id >> 32] = per.get(r.bin_id >> 32, 0) + 1
+    assert len(per) > 12 and max(per.values()) < 300 and len({r.bin_id for r in got}) == 2000

@@ -85,3 +85,13 @@ def test_null_ids_repeated_rows_and_empty_tables(spark, folder, tmp_path):
     got = sorted((str(r.page_id), r.record_type, str(r.refers_to)) for r in warc.read_warc(spark, folder).collect())
     assert got == [("4", "revisit", "5"), ("5", "response", "None"), ("5", "response", "None"), ("None", "response", "None"), ("None", "response", "None"), ("None", "revisit", "5")]
     assert warc.write_warc(spark.createDataFrame([], SCHEMA), str(tmp_path / "none")).count() == 0
+
+
+def test_rows_alike_in_every_column_are_spread_over_archives(spark, folder):
+    same = [(7, "http://x/", "same text " * 300, "x", "y")] * 600
+    more = [(None, None, "same text " * 300, "x", "y")] * 200 + [(8, "http://x/", "same text " * 300, "x", "y")]
+    written = warc.write_warc(spark.createDataFrame(same + more, SCHEMA).repartition(3), folder, archive_bytes=200_000).collect()
+    sizes = sorted(r.n_records for r in written)
+    assert len(sizes) > 8 and sizes[-1] < 250
+    got = warc.read_warc(spark, folder).collect()
+    assert sorted((r.page_id or 0, r.record_type, r.refers_to or 0) for r in got) == [(0, "revisit", 8)] * 200 + [(7, "revisit", 8)] * 600 + [(8, "response", 0)]
