@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -135,3 +137,37 @@ def test_blocks_of_full_size(spark):
     for i, ids in got.items():
         s = np.round(u @ (qv[i] / np.linalg.norm(qv[i])), 9)
         assert sorted(s[ids])[::-1] == sorted(s)[::-1][:2]
+
+
+def clustered(spark, n, seed, centres=12):
+    rng = np.random.default_rng(seed)
+    middle = np.random.default_rng(99).normal(size=(centres, 8)) * 3
+    v = (middle[rng.integers(0, centres, n)] + rng.normal(size=(n, 8))).astype("float32")
+    return v.astype("float64"), spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(n)], "id long, vector array<float>")
+
+
+def test_trained_cells_are_an_inverted_file_that_is_read_in_part(spark, tmp_path):
+    qv, q = clustered(spark, 40, 21)
+    cv, c = clustered(spark, 900, 22)
+    q = q.select(F.col("id").alias("query_id"), F.col("vector").alias("qvec"))
+    cells = ret.train_cells(c, 16, seed=3).cache()
+    ret.write_cells(c, cells, str(tmp_path / "cells"))
+    stored = spark.read.parquet(str(tmp_path / "cells"))
+    assert stored.count() == 900 and stored.select("cell").distinct().count() <= 16
+    want = brute(qv, cv, 5, list(range(900)))
+    share = {}
+    for n_probe in (1, 4, 16):
+        found = lists(ret.rerank(ret.search_cells(q, str(tmp_path / "cells"), cells, n_probe, 5, block_rows=70, block_queries=7), 5))
+        share[n_probe] = np.mean([len(set(found.get(i, [])) & set(want[i])) / 5 for i in want])
+        scored = ret.cell_effort(ret.probe_cells(q, cells, n_probe), stored, ["query_id"]).agg(F.sum("vectors_scored")).first()[0]
+        assert (scored == 40 * 900) == (n_probe == 16)
+    assert share[1] <= share[4] <= share[16] == 1 and share[4] >= 0.9
+    one = q.filter("query_id = 0")
+    plan = ret.search_cells(one, str(tmp_path / "cells"), cells, 1, 5)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*cell", plan)
+
+
+def test_other_seeds_train_other_cells(spark):
+    _, c = clustered(spark, 300, 23)
+    centres = [sorted(tuple(round(x, 4) for x in r["centroid"]) for r in ret.train_cells(c, 8, seed).collect()) for seed in (1, 1, 2)]
+    assert centres[0] == centres[1] != centres[2]
