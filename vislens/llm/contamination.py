@@ -11,13 +11,15 @@ missed. Candidates are then verified by counting the item's distinct shingles in
 the whole document. An item shorter than a shingle has its whole sequence of words
 as its only one, and documents are searched for sequences of that length too.
 
-Items are sent to the documents in blocks of bounded size, never the documents
-to the items: the corpus's shingles are not shuffled.
+Items are sent to the documents in a few blocks of bounded size, so the corpus's
+shingles are not shuffled. Each block is a pass over the corpus: a benchmark of
+more than MOST_BLOCKS meets the shingles in a shuffle instead.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +28,8 @@ from vislens.session import cut_lineage
 
 #: Rows of the items' side that are broadcast at once, at some 100 bytes each.
 BLOCK_ROWS = 50_000
+#: Blocks that are broadcast; each costs a pass over the corpus.
+MOST_BLOCKS = 8
 
 
 def words_of(text: Column) -> Column:
@@ -71,17 +75,18 @@ def signatures(shingles: DataFrame, share: float) -> DataFrame:
     return sizes.select("item", "n", need.alias("need"), F.explode(F.slice(order["h"], F.lit(1), F.least(length.cast("int"), F.col("n")))).alias("h"))
 
 
-def _blocks(rows: DataFrame, block_rows: int) -> list[DataFrame]:
-    """The rows in blocks of about `block_rows`, dealt by shingle and item, so that a shingle of many items is in many blocks."""
-    n = max(1, math.ceil(rows.count() / block_rows))
+def _blocks(rows: DataFrame, n: int) -> list[DataFrame]:
+    """The rows in `n` blocks, dealt by shingle and item, so that a shingle of many items is in many blocks."""
     return [rows.filter(F.pmod(F.xxhash64("h", "item"), F.lit(n)) == k) for k in range(n)]
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+def _meeting(spoken: DataFrame, rows: DataFrame, on: list[str], columns: list[str], block_rows: int) -> DataFrame:
+    """Distinct `columns` of documents' shingles joined with items' `rows`, which are sent in blocks or, if that takes too many, shuffled."""
+    n = max(1, math.ceil(rows.count() / block_rows))
+    if n > MOST_BLOCKS:
+        return spoken.join(rows, on).select(columns).distinct()
+    out = [spoken.join(F.broadcast(b), on).select(columns).distinct() for b in _blocks(rows, n)]
+    return reduce(DataFrame.unionByName, out)
 
 
 def contained_items(
@@ -107,13 +112,12 @@ def contained_items(
     sizes = [r.k for r in shingles.select("k").distinct().collect()] or [size]  # lengths of shingles, `size` at most
     words = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc"), words_of(F.col(doc_text)).alias("w"))
     hashes = words.select("doc", F.explode(_shingles("w", sizes, _hash)).alias("h"))
-    pairs = _union([hashes.join(F.broadcast(b), "h").select("doc", "item").distinct() for b in _blocks(signed, block_rows)])
-    pairs = cut_lineage(pairs.distinct())
+    pairs = cut_lineage(_meeting(hashes, signed, ["h"], ["doc", "item"], block_rows).distinct())
 
     held = words.join(pairs.select("doc").distinct(), "doc", "left_semi")
     spoken = held.select("doc", F.explode(_shingles("w", sizes, _both)).alias("x")).select("doc", "x.h", "x.s")
     wanted = shingles.join(pairs.select("item").distinct(), "item", "left_semi")
-    found = _union([spoken.join(F.broadcast(b), ["h", "s"]).select("doc", "item", "s").distinct() for b in _blocks(wanted, block_rows)])
+    found = _meeting(spoken, wanted, ["h", "s"], ["doc", "item", "s"], block_rows)
     counts = found.join(pairs, ["doc", "item"], "left_semi").groupBy("doc", "item").agg(F.count("*").cast("int").alias("n_found"))
     return (
         counts.join(signed.select("item", "n", "need").distinct(), "item")
