@@ -6,7 +6,7 @@ import importlib
 
 from vislens.plans.registry import ORACLE, QUERIES
 
-MODULES = ("retrieval", "lifecycle", "cohort", "detector", "retrieval_log", "design", "compare", "quality", "rules", "streams")
+MODULES = ("retrieval", "lifecycle", "cohort", "detector", "retrieval_log", "design", "compare", "quality", "rules", "streams", "extension")
 
 for _name in MODULES:
     importlib.import_module(f"vislens.plans.{_name}")
