@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vislens.operators.ordered import hash_chunk, rank_by, running, time_chunk
+from vislens.operators.ordered import hash_chunk, rank_by, time_chunk
 from vislens.operators.similarity import block_join
 
 
@@ -33,28 +33,6 @@ def interleave(df: DataFrame, keys: list[str], second: str, order: str, key: str
     return r.withColumn("position", pos).drop("__r", "__a", "__b")
 
 
-def _ring_place(domain: str, key: Column) -> Column:
-    """Place on a ring of 2^60, from the first 15 digits of a digest."""
-    return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(domain), key.cast("string")), 256), 1, 15), 16, 10).cast("bigint")
-
-
-def hashed_donor(owners: DataFrame, donors: DataFrame, domain: str, *, owner: str = "owner", owner_group: str = "group", donor: str = "donor", donor_group: str = "group") -> DataFrame:
-    """Per owner the next donor of its group on a hash ring, going round at its end; owners of a group without donors are left out.
-
-    One sort of both sides instead of a comparison of all pairs.
-    """
-    width = 1 << 50
-    d = donors.select(F.col(donor_group).alias("g"), F.col(donor).alias("__d"), _ring_place(domain, F.col(donor)).alias("h"))
-    o = owners.select(F.col(owner_group).alias("g"), F.col(owner).alias("__o"), _ring_place(domain, F.col(owner)).alias("h"))
-    # running maxima go upwards, so the ring is walked from its end: the nearest place at or after is the largest of the negatives before
-    both = d.select("g", (-F.col("h")).alias("t"), F.lit(0).alias("side"), F.struct(-F.col("h"), -F.col("__d")).alias("v"), F.lit(None).cast(owners.schema[owner].dataType).alias("__o"))
-    both = both.unionByName(o.select("g", (-F.col("h")).alias("t"), F.lit(1).alias("side"), F.lit(None).cast(both.schema["v"].dataType).alias("v"), "__o"))
-    ran = running(both, ["g"], time_chunk("t", width), [F.col("t"), F.col("side")], maxes={"__near": F.col("v")}).filter("side = 1")
-    first = d.groupBy("g").agg(F.min(F.struct("h", "__d")).alias("__first"))
-    out = ran.join(first, "g").select(F.col("__o").alias(owner), F.coalesce(-F.col("__near")[both.schema["v"].dataType.names[1]], F.col("__first.__d")).alias(donor))
-    return out.filter(F.col(donor).isNotNull())
-
-
 def ordered_injection(df: DataFrame, keys: list[str], role_order: Column, t: str, key: str, width: int) -> DataFrame:
     """Ordinal of every item: by role, then time; exact for units of any size."""
     d = df.withColumn("__role", role_order)
@@ -75,14 +53,14 @@ def schedule(df: DataFrame, ordinal: str, qps: float, roles: tuple[str, ...], pe
     )
 
 
-def smallest_pair_hash(owners: DataFrame, donors: DataFrame, domain: str, *, group: str = "group", owner: str = "owner", donor: str = "donor") -> DataFrame:
+def smallest_pair_hash(owners: DataFrame, donors: DataFrame, domain: str, *, owner_group: str = "group", donor_group: str = "group", owner: str = "owner", donor: str = "donor") -> DataFrame:
     """(owner, donor): of the donors of its group the one whose hash with the owner is smallest; owners of a group without donors are left out.
 
     All pairs of a group are hashed, in blocks; only an owner's best of a block leaves it.
     """
     owner_type, donor_type = (df.schema[c].dataType.simpleString() for df, c in ((owners, owner), (donors, donor)))
-    big = donors.select(F.col(donor).alias("d"), F.col(group).cast("string").alias("g"))
-    other = owners.select(F.col(owner).alias("o"), F.col(group).cast("string").alias("g"))
+    big = donors.select(F.col(donor).alias("d"), F.col(donor_group).cast("string").alias("g"))
+    other = owners.select(F.col(owner).alias("o"), F.col(owner_group).cast("string").alias("g"))
 
     def kernel(lt: pa.Table, rt: pa.Table) -> pa.Table:
         names: dict = {}

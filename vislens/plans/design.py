@@ -44,16 +44,17 @@ def interleave_strata(spark, d):
 @query(
     "assign_donors",
     """SELECT o.id AS owner, o.id AS own, h.id AS heldout, n.id AS next_topic FROM w_items o
-LEFT JOIN (SELECT a.id AS oid, b.id, row_number() OVER (PARTITION BY a.id ORDER BY ('0x' || sha256('heldout|' || b.id)[1:15])::BIGINT < ('0x' || sha256('heldout|' || a.id)[1:15])::BIGINT, sha256('heldout|' || b.id)[1:15], b.id) AS rn FROM w_items a JOIN w_items b ON a.topic = b.topic AND a.slot = 0 AND b.slot = 1) h ON h.oid = o.id AND h.rn = 1
-LEFT JOIN (SELECT a.id AS oid, b.id, row_number() OVER (PARTITION BY a.id ORDER BY ('0x' || sha256('next|' || b.id)[1:15])::BIGINT < ('0x' || sha256('next|' || a.id)[1:15])::BIGINT, sha256('next|' || b.id)[1:15], b.id) AS rn FROM w_items a JOIN w_items b ON b.topic = (a.topic + 1) % (SELECT count(DISTINCT topic) FROM w_items) AND a.slot = 0 AND b.slot = 1) n ON n.oid = o.id AND n.rn = 1 WHERE o.slot = 0""",
+LEFT JOIN (SELECT a.id AS oid, b.id, row_number() OVER (PARTITION BY a.id ORDER BY sha256('heldout|' || a.id || '|' || b.id), b.id) AS rn FROM w_items a JOIN w_items b ON a.topic = b.topic AND a.slot = 0 AND b.slot = 1) h ON h.oid = o.id AND h.rn = 1
+LEFT JOIN (SELECT a.id AS oid, b.id, row_number() OVER (PARTITION BY a.id ORDER BY sha256('next|' || a.id || '|' || b.id), b.id) AS rn FROM w_items a JOIN w_items b ON b.topic = (a.topic + 1) % (SELECT count(DISTINCT topic) FROM w_items) AND a.slot = 0 AND b.slot = 1) n ON n.oid = o.id AND n.rn = 1 WHERE o.slot = 0""",
 )
 def assign_donors(spark, d):
+    """Own, held-out and next-topic donor of every owner: of all candidates the one whose hash with the owner is smallest."""
     it = src.items(spark, d)
     n = it.agg(F.count_distinct("topic")).scalar()
     owners = it.filter("slot = 0").select(F.col("id").alias("owner"), F.col("topic").alias("group"), ((F.col("topic") + 1) % n).alias("next"))
     donors = it.filter("slot = 1").select(F.col("id").alias("donor"), F.col("topic").alias("group"))
-    held = de.hashed_donor(owners, donors, "heldout").withColumnRenamed("donor", "heldout")
-    nxt = de.hashed_donor(owners, donors, "next", owner_group="next").withColumnRenamed("donor", "next_topic")
+    held = de.smallest_pair_hash(owners, donors, "heldout").withColumnRenamed("donor", "heldout")
+    nxt = de.smallest_pair_hash(owners, donors, "next", owner_group="next").withColumnRenamed("donor", "next_topic")
     return owners.select("owner", F.col("owner").alias("own")).join(held, "owner", "left").join(nxt, "owner", "left")
 
 

@@ -76,7 +76,7 @@ cte(
 def pair_donors(spark, d):
     it = src.items(spark, d)
     owners, donors = it.filter("slot = 0").select(F.col("id").alias("owner"), "topic"), it.filter("slot = 1").select(F.col("id").alias("donor"), "topic")
-    return owners.join(de.smallest_pair_hash(owners, donors, "pair", group="topic"), "owner")
+    return owners.join(de.smallest_pair_hash(owners, donors, "pair", owner_group="topic", donor_group="topic"), "owner")
 
 
 @query("pairwise_donors", "SELECT owner, topic, donor FROM w_pairdonor")
