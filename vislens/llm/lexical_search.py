@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from vislens.session import cut_lineage
 
 #: Bytes of item texts in one pass over the corpus. They and their terms are sent to every task.
-PASS_BYTES = 4 << 20
+PASS_BYTES = 1 << 20
 #: Items of a block at most, and the terms at which it is closed.
 BLOCK_ITEMS, BLOCK_TERMS = 256, 8192
 #: Numbers in a matrix of documents.
