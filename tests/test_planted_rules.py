@@ -15,6 +15,7 @@ PLANTED = {
     "donor_plan_violations": {"donor", "selection"},
     "sweep_violations": {"k0_is_the_base_run", "nested", "readmitted"},
     "profile_violations": {"undeclared_tier", "absent_family"},
+    "run_total_violations": {"recall", "totals", "live_groups"},
     "cohort_recompute_violations": {"disjoint_splits", "one_row_a_group", "unknown_group", "topic"},
 }
 

@@ -226,6 +226,25 @@ def landing_completeness(spark, d):
     )
 
 
+@query(
+    "run_total_violations",
+    """SELECT backlog, baseline, arm, unnest(list_filter([CASE WHEN wrong > 0 THEN 'recall' END, CASE WHEN stored_total <> total THEN 'totals' END, CASE WHEN stored_live <> live THEN 'live_groups' END], lambda r: r IS NOT NULL)) AS rule, wrong FROM (
+  SELECT backlog, baseline, arm, count(*) AS total, count(*) + CASE WHEN baseline = 'B3' THEN 1 ELSE 0 END AS stored_total, count(DISTINCT qid) AS live, count(DISTINCT qid) - CASE WHEN baseline = 'B2' THEN 1 ELSE 0 END AS stored_live,
+    count(*) FILTER (WHERE recall IS NOT NULL AND baseline <> 'B1' AND probe % 61 = 0) AS wrong FROM w_ret GROUP BY backlog, baseline, arm)""",
+)
+def run_total_violations(spark, d):
+    """Stored recalls, probe totals and live query groups of every cell against the lists themselves; each is planted wrong somewhere."""
+    l = log(spark, d).select(*CELL, "probe", "query_id", "returned", "eligible", "recall")
+    planted = (F.col("baseline") != "B1") & (F.col("probe") % 61 == 0)
+    l = l.withColumn("stored", F.when(planted, F.col("recall") - 0.2).otherwise(F.col("recall")))
+    again = ratio(F.size(F.array_intersect("returned", "eligible")), F.size("eligible"))
+    per = l.groupBy(*CELL, "query_id").agg(F.count(F.lit(1)).alias("n"), count_if(~qa.within_tolerance(F.col("stored"), again, 1e-9)).alias("wrong"))
+    s = per.groupBy(*CELL).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("live"), F.sum("wrong").alias("wrong"))
+    b = F.col("baseline")
+    s = s.withColumns({"stored_total": F.col("total") + F.when(b == "B3", 1).otherwise(0), "stored_live": F.col("live") - F.when(b == "B2", 1).otherwise(0)})
+    return qa.broken_rules(s, [*CELL, "wrong"], {"recall": F.col("wrong") > 0, "totals": F.col("stored_total") != F.col("total"), "live_groups": F.col("stored_live") != F.col("live")}).select(*CELL, "rule", "wrong")
+
+
 #: A declared profile: the tier that all records must have, and the families that must be there.
 PROFILE = {"tier": "F", "families": ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "6-DECLARED")}
 
