@@ -114,8 +114,8 @@ def nearest_cell(items: DataFrame, centroids: DataFrame) -> DataFrame:
 
 
 def write_cells(items: DataFrame, centroids: DataFrame, path: str) -> None:
-    """An inverted file: the items (id, vector), a folder for each cell."""
-    placed = items.select("id", "vector").join(nearest_cell(items, centroids), "id")
+    """An inverted file: the items (id, vector), a folder for each cell, written by one task each."""
+    placed = items.select("id", "vector").join(nearest_cell(items, centroids), "id").repartition("cell")
     placed.write.mode("errorifexists").partitionBy("cell").parquet(path)
 
 
